@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
-
-import numpy as np
+import struct
 
 #: The code points of the Unicode property White_Space.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -19,11 +18,11 @@ class Encoder:
     """Texts to ids, equal to ``tokenizers`` on the JSON file of the same vocabulary.
 
     Units repeat a lot, so most are looked up; only new ones go through BPE.
-    The memory holds ``max_units`` units of at most ``max_unit`` characters and
-    starts anew when it is full.
+    The memory holds the first ``max_units`` units of at most ``max_unit``
+    characters, among which the frequent ones are.
     """
 
-    def __init__(self, path: str, pattern: str, max_units: int = 400_000, max_unit: int = 64):
+    def __init__(self, path: str, pattern: str, max_units: int = 800_000, max_unit: int = 40):
         import tiktoken
 
         with open(path, "rb") as lines:
@@ -32,25 +31,46 @@ class Encoder:
         if max(ranks.values()) > 65535:
             raise ValueError("ids are kept in 16 bits")
         self._known: dict[str, bytes] = {}
+        self._spaced: dict[str, bytes] = {}  # words, each standing for itself after a space
+        self._feed = self._ids("\n")
         self._max_units, self._max_unit = max_units, max_unit
 
+    def _ids(self, unit: str) -> bytes:
+        ids = self._bpe.encode_ordinary(unit)
+        return struct.pack(f"<{len(ids)}H", *ids)
+
     def unit(self, unit: str) -> bytes:
-        ids = np.array(self._bpe.encode_ordinary(unit), dtype="<u2").tobytes()
-        if len(unit) <= self._max_unit:
-            if len(self._known) >= self._max_units:
-                self._known.clear()
+        ids = self._ids(unit)
+        if len(self._known) < self._max_units // 4 and len(unit) <= self._max_unit:
             self._known[unit] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 16-bit ids."""
-        known, unit = self._known.get, self.unit
-        units = _UNIT.findall(text)
-        found = list(map(known, units))
-        if None in found:
-            found = [unit(u) if f is None else f for u, f in zip(units, found)]
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            known, unit = self._known.get, self.unit
+            return b"".join([known(u) or unit(u) for u in _UNIT.findall(text)])
+        # Single spaces and line feeds only: every word but the first of a line takes the space before it.
+        spaced, found = self._spaced, []
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                found.append(self._feed)
+            words = line.split(" ")
+            if words[0]:
+                found.append(self._known.get(words[0]) or self.unit(words[0]))
+            del words[0]
+            got = list(map(spaced.get, words))
+            if None in got:
+                got = [self.spaced(w) if g is None else g for w, g in zip(words, got)]
+            found += got
         return b"".join(found)
 
+    def spaced(self, word: str) -> bytes:
+        ids = self._spaced[word] if word in self._spaced else self._ids(" " + word)
+        if len(self._spaced) < self._max_units and len(word) <= self._max_unit:
+            self._spaced[word] = ids
+        return ids
+
 
 _encoders: dict[str, Encoder] = {}
 
