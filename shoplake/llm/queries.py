@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplake.functions.cluster import ship_package
-from shoplake.llm import decontam, packing, quality, sharding, simhash, toxicity
+from shoplake.llm import decontam, lm, packing, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), fold(10) != 0)
+    return scored.withColumn("held_out", fold(10) == 0)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
@@ -49,5 +54,5 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op4_quality_rules, op5_toxic_segments, op7_hash_tree_sharding, op8_simhash_near_dedup, op9_spaced_seeds)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op3_attention_scores, op4_quality_rules, op5_toxic_segments, op7_hash_tree_sharding, op8_simhash_near_dedup, op9_spaced_seeds)}
 ORACLE_SQL: dict[str, str] = {}
