@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplake.functions.cluster import ship_package
-from shoplake.llm import decontam, lm, packing, quality, sharding, simhash, toxicity
+from shoplake.llm import chat, decontam, lm, packing, quality, sharding, simhash, toxicity, urllists, warc
+from shoplake.llm.sql import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,26 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: What the derived tools accept.
+TOOLS = [
+    chat.Field("search", "query", "string"), chat.Field("search", "limit", "long", True, 1, 40), chat.Field("search", "after", "string", False),
+    chat.Field("lookup", "query", "string"), chat.Field("lookup", "limit", "long", False, 0, 30), chat.Field("lookup", "after", "string", False),
+]
+
+
+def op2_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns stand for tool calls that wait for the assistant turn two before; user turns answer the turn before."""
+    turns = table(spark, sf_dir, "conversations")
+    text = F.coalesce("text", F.lit(""))
+    ident = lambda turn: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    name = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("paint")), (F.length(text) % 3 + 1).cast("int"))
+    query = F.regexp_extract(text, "^\\p{L}+", 0)
+    arguments = F.to_json(F.struct((F.length(text) % 50).alias("limit"), F.when(query != "", query).alias("query"), F.when(F.col("turn") >= 3, ident(F.col("turn") - 2)).alias("after")))
+    calls = turns.filter("role = 'assistant'").select("conv_id", ident(F.col("turn")).alias("call_id"), F.col("turn").cast("long").alias("turn"), name.alias("name"), arguments.alias("arguments"))
+    results = turns.filter("role = 'user' and turn >= 1").select(ident(F.col("turn") - 1).alias("call_id"), F.col("turn").cast("long").alias("turn"), F.md5(text).alias("content"))
+    return chat.link(calls, results, TOOLS)
+
+
 def op3_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(table(spark, sf_dir, "documents"), fold(10) != 0)
     return scored.withColumn("held_out", fold(10) == 0)
@@ -42,6 +63,18 @@ def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", fold(5) == 0)
 
 
+def op6_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch days follow page ids; the list is derived from the hosts: added, removed and added again."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")).alias("fetched"))
+    hosts = pages.select(urllists.host(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    entry = F.when(F.length("host") % 5 == 1, F.concat("host", F.lit("/en"))).otherwise(F.col("host"))
+    step = F.explode(F.array(F.struct(F.lit("add").alias("action"), F.lit(0).alias("plus")), F.struct(F.lit("remove").alias("action"), F.lit(60).alias("plus")), F.struct(F.lit("add").alias("action"), F.lit(150).alias("plus"))))
+    dated = hosts.filter(F.length("host") % 3 != 0).select(entry.alias("entry"), (F.length("host") * 7 % 200).alias("start"), step.alias("e"))
+    events = dated.select("entry", "e.action", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("start") + F.col("e.plus")).cast("int")).alias("day"))
+    return urllists.judge(captures, events)
+
+
 def op7_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.even_tree(8), sharding.even_tree(9))
 
@@ -54,5 +87,19 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op3_attention_scores, op4_quality_rules, op5_toxic_segments, op7_hash_tree_sharding, op8_simhash_near_dedup, op9_spaced_seeds)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is fetched three times: in full, then twice conditionally, with another entity tag the last time for some."""
+    pages = table(spark, sf_dir, "pages")
+    k = F.col("k")
+    visits = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("tag"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string").alias("size"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    ts = (F.col("page_id") % 1000) * 600 + k * 200_000
+    etag = F.when((k == 2) & (F.col("page_id") % 5 == 0), F.reverse("tag")).otherwise(F.col("tag"))
+    day = F.concat(F.lit("t"), ts.cast("string"))
+    headers = F.when(k == 0, F.create_map(F.lit("content-length"), F.col("size"), F.lit("content-type"), F.lit("text/html"), F.lit("date"), day, F.lit("etag"), F.col("tag"))).otherwise(
+        F.create_map(F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), F.lit("0"), F.lit("date"), day)
+    )
+    captures = visits.select((F.col("page_id") * 3 + k).alias("record_id"), "url", ts.alias("ts"), F.when(k == 0, 200).otherwise(304).alias("status"), etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), headers.alias("headers"))
+    return warc.resolve(captures)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_tool_links, op3_attention_scores, op4_quality_rules, op5_toxic_segments, op6_temporal_lists, op7_hash_tree_sharding, op8_simhash_near_dedup, op9_spaced_seeds, op10_revisits)}
