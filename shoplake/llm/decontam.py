@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,13 +119,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10, penalty
     null doc_id is reported as null, extra columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tests = benchmark.filter(F.col("text").isNotNull() & (F.trim("text") != "")).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
     found = None
-    for b in range(blocks):
-        items = [(r.item_id, r.text) for r in tests.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()]
+    for items in _blocks(benchmark, block_chars):
         handle = docs.sparkSession.sparkContext.broadcast(items)
         part = rows.mapInArrow(lambda it, h=handle: _find(it, h.value, least, penalty), HITS)
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    tests = benchmark.filter(F.col("text").isNotNull() & (F.trim("text") != "")).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    for b in range(blocks):
+        yield [(r.item_id, r.text) for r in tests.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()]
+
+
+_ready: dict[int, tuple[list, Tests]] = {}
+
+
+def _tests(number: int, items: list) -> Tests:
+    if number not in _ready or _ready[number][0] is not items:
+        _ready[number] = items, Tests(items)
+    return _ready[number][1]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = 10, penalty: int = 2, block_chars: int = 32_000_000) -> DataFrame:
+    """The rows of ``docs`` that overlap with no benchmark item, with all their columns."""
+    for number, items in enumerate(_blocks(benchmark, block_chars)):
+        handle = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.filter(~_hit(handle, number, least, penalty)(F.col("text").cast("string")))
+    return docs
+
+
+def _hit(handle, number: int, least: int, penalty: int):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        tests = _tests(number, handle.value)
+        return pd.Series([next(tests.search(_hashed(t), least, penalty), None) is not None for t in texts], dtype="bool")
+
+    return hit

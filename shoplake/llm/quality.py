@@ -62,7 +62,7 @@ def _repeated(windows: Column, span: int) -> Column:
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _let(_let(pairs, twice), covered)).otherwise(F.lit(0).cast("long"))
 
 
-def metrics(docs: DataFrame, span: int = 5) -> DataFrame:
+def metrics(docs: DataFrame, span: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document with counts and ratios, all from built-in functions.
 
     Windows are compared by 64-bit hashes within one text, so a wrong count needs
@@ -70,18 +70,18 @@ def metrics(docs: DataFrame, span: int = 5) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # One-element explodes fix a value as a column: filters that callers add are not pushed below them, which would copy whole expressions.
-    split = docs.select("doc_id", text.alias("text"), F.explode(F.array(F.array_remove(F.split(text, SPACE + "+"), ""))).alias("words"))
+    split = docs.select("doc_id", *carry, text.alias("text"), F.explode(F.array(F.array_remove(F.split(text, SPACE + "+"), ""))).alias("words"))
     words, text = F.col("words"), F.col("text")
     windows = F.when(F.size(words) >= span, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (span - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, span)))).otherwise(F.array().cast("array<bigint>"))
     parts = split.select(
-        "doc_id", F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        "doc_id", *carry, F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"), F.length(F.regexp_replace(text, "[^!]+", "")).cast("long").alias("n_exclamations"),
         F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x09-\\x0D\\x20]")).alias("lines"), F.explode(F.array(windows)).alias("windows"),
     )
     lines, n = F.col("lines"), F.greatest("n_words", F.lit(1))
     counted = parts.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_exclamations", "n_stop_words", F.size(lines).cast("long").alias("n_lines"),
+        "doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_exclamations", "n_stop_words", F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), F.size(F.filter(lines, lambda x: x.rlike("[.!?:;][\"')]*[\\x09-\\x0D\\x20]*$"))).cast("long").alias("n_ended_lines"),
         F.explode(F.array(_repeated(F.col("windows"), span))).alias("n_repeat_words"),
     )
@@ -106,13 +106,19 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
     return F.array_compact(F.array(*tests))
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Counts, ``base_failed``, ``failed_rules`` and ``kept`` for every row of ``docs`` (doc_id, text).
 
     Null and word-less texts count as empty: no words, so they fail the first
-    rule. Repeated rows are judged one by one, extra columns are ignored, an
+    rule. ``carry`` names columns to keep beside the counts. Repeated rows are judged one by one, extra columns are ignored, an
     empty table gives no rows. Whole numbers decide base_failed, so no rounding.
     """
-    out = metrics(docs).withColumn("failed_rules", compile_rules(rules))
+    out = metrics(docs, carry=carry).withColumn("failed_rules", compile_rules(rules))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", base).withColumn("kept", ~base & (F.size("failed_rules") == 0))
+
+
+def good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    whole = docs.select("doc_id", "text", F.struct("*").alias("whole_row"))
+    return judge(whole, rules, carry=("whole_row",)).filter("kept").select("whole_row.*")

@@ -171,3 +171,15 @@ def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataF
     found = components(links(reps, budget))
     named = reps.join(found.withColumnRenamed("u", "node"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
+    """One row of each group of near copies, with all its columns: the first in the order of the files read.
+
+    Rows are told apart by their place, not by doc_id, so null and repeated ids
+    are no special case; ``docs`` has to be a stored table, whose row order is stable.
+    """
+    placed = docs.withColumn("row_place", F.monotonically_increasing_id())
+    groups = near_duplicates(placed.select(F.col("row_place").alias("doc_id"), "text"), budget, shingle)
+    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("row_place"))
+    return placed.join(copies, "row_place", "left_anti").drop("row_place")

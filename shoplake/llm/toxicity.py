@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,3 +197,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     handle = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _score(it, handle.value), SCORES)
+
+
+def civil(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text is not predicted toxic, with all their columns."""
+    handle = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def chance(texts: pd.Series) -> pd.Series:
+        m = handle.value
+        a, b = m.weights
+        x = [math.log1p(significance(*scan(t, m.words, m.stems, m.default), m.lam, m.log_k)) for t in texts]
+        return pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * v)))) for v in x], dtype="float64")
+
+    return docs.filter(chance(F.col("text").cast("string")) < 0.5)
