@@ -103,7 +103,7 @@ def hybrid_recs(cf: DataFrame, content: DataFrame, rules: DataFrame, pop: DataFr
     only the most popular n + bought + listed can matter to a customer.
     """
     parts = [normalize(s).select("customer_id", "product_id", *[(F.col("score") if i == k else F.lit(0.0)).alias(f"p{i}") for i in range(3)]) for k, s in enumerate((cf, content, rules))]
-    listed = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("customer_id", "product_id").agg(*[F.max(f"p{i}").alias(f"p{i}") for i in range(3)])
+    listed = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("customer_id", "product_id").agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(3)])
     bought = inter.select("customer_id", "product_id")
     need = bought.unionByName(listed.select("customer_id", "product_id")).groupBy("customer_id").agg((F.count("*") + n).alias("m"))
     popular = pop.withColumn("part", F.round(F.lit(weights[3]) * F.col("popularity"), 6))
@@ -111,7 +111,7 @@ def hybrid_recs(cf: DataFrame, content: DataFrame, rules: DataFrame, pop: DataFr
     # A heavy buyer lengthens only their own slice of the popular list.
     order = ranked.select(F.col("place").cast("long").alias("place"), "product_id")
     slices = need.select("customer_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("place")).join(order, "place").select("customer_id", "product_id", *[F.lit(0.0).alias(f"p{i}") for i in range(3)])
-    rows = listed.unionByName(slices).groupBy("customer_id", "product_id").agg(*[F.max(f"p{i}").alias(f"p{i}") for i in range(3)])
+    rows = listed.unionByName(slices).groupBy("customer_id", "product_id").agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(3)])
     rows = rows.join(bought, ["customer_id", "product_id"], "left_anti").join(pop, "product_id")
     score = F.round(sum((F.lit(w) * F.col(c) for w, c in zip(weights, ("p0", "p1", "p2", "popularity"))), F.lit(0.0)), 6)
     reason: Column = F.when(F.col("p0") > 0.3, "similar customers").when(F.col("p1") > 0.3, "similar products").when(F.col("p2") > 0.3, "bought together").otherwise("trending")
