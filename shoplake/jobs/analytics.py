@@ -25,14 +25,23 @@ def customer_base(orders: DataFrame, statuses: Sequence[str] | None = PAID, excl
     return kept.groupBy("customer_id").agg(F.count("*").alias("frequency"), F.sum("net_revenue").alias("monetary"), F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"))
 
 
-def _segment(r: Column, f: Column, m: Column, lost_big: bool) -> Column:
-    out = F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions").when((r >= 3) & (f >= 3), "Loyal Customers")
-    if lost_big:
-        out = out.when((r <= 2) & (f >= 4) & (m >= 4), "Cant Lose Them")
-    return (
-        out.when((r >= 4) & (f <= 2), "New Customers").when((r >= 3) & (m >= 3), "Potential Loyalists").when((r <= 2) & (f >= 3), "At Risk")
-        .when((r <= 2) & (f <= 2) & (m <= 2), "Lost").otherwise("Need Attention")
-    )
+#: Name and inclusive ranges of the recency, frequency and monetary scores; the first that fits counts.
+SEGMENTS = (
+    ("Champions", (4, 5), (4, 5), (4, 5)),
+    ("Loyal Customers", (3, 5), (3, 5), (1, 5)),
+    ("Promising", (4, 5), (1, 2), (1, 5)),
+    ("At Risk", (1, 2), (3, 5), (3, 5)),
+    ("Lost", (1, 2), (1, 2), (1, 2)),
+    ("Big Spenders", (3, 5), (1, 5), (4, 5)),
+)
+#: The report by NTILE has one more.
+SEGMENTS_8 = (*SEGMENTS, ("Cant Lose Them", (1, 1), (1, 5), (1, 5)))
+OTHER_SEGMENT = "Needs Attention"
+
+
+def _segment(r: Column, f: Column, m: Column, table: tuple) -> Column:
+    names = [F.when(r.between(*a) & f.between(*b) & m.between(*c), F.lit(name)) for name, a, b, c in table]
+    return F.coalesce(*names, F.lit(OTHER_SEGMENT))
 
 
 def rfm_quantile(orders: DataFrame, as_of, rel_err: float = 0.05, statuses: Sequence[str] = PAID) -> DataFrame:
@@ -52,7 +61,7 @@ def rfm_quantile(orders: DataFrame, as_of, rel_err: float = 0.05, statuses: Sequ
 
     scored = both.withColumns({"r_score": score("recency", True), "f_score": score("frequency", False), "m_score": score("monetary", False)})
     r, f, m = (F.col(c) for c in ("r_score", "f_score", "m_score"))
-    return scored.select("customer_id", "recency", "frequency", F.col("monetary").cast("double").alias("monetary"), "first_order", "last_order", r, f, m, F.concat(r.cast("string"), f.cast("string"), m.cast("string")).alias("rfm_code"), _segment(r, f, m, False).alias("segment"))
+    return scored.select("customer_id", "recency", "frequency", F.col("monetary").cast("double").alias("monetary"), "first_order", "last_order", r, f, m, F.concat(r.cast("string"), f.cast("string"), m.cast("string")).alias("rfm_code"), _segment(r, f, m, SEGMENTS).alias("segment"))
 
 
 def rfm_ntile(orders: DataFrame, as_of, orientation: str = "best_high") -> DataFrame:
@@ -66,7 +75,7 @@ def rfm_ntile(orders: DataFrame, as_of, orientation: str = "best_high") -> DataF
         order = [F.col(column).asc() if up else F.col(column).desc(), F.col("customer_id").asc()]
         base = global_row_number(base, order, "_pos").withColumn(name, ntile_of(F.col("_pos"), F.lit(n), 5)).drop("_pos")
     r, f, m = (F.col(c) for c in ("r_score", "f_score", "m_score"))
-    return base.select("customer_id", "recency", "frequency", F.col("monetary").cast("double").alias("monetary"), r, f, m, F.concat(r.cast("string"), f.cast("string"), m.cast("string")).alias("rfm_code"), _segment(r, f, m, True).alias("segment"))
+    return base.select("customer_id", "recency", "frequency", F.col("monetary").cast("double").alias("monetary"), r, f, m, F.concat(r.cast("string"), f.cast("string"), m.cast("string")).alias("rfm_code"), _segment(r, f, m, SEGMENTS_8).alias("segment"))
 
 
 def tier(value: Column) -> Column:
@@ -157,8 +166,8 @@ def funnel_daily(events: DataFrame) -> DataFrame:
     return days.withColumn("overall_pct", pct(F.col("purchase"), F.col("page_view")))
 
 
-def daily_kpis(orders: DataFrame, digits: int = 2) -> DataFrame:
-    """Per date and channel, with growth over the channel's row before."""
+def daily_kpis(orders: DataFrame, digits: int | None = 2) -> DataFrame:
+    """Per date and channel, with growth over the channel's row before, rounded to ``digits``."""
     two = lambda c: F.round(c, 2)
     # Customers first: one pass instead of a distinct count, and hot channels are dealt out.
     per = orders.groupBy("order_date", "channel", "customer_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("total_amount", "discount_amount", "tax_amount", "net_revenue")])
@@ -166,7 +175,8 @@ def daily_kpis(orders: DataFrame, digits: int = 2) -> DataFrame:
     prev = F.lag("net").over(Window.partitionBy("channel").orderBy("order_date"))
     rows = rows.withColumn("prev", prev)
     d = lambda c: F.col(c).cast("double")
-    growth = F.round(F.try_divide((F.col("net") - F.col("prev")) * 100, F.nullif(F.col("prev"), F.lit(0).cast("decimal(13,2)"))).cast("double"), digits)
+    growth = F.try_divide((d("net") - d("prev")) * 100, F.nullif(d("prev"), F.lit(0.0)))
+    growth = growth if digits is None else F.round(growth, digits)
     return rows.select("order_date", "channel", "orders", d("gross").alias("gross"), d("discount").alias("discount"), d("tax").alias("tax"), d("net").alias("net"), (d("net") / F.col("orders")).alias("aov"), "customers", d("prev").alias("prev_net"), growth.alias("growth_pct"))
 
 

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENGINEER, ANALYST, ADMIN, BI = "DATA_ENGINEER", "DATA_ANALYST", "ADMIN", "BI_USER"
+ENGINEER, ANALYST, ADMIN, BI = "DATA_ENGINEER", "DATA_ANALYST", "SYSADMIN", "BI_USER"
+CLEAR = (ENGINEER, ADMIN)
 REDACTED = "**REDACTED**"
 
 
 def mask_email(c: Column, role: str) -> Column:
-    return c if role == ENGINEER else F.regexp_replace(c, "^[^@]+", "***") if role == ANALYST else F.when(c.isNotNull(), REDACTED)
+    return c if role in CLEAR else F.regexp_replace(c, "^[^@]+", "***") if role == ANALYST else F.when(c.isNotNull(), REDACTED)
 
 
 def mask_phone(c: Column, role: str) -> Column:
-    return c if role == ENGINEER else F.concat(F.left(c, F.lit(3)), F.lit("****"), F.right(c, F.lit(2)))
+    return c if role in CLEAR else F.concat(F.left(c, F.lit(3)), F.lit("****"), F.right(c, F.lit(2)))
 
 
 def mask_name(c: Column, role: str) -> Column:
-    return c if role in (ENGINEER, ANALYST) else F.when(c.isNotNull(), REDACTED)
+    return c if role in (*CLEAR, ANALYST) else F.when(c.isNotNull(), REDACTED)
 
 
 MASKS = {"email": mask_email, "phone": mask_phone, "first_name": mask_name, "last_name": mask_name, "full_name": mask_name}

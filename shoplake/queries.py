@@ -39,9 +39,8 @@ def query(name: str, uses: tuple[str, ...] = (), sql: str | None = None):
     return add
 
 
-SEGMENT = """CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'Champions' WHEN r_score >= 3 AND f_score >= 3 THEN 'Loyal Customers' {extra}
- WHEN r_score >= 4 AND f_score <= 2 THEN 'New Customers' WHEN r_score >= 3 AND m_score >= 3 THEN 'Potential Loyalists' WHEN r_score <= 2 AND f_score >= 3 THEN 'At Risk'
- WHEN r_score <= 2 AND f_score <= 2 AND m_score <= 2 THEN 'Lost' ELSE 'Need Attention' END"""
+SEGMENT = """CASE WHEN r_score > 3 AND f_score > 3 AND m_score > 3 THEN 'Champions' WHEN r_score > 2 AND f_score > 2 THEN 'Loyal Customers' WHEN r_score > 3 AND f_score < 3 THEN 'Promising'
+ WHEN r_score < 3 AND f_score > 2 AND m_score > 2 THEN 'At Risk' WHEN r_score < 3 AND f_score < 3 AND m_score < 3 THEN 'Lost' WHEN r_score > 2 AND m_score > 3 THEN 'Big Spenders' {extra} ELSE 'Needs Attention' END"""
 RFM_BASE = """b AS (SELECT customer_id, count(*) frequency, sum(net_revenue) monetary, min(order_date) first_order, max(order_date) last_order,
  date_diff('day', max(order_date), DATE '2001-12-31') recency FROM m_orders WHERE {where} GROUP BY customer_id)"""
 RFM_QUANTILE = f"""WITH {RFM_BASE.format(where="status IN ('COMPLETED', 'SHIPPED')")},
@@ -66,7 +65,7 @@ def _ntile_sql(r: str, fm: str) -> str:
     return f"""WITH {RFM_BASE.format(where="status NOT IN ('CANCELLED', 'REFUNDED')")},
 s AS (SELECT *, ntile(5) OVER (ORDER BY recency {r}, customer_id) r_score, ntile(5) OVER (ORDER BY frequency {fm}, customer_id) f_score, ntile(5) OVER (ORDER BY monetary {fm}, customer_id) m_score FROM b)
 SELECT customer_id, recency, frequency, CAST(monetary AS DOUBLE) monetary, r_score, f_score, m_score, r_score || '' || f_score || '' || m_score AS rfm_code,
- {SEGMENT.format(extra="WHEN r_score <= 2 AND f_score >= 4 AND m_score >= 4 THEN 'Cant Lose Them'")} AS segment FROM s"""
+ {SEGMENT.format(extra="WHEN r_score = 1 THEN 'Cant Lose Them'")} AS segment FROM s"""
 
 
 @query("a2_rfm_ntile", ("m_orders",), _ntile_sql("DESC", "ASC"))
@@ -172,9 +171,9 @@ def _(items, products):
 @query("a11_daily_kpis", ("m_orders",), """WITH k AS (SELECT order_date, channel, count(*) orders, round(sum(total_amount), 2) gross, round(sum(discount_amount), 2) discount, round(sum(tax_amount), 2) tax, round(sum(net_revenue), 2) net, count(DISTINCT customer_id) customers FROM m_orders GROUP BY 1, 2),
 l AS (SELECT *, lag(net) OVER (PARTITION BY channel ORDER BY order_date) prev FROM k)
 SELECT order_date, channel, orders, CAST(gross AS DOUBLE) AS gross, CAST(discount AS DOUBLE) AS discount, CAST(tax AS DOUBLE) AS tax, CAST(net AS DOUBLE) AS net, CAST(net AS DOUBLE) / orders AS aov, customers, CAST(prev AS DOUBLE) AS prev_net,
- round(CAST((net - prev) * 100 AS DOUBLE) / nullif(CAST(prev AS DOUBLE), 0), 5) AS growth_pct FROM l""")
+ (CAST(net AS DOUBLE) - CAST(prev AS DOUBLE)) * 100 / nullif(CAST(prev AS DOUBLE), 0) AS growth_pct FROM l""")
 def _(orders):
-    return A.daily_kpis(orders, digits=5)
+    return A.daily_kpis(orders, digits=None)
 
 
 # ---- cleaning and quality -------------------------------------------------
@@ -362,9 +361,9 @@ def _(events):
     return stream.trending_products(events)
 
 
-@query("x3_cart_abandonment", ("m_events",), f"SELECT session_id, customer_id, carts, 0 AS purchases, n AS products, ws AS window_start, ws + INTERVAL 10 MINUTE AS window_end FROM (SELECT session_id, customer_id, ws, count(*) FILTER (event_type = 'add_to_cart') carts, count(*) FILTER (event_type = 'purchase') p, count(DISTINCT CASE WHEN event_type = 'add_to_cart' THEN product_id END) n FROM {SLIDE.format(s=2, n=5)} GROUP BY 1, 2, 3) WHERE carts > 0 AND p = 0")
+@query("x3_cart_abandonment", ("m_events",), f"SELECT session_id, customer_id, carts, 0 AS purchases, n AS products, true AS abandonment_flag, ws AS window_start, ws + INTERVAL 10 MINUTE AS window_end FROM (SELECT session_id, customer_id, ws, count(*) FILTER (event_type = 'add_to_cart') carts, count(*) FILTER (event_type = 'purchase') p, count(DISTINCT CASE WHEN event_type = 'add_to_cart' THEN product_id END) n FROM {SLIDE.format(s=2, n=5)} GROUP BY 1, 2, 3) WHERE carts > 0 AND p = 0")
 def _(events):
-    return stream.cart_abandonment(events).select("session_id", "customer_id", "carts", "purchases", F.size("products").alias("products"), "window_start", "window_end")
+    return stream.cart_abandonment(events).select("session_id", "customer_id", "carts", "purchases", F.size("products").alias("products"), "abandonment_flag", "window_start", "window_end")
 
 
 @query("x4_live_funnel", ("m_events",), f"SELECT *, round(purchase * 100.0::DOUBLE / nullif(page_view, 0), 2) AS conversion_pct, window_start + INTERVAL 1 MINUTE AS window_end FROM (SELECT {FUNNEL}, date_trunc('minute', event_timestamp) AS window_start FROM m_events GROUP BY date_trunc('minute', event_timestamp))")

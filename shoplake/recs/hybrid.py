@@ -96,6 +96,10 @@ def normalize(scores: DataFrame) -> DataFrame:
     return scores.withColumn("_b", best).withColumn("score", F.when(F.col("_b") > 0, F.col("score") / F.col("_b")).otherwise(0.0)).drop("_b")
 
 
+#: Reasons by the part that speaks first, and the one for none.
+REASONS = ("Based on customers like you", "Similar to items you bought", "Frequently bought together", "Trending in your category")
+
+
 def hybrid_recs(cf: DataFrame, content: DataFrame, rules: DataFrame, pop: DataFrame, inter: DataFrame, products: DataFrame, weights: tuple[float, ...] = (0.5, 0.3, 0.15, 0.05), n: int = 10) -> DataFrame:
     """Weighted blend over all products a customer hasn't bought, exact without scoring all pairs.
 
@@ -114,7 +118,7 @@ def hybrid_recs(cf: DataFrame, content: DataFrame, rules: DataFrame, pop: DataFr
     rows = listed.unionByName(slices).groupBy("customer_id", "product_id").agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(3)])
     rows = rows.join(bought, ["customer_id", "product_id"], "left_anti").join(pop, "product_id")
     score = F.round(sum((F.lit(w) * F.col(c) for w, c in zip(weights, ("p0", "p1", "p2", "popularity"))), F.lit(0.0)), 6)
-    reason: Column = F.when(F.col("p0") > 0.3, "similar customers").when(F.col("p1") > 0.3, "similar products").when(F.col("p2") > 0.3, "bought together").otherwise("trending")
+    reason: Column = F.coalesce(*[F.when(F.col(f"p{i}") > 0.3, F.lit(text)) for i, text in enumerate(REASONS[:3])], F.lit(REASONS[3]))
     scored = rows.select("customer_id", "product_id", score.alias("score"), reason.alias("reason"))
     w = Window.partitionBy("customer_id").orderBy(F.desc("score"), "product_id")
     best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -35,7 +35,7 @@ def cart_abandonment(events: DataFrame, window: str = "10 minutes", slide: str =
     hit = lambda e: F.sum(F.when(F.col("event_type") == e, 1).otherwise(0))
     cart = F.when(F.col("event_type") == "add_to_cart", F.col("product_id"))
     out = _watermark(events, delay).groupBy(F.window(TS, window, slide), "session_id", "customer_id").agg(hit("add_to_cart").alias("carts"), hit("purchase").alias("purchases"), F.collect_set(cart).alias("products"))
-    return _flat(out.filter("carts > 0 and purchases = 0").withColumn("alert", F.lit("CART_ABANDONED")))
+    return _flat(out.filter("carts > 0 and purchases = 0").withColumn("abandonment_flag", F.lit(True)))
 
 
 STEPS = ("page_view", "product_view", "add_to_cart", "checkout", "purchase")
