@@ -63,7 +63,7 @@ def _(orders):
 
 def _ntile_sql(r: str, fm: str) -> str:
     return f"""WITH {RFM_BASE.format(where="status NOT IN ('CANCELLED', 'REFUNDED')")},
-s AS (SELECT *, ntile(5) OVER (ORDER BY recency {r}, customer_id) r_score, ntile(5) OVER (ORDER BY frequency {fm}, customer_id) f_score, ntile(5) OVER (ORDER BY monetary {fm}, customer_id) m_score FROM b)
+s AS (SELECT *, CAST(ntile(5) OVER (ORDER BY recency {r}, customer_id) AS INTEGER) r_score, CAST(ntile(5) OVER (ORDER BY frequency {fm}, customer_id) AS INTEGER) f_score, CAST(ntile(5) OVER (ORDER BY monetary {fm}, customer_id) AS INTEGER) m_score FROM b)
 SELECT customer_id, recency, frequency, CAST(monetary AS DOUBLE) monetary, r_score, f_score, m_score, r_score || '' || f_score || '' || m_score AS rfm_code,
  {SEGMENT.format(extra="WHEN r_score = 1 THEN 'Cant Lose Them'")} AS segment FROM s"""
 
@@ -139,7 +139,7 @@ def raw_events(events: DataFrame) -> DataFrame:
     return events.withColumn("raw_json", body)
 
 
-@query("a9_parse_payload", ("m_events",), """SELECT event_id, event_type, device_type AS device, 'C' || (customer_id % 7) AS country, product_id, CASE WHEN product_id IS NOT NULL THEN value END AS price, 'a,1,b' AS cart_items, 2 AS cart_size, event_id % 600 AS seconds FROM m_events""")
+@query("a9_parse_payload", ("m_events",), """SELECT event_id, event_type, device_type AS device, 'C' || (customer_id % 7) AS country, product_id, CASE WHEN product_id IS NOT NULL THEN value END AS price, 'a,1,b' AS cart_items, CAST(2 AS BIGINT) AS cart_size, event_id % 600 AS seconds FROM m_events""")
 def _(events):
     return A.parse_payload(raw_events(events), limit=None)
 
@@ -261,7 +261,7 @@ def _(events):
 
 
 @query("w1_date_dim", ("m_orders",), """WITH d AS (SELECT CAST(unnest(generate_series((SELECT min(order_date) FROM m_orders), (SELECT max(order_date) FROM m_orders), INTERVAL 1 DAY)) AS DATE) full_date)
-SELECT CAST(strftime(full_date, '%Y%m%d') AS INTEGER) AS date_key, full_date, year(full_date) AS year, quarter(full_date) AS quarter, month(full_date) AS month, strftime(full_date, '%b') AS month_name, weekofyear(full_date) AS week, day(full_date) AS day, dayofweek(full_date) AS weekday, strftime(full_date, '%a') AS day_name, dayofweek(full_date) IN (0, 6) AS is_weekend, year(full_date) AS fiscal_year, quarter(full_date) AS fiscal_quarter, month(full_date) AS fiscal_month FROM d""")
+SELECT CAST(strftime(full_date, '%Y%m%d') AS INTEGER) AS date_key, full_date, CAST(year(full_date) AS INTEGER) AS year, CAST(quarter(full_date) AS INTEGER) AS quarter, CAST(month(full_date) AS INTEGER) AS month, strftime(full_date, '%b') AS month_name, CAST(weekofyear(full_date) AS INTEGER) AS week, CAST(day(full_date) AS INTEGER) AS day, CAST(dayofweek(full_date) AS INTEGER) AS weekday, strftime(full_date, '%a') AS day_name, dayofweek(full_date) IN (0, 6) AS is_weekend, CAST(year(full_date) AS INTEGER) AS fiscal_year, CAST(quarter(full_date) AS INTEGER) AS fiscal_quarter, CAST(month(full_date) AS INTEGER) AS fiscal_month FROM d""")
 def _(orders):
     lo, hi = orders.agg(F.min("order_date"), F.max("order_date")).first()
     return warehouse.date_dim(orders.sparkSession, str(lo), (hi - lo).days + 1)
@@ -361,9 +361,9 @@ def _(events):
     return stream.trending_products(events)
 
 
-@query("x3_cart_abandonment", ("m_events",), f"SELECT session_id, customer_id, carts, 0 AS purchases, n AS products, true AS abandonment_flag, ws AS window_start, ws + INTERVAL 10 MINUTE AS window_end FROM (SELECT session_id, customer_id, ws, count(*) FILTER (event_type = 'add_to_cart') carts, count(*) FILTER (event_type = 'purchase') p, count(DISTINCT CASE WHEN event_type = 'add_to_cart' THEN product_id END) n FROM {SLIDE.format(s=2, n=5)} GROUP BY 1, 2, 3) WHERE carts > 0 AND p = 0")
+@query("x3_cart_abandonment", ("m_events",), f"SELECT session_id, customer_id, carts, CAST(0 AS BIGINT) AS purchases, n AS products, true AS abandonment_flag, ws AS window_start, ws + INTERVAL 10 MINUTE AS window_end FROM (SELECT session_id, customer_id, ws, count(*) FILTER (event_type = 'add_to_cart') carts, count(*) FILTER (event_type = 'purchase') p, count(DISTINCT CASE WHEN event_type = 'add_to_cart' THEN product_id END) n FROM {SLIDE.format(s=2, n=5)} GROUP BY 1, 2, 3) WHERE carts > 0 AND p = 0")
 def _(events):
-    return stream.cart_abandonment(events).select("session_id", "customer_id", "carts", "purchases", F.size("products").alias("products"), "abandonment_flag", "window_start", "window_end")
+    return stream.cart_abandonment(events).select("session_id", "customer_id", "carts", "purchases", F.size("products").cast("long").alias("products"), "abandonment_flag", "window_start", "window_end")
 
 
 @query("x4_live_funnel", ("m_events",), f"SELECT *, round(purchase * 100.0::DOUBLE / nullif(page_view, 0), 2) AS conversion_pct, window_start + INTERVAL 1 MINUTE AS window_end FROM (SELECT {FUNNEL}, date_trunc('minute', event_timestamp) AS window_start FROM m_events GROUP BY date_trunc('minute', event_timestamp))")
