@@ -6,6 +6,8 @@ import base64
 import re
 import struct
 
+import numpy as np
+
 #: The code points of the Unicode property White_Space.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _WS = "".join(map(chr, _SPACES))
@@ -34,11 +36,18 @@ class Encoder:
         self._spaced: dict[str, bytes] = {}  # words, each standing for itself after a space
         self._feed = self._ids("\n")
         self._max_units, self._max_unit = max_units, max_unit
+        #: Whether an id's bytes begin with a space.
+        self.spaces = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.spaces[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
 
     def _ids(self, unit: str) -> bytes:
         ids = self._bpe.encode_ordinary(unit)
         return struct.pack(f"<{len(ids)}H", *ids)
 
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of a text in which few units repeat, without looking them up."""
+        return np.array(self._bpe.encode_ordinary(text), dtype=np.int64)
+
     def unit(self, unit: str) -> bytes:
         ids = self._ids(unit)
         if len(self._known) < self._max_units // 4 and len(unit) <= self._max_unit:
