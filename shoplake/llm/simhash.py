@@ -167,10 +167,14 @@ def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataF
     no node itself. An empty table gives no rows; extra columns are ignored.
     """
     prints = written(fingerprints(docs, shingle), "simhash")
-    reps = prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    found = components(links(reps, budget))
-    named = reps.join(found.withColumnRenamed("u", "node"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reps = prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"))
+    found = components(links(reps.select("fp", "node"), budget))
+    named = written(reps.join(found.withColumnRenamed("u", "node"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "rows"), "simhash-names")
+    # Fingerprints of many copies would meet in one task each. Those of a 500th of the rows are 500 at most, so they are broadcast.
+    many = F.col("rows") * 500 >= prints.count()
+    hot, rest = F.broadcast(named.filter(many).drop("rows")), named.filter(~many).drop("rows")
+    joined = prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(rest, "fp", "left"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
