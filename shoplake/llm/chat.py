@@ -1,7 +1,7 @@
 """Linking tool calls with their results.
 
-Calls and results meet in a join on the call's identifier. Calls that name other
-calls in their arguments are ordered after them, level by level; arguments are
+Calls and results meet in a join on the call's identifier. A call that names another
+in its arguments is ordered after it, by its place on that chain; arguments are
 checked against the tool's schema and written as canonical JSON (sorted keys, no
 white space, numbers in one form) by Spark's variant type.
 """
@@ -47,29 +47,27 @@ def schema_errors(name: Column, arguments: Column, fields: list[Field]) -> Colum
 
 
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(call_id, level): 0 for calls that need none, else one more than the deepest call needed; null on cycles.
+    """(call_id, level): 0 for calls that wait for none, else one more than the call waited for; null on and behind cycles.
 
-    ``calls`` (call_id), ``needs`` (call_id, needed), identifiers that aren't
-    calls don't bind. A round settles one level, by joins on identifiers only.
+    ``calls`` (call_id), ``needs`` (call_id, needed). A call waits for one call:
+    of several the least identifier counts, and identifiers that aren't calls
+    don't bind. Every round doubles how far a call has looked up its chain, so
+    a chain of n calls takes log2(n) joins; a round that settles none leaves
+    only cycles.
     """
     nodes = calls.select("call_id").filter("call_id is not null").distinct()
-    needs = needs.join(nodes.withColumnRenamed("call_id", "needed"), "needed", "left_semi").filter("call_id is not null").distinct()
-    waits = written(needs.select("call_id", "needed"), "chat-needs")
-    left = waits.select("call_id").distinct()
-    done = written(nodes.join(left, "call_id", "left_anti").withColumn("level", F.lit(0)), "chat-levels")
-    fresh, level, parts = done, 0, [done]
-    while fresh.take(1):
-        level += 1
-        # Those whose needs are now all settled, this round's among them.
-        waits = written(waits.join(fresh.select(F.col("call_id").alias("needed")), "needed", "left_anti"), "chat-needs")
-        still = waits.select("call_id").distinct()
-        fresh = written(left.join(still, "call_id", "left_anti").withColumn("level", F.lit(level)), "chat-levels")
-        left = still
-        parts.append(fresh)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return nodes.join(out, "call_id", "left")
+    ups = needs.join(nodes.withColumnRenamed("call_id", "needed"), "needed", "left_semi").groupBy("call_id").agg(F.min("needed").alias("up"))
+    state = nodes.join(ups, "call_id", "left").select("call_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("level"))
+    state = written(state, "chat-levels")
+    left = state.filter("up is not null").count()
+    while left:
+        above = state.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        state = written(state.join(above, "up", "left").select("call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "chat-levels")
+        now = state.filter("up is not null").count()
+        if now == left:
+            break
+        left = now
+    return state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, fields: list[Field], reference: str = "after") -> DataFrame:

@@ -30,6 +30,13 @@ def test_links_order_schema_and_canonical_json(spark):
     assert chat.link(none, spark.createDataFrame([], RESULTS), FIELDS).count() == 0
 
 
+def test_long_chains_and_cycles_behind(spark):
+    calls = spark.createDataFrame([(f"n{i}",) for i in range(300)] + [("x",), ("y",), ("z",)], "call_id string")
+    needs = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, 300)] + [("x", "y"), ("y", "x"), ("z", "x"), ("n0", "gone")], "call_id string, needed string")
+    got = {r.call_id: r.level for r in chat.levels(calls, needs).collect()}
+    assert got == {f"n{i}": i for i in range(300)} | {"x": None, "y": None, "z": None}
+
+
 def test_lists_in_force(spark):
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
     events = [("bad.example.com", "add", day(5)), ("bad.example.com", "remove", day(10)), ("bad.example.com", "add", day(20)), ("bad.example.com", "add", day(21)), ("example.org", "remove", day(1)), ("example.org", "add", day(3)), ("h.net/x", "add", day(0)), ("same.io", "add", day(4)), ("same.io", "remove", day(4)), (None, "add", day(0)), ("h.net", "add", None)]
