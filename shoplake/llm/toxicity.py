@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoplake.llm.sampling import least_hashed
+
 STEM = 5
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SCORES = "doc_id long, score double, predicted int, n_tokens long, n_passages int, passage_start long, passage_length long, passage_score double"
@@ -96,7 +98,7 @@ def sampled_labels(labels: DataFrame, training: Column, most: int) -> DataFrame:
     """At most ``most`` labelled training rows, those with the least hashes; one label per doc_id."""
     rows = labels.filter(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(most)
+    return least_hashed(rows, F.xxhash64("doc_id", F.lit(17)), [F.col("doc_id")], most, rows.count())
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, max_rows: int = 20_000, max_terms: int = 50_000, kappa: float = 4.0, z_least: float = 3.5) -> Model:
