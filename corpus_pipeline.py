@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplake.llm import decontam, packing, quality, simhash, toxicity
+from shoplake.llm import decontam, nearcopies, packing, quality, toxicity
 from shoplake.llm.queries import table, toxicity_model
 from shoplake.llm.store import written
 
@@ -20,9 +20,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group stays whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
     table(spark, sf_dir, "documents")  # ships the package when this stage runs alone
-    return simhash.one_of_each(docs)
+    return nearcopies.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
