@@ -47,27 +47,46 @@ def schema_errors(name: Column, arguments: Column, fields: list[Field]) -> Colum
 
 
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(call_id, level): 0 for calls that wait for none, else one more than the call waited for; null on and behind cycles.
+    """(call_id, level): 0 for calls that wait for none, else one more than the deepest call waited for; null on and behind cycles.
 
-    ``calls`` (call_id), ``needs`` (call_id, needed). A call waits for one call:
-    of several the least identifier counts, and identifiers that aren't calls
-    don't bind. Every round doubles how far a call has looked up its chain, so
-    a chain of n calls takes log2(n) joins; a round that settles none leaves
-    only cycles.
+    ``calls`` (call_id), ``needs`` (call_id, needed). Identifiers that aren't
+    calls don't bind. Calls with one need form chains, which end at a call with
+    none or with several; every round doubles how far a call has looked up its
+    chain, so a chain of n calls takes log2(n) joins, and a round that settles
+    none leaves only cycles. Then a round of joins for each depth settles the
+    calls with several needs, once all of theirs are known.
     """
     nodes = calls.select("call_id").filter("call_id is not null").distinct()
-    ups = needs.join(nodes.withColumnRenamed("call_id", "needed"), "needed", "left_semi").groupBy("call_id").agg(F.min("needed").alias("up"))
-    state = nodes.join(ups, "call_id", "left").select("call_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("level"))
+    bound = needs.join(nodes.withColumnRenamed("call_id", "needed"), "needed", "left_semi").select("call_id", "needed")
+    ups = bound.groupBy("call_id").agg(F.min("needed").alias("up"), F.max("needed").alias("last"))
+    several = F.col("up") < F.col("last")
+    state = nodes.join(ups, "call_id", "left").select("call_id", F.when(several, None).otherwise(F.col("up")).alias("up"), F.when(F.col("up").isNull() | several, 0).otherwise(1).cast("long").alias("level"), F.when(several, F.col("call_id")).alias("anchor"))
     state = written(state, "chat-levels")
-    left = state.filter("up is not null").count()
+    left, branching = state.agg(F.count("up"), F.count("anchor")).first()
     while left:
-        above = state.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        state = written(state.join(above, "up", "left").select("call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "chat-levels")
+        above = state.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"), F.col("anchor").alias("end"))
+        state = written(state.join(above, "up", "left").select("call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), F.coalesce("anchor", "end").alias("anchor")), "chat-levels")
         now = state.filter("up is not null").count()
         if now == left:
             break
         left = now
-    return state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+    if not branching:
+        return state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+    # What each need of a call with several comes to: a number, a number above another such call, or a cycle.
+    waits = bound.distinct().join(state.filter("anchor = call_id").select("call_id"), "call_id", "left_semi")
+    below = state.select(F.col("call_id").alias("needed"), (F.col("level") + 1).alias("more"), "anchor", F.col("up").isNotNull().alias("stuck"))
+    waits = written(waits.join(below, "needed").select("call_id", "more", "anchor", "stuck"), "chat-waits")
+    base = written(state.limit(0).select("anchor", F.col("level").alias("base")), "chat-bases")
+    settled = 0
+    while True:
+        value = F.when(F.col("stuck"), None).when(F.col("anchor").isNull(), F.col("more")).otherwise(F.col("base") + F.col("more"))
+        tried = waits.join(base, "anchor", "left").groupBy(F.col("call_id").alias("anchor")).agg(F.max(value).alias("base"), F.count(value).alias("known"), F.count("*").alias("all"))
+        base = written(tried.filter("known = all").select("anchor", "base"), "chat-bases")
+        if (now := base.count()) == settled:
+            break
+        settled = now
+    level = F.when(F.col("up").isNull(), F.when(F.col("anchor").isNull(), F.col("level")).otherwise(F.col("level") + F.col("base")))
+    return state.join(base, "anchor", "left").select("call_id", level.alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, fields: list[Field], reference: str = "after") -> DataFrame:
