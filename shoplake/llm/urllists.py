@@ -11,11 +11,18 @@ def host(url: Column) -> Column:
 
 
 def keys(url: Column) -> Column:
-    """What entries may name: the host, its last two labels, and the host with the first part of the path."""
+    """What entries may name: the host and every suffix of it of two labels or more, each alone and with every prefix of the path in whole parts.
+
+    Neither query nor fragment counts. A host of one label is a key as it is.
+    """
     h = host(url)
-    path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)", 1)
-    found = F.array_distinct(F.array(h, F.regexp_extract(h, "([^.]+\\.[^.]+)$", 1), F.when(path != "", F.concat(h, path))))
-    return F.filter(F.array_compact(found), lambda k: k != "")
+    path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
+    labels, parts = F.split(h, "\\."), F.split(path, "/")
+    # Part 1 is what stands before the first slash; parts 1 to n + 1 are the path's first n parts, and n = 0 the host alone.
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
+    paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    found = F.flatten(F.transform(suffixes, lambda s: F.transform(paths, lambda p: F.concat(s, p))))
+    return F.filter(F.array_distinct(F.when(h != "", found)), lambda k: ~k.endswith("/"))
 
 
 def intervals(events: DataFrame) -> DataFrame:
