@@ -53,36 +53,94 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) ->
 
 
 class Schedule:
-    """Where each window cuts each queue. Its size is that of the queues, which is bounded."""
+    """Where each window cuts each queue. A queue may be a pool with a schedule of its own: ``pools`` by queue."""
 
-    def __init__(self, totals: list[int], shares: list[float], window: int):
+    def __init__(self, totals: list[int], shares: list[float], window: int, pools: dict[int, Schedule] | None = None):
         self.window = window
         self.totals = np.array(totals, dtype=np.int64)
         self.shares = np.array(shares, dtype=np.float64)
-        dry = self.totals / self.shares
-        self._v = np.concatenate([[0.0], np.sort(dry)])
-        self._f = np.array([np.minimum(self.totals, self.shares * v).sum() for v in self._v])
+        self.pools = pools or {}
+        dry = [np.delete(self.totals / self.shares, list(self.pools)), *(p._v for p in self.pools.values())]
+        self._v = np.unique(np.concatenate([[0.0], *dry]))
+        self._f = np.zeros(len(self._v))
+        for queue in range(len(self.totals)):
+            self._f += self._spent(queue, self._v)
         self.tokens = int(self.totals.sum())
 
-    def fluid(self, queue: int, x: int) -> float:
+    def _spent(self, queue: int, v: np.ndarray) -> np.ndarray:
+        pool = self.pools.get(queue)
+        return np.interp(v, pool._v, pool._f) if pool else np.minimum(self.totals[queue], self.shares[queue] * v)
+
+    def fluid(self, queue: int, x: float) -> float:
         """Tokens of all queues that are due before token x of ``queue``, within the number of queues."""
-        return float(np.minimum(self.totals, self.shares * ((x + 0.5) / self.shares[queue])).sum())
+        pool = self.pools.get(queue)
+        v = np.interp(x + 0.5, pool._f, pool._v) if pool else (x + 0.5) / self.shares[queue]
+        return float(np.interp(v, self._v, self._f))
 
-    def cuts(self, first: int, last: int) -> np.ndarray:
-        """Row i: tokens of each queue in all windows before ``first + i``."""
-        goal = np.minimum(np.arange(first, last + 1, dtype=np.int64) * self.window, self.tokens)
+    def at(self, goal: np.ndarray) -> np.ndarray:
+        """Row i: tokens of each queue among the first ``goal[i]`` of all."""
         v = np.interp(np.maximum(goal - len(self.totals) / 2, 0), self._f, self._v)
         taken = np.clip(np.ceil(np.outer(v, self.shares) - 0.5), 0, self.totals).astype(np.int64)
+        for queue in self.pools:
+            taken[:, queue] = np.clip(np.ceil(self._spent(queue, v) - 0.5), 0, self.totals[queue])
         left = goal - taken.sum(axis=1)
         while (open_ := np.flatnonzero(left > 0)).size:
             now = taken[open_]
-            due = np.where(now < self.totals, (2 * now + 1) / (2 * self.shares), np.inf)
-            taken[open_, due.argmin(axis=1)] += 1
+            due = (2 * now + 1) / (2 * self.shares)
+            for queue, pool in self.pools.items():
+                due[:, queue] = np.interp(now[:, queue] + 0.5, pool._f, pool._v)
+            taken[open_, np.where(now < self.totals, due, np.inf).argmin(axis=1)] += 1
             left[open_] -= 1
         return taken
 
+    def cuts(self, first: int, last: int) -> np.ndarray:
+        """Row i: tokens of each queue in all windows before ``first + i``."""
+        return self.at(np.minimum(np.arange(first, last + 1, dtype=np.int64) * self.window, self.tokens))
+
+
+class Sources:
+    """A queue for every source: a tree of schedules of at most ``fan`` queues each.
 
-def _cut(batches: Iterator[pa.RecordBatch], schedule: Schedule, block: int = 4096) -> Iterator[pa.RecordBatch]:
+    A pool's curve is the sum of its sources' curves, so a source that runs dry
+    leaves its share to all others, and every level adds less than a token or
+    two to a source's deficit for each queue of its schedule.
+    """
+
+    def __init__(self, totals: list[int], shares: list[float], window: int, fan: int = 64):
+        self.window = window
+        self._paths: list[list[tuple[Schedule, int]]] = [[] for _ in totals]
+
+        def grow(items: np.ndarray) -> Schedule:
+            parts = np.array_split(items, min(len(items), max(fan, 2)))
+            pools = {i: grow(p) for i, p in enumerate(parts) if len(p) > 1}
+            plan = Schedule([sum(totals[k] for k in p) for p in parts], [sum(shares[k] for k in p) for p in parts], window, pools)
+            for i, p in enumerate(parts):
+                for k in p:
+                    self._paths[k].insert(0, (plan, i))
+            return plan
+
+        self.tokens = grow(np.arange(len(totals))).tokens
+
+    def windows(self, source: int, lo: int, hi: int) -> tuple[int, int]:
+        """First and last window that tokens lo to hi of ``source`` can be in."""
+        a, b = float(lo), float(hi)
+        for plan, queue in reversed(self._paths[source]):
+            slack = len(plan.totals) + 1
+            a, b = max(0.0, plan.fluid(queue, a) - slack), plan.fluid(queue, b) + slack
+        return int(a // self.window), int(b // self.window) + 1
+
+    def cuts(self, source: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of ``source`` before each window, and where in each window its piece starts."""
+        before = np.zeros(last - first, dtype=np.int64)
+        mine = np.minimum(np.arange(first, last + 1, dtype=np.int64) * self.window, self.tokens)
+        for plan, queue in self._paths[source]:
+            cuts = plan.at(mine)
+            before += np.diff(cuts, axis=0)[:, :queue].sum(axis=1)
+            mine = cuts[:, queue]
+        return mine, before
+
+
+def _cut(batches: Iterator[pa.RecordBatch], schedule: Sources, block: int = 4096) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, source, ids, n, queue, start) to pieces."""
     for batch in batches:
         queue, start, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 3))
@@ -95,13 +153,9 @@ def _cut(batches: Iterator[pa.RecordBatch], schedule: Schedule, block: int = 409
             q, begins = int(queue[rows[0]]), start[rows]
             lo, hi = int(begins[0]), int(begins[-1] + n[rows[-1]])
             ids = memoryview(np.frombuffer(b"".join(batch.column(2)[int(r)].as_py() for r in rows), dtype="<u2").astype("<u4").tobytes())
-            slack = len(schedule.totals) + 1
-            first = max(0, int((schedule.fluid(q, lo) - slack) // schedule.window))
-            last = int((schedule.fluid(q, hi) + slack) // schedule.window) + 1
+            first, last = schedule.windows(q, lo, hi)
             for k in range(first, last + 1, block):
-                cuts = schedule.cuts(k, min(k + block, last + 1))
-                before = np.diff(cuts, axis=0)[:, :q].sum(axis=1)
-                mine = cuts[:, q]
+                mine, before = schedule.cuts(q, k, min(k + block, last + 1))
                 x0, x1 = max(lo, int(mine[0])), min(hi, int(mine[-1]))
                 if x0 >= x1:
                     continue
@@ -121,9 +175,8 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, sequence: int
     """Pack whole documents (doc_id, source, text) into windows of ``sequence`` tokens.
 
     ``shares`` gives target proportions by source; without it a queue's share is
-    its token total to the power 1/``temperature``. The ``max_queues - 1``
-    largest sources have queues of their own; all smaller ones share one more
-    queue, in which nothing is lost. One row per piece; only the last sequence
+    its token total to the power 1/``temperature``. Every source has a queue; of
+    more than ``max_queues`` sources the queues form a tree. One row per piece; only the last sequence
     is short. Null text counts as empty (one end token), null source is a
     source of its own, repeated rows are packed as often as they come, extra
     columns are ignored, and an empty table gives no rows.
@@ -132,22 +185,18 @@ def pack(docs: DataFrame, shares: dict[str, float] | None = None, sequence: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
     encoded = written(rows.mapInArrow(lambda it: _encode(it, vocabulary, end_id), ENCODED), "packing-ids")
     spent = encoded.groupBy("source", "part").agg(F.sum("n").alias("tokens"))
-    largest = [(r.source, r.tokens) for r in spent.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "source").limit(max_queues - 1).collect()]
-    everything = spent.agg(F.sum("tokens")).first()[0] or 0
-    if not everything:
+    sources = [(r.source, r.tokens) for r in spent.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "source").collect()]
+    if not sources:
         return spark.createDataFrame([], PIECES)
-    totals, names = [t for _, t in largest], [s for s, _ in largest]
-    rest = everything - sum(totals)
-    if rest:
-        totals.append(rest)
+    totals, names = [t for _, t in sources], [s for s, _ in sources]
     weights = [t ** (1 / temperature) for t in totals]
     if shares:
-        weights = [max(shares.get(s, 0.0), 1e-9) for s in names] + [max(sum(v for s, v in shares.items() if s not in names), 1e-9)] * bool(rest)
-    weights = [w / sum(weights) for w in weights]
-    schedule = Schedule(totals, weights, sequence)
+        weights = [max(shares.get(s, 0.0), 1e-9) for s in names]
+    all_weights = sum(weights)
+    schedule = Sources(totals, [w / all_weights for w in weights], sequence, max_queues)
     queues = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "source string, queue int")
-    queued = spent.join(F.broadcast(queues), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
-    earlier = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
+    queued = spent.join(broadcast_if_small(queues, 1_000_000), "source")
+    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = queued.select("source", "part", "queue", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("before"))
     placed = encoded.join(broadcast_if_small(offsets, 1_000_000), ["source", "part"]).select("doc_id", "source", "ids", "n", "queue", (F.col("before") + F.col("local_start")).alias("start"))
     return placed.mapInArrow(lambda it: _cut(it, schedule), PIECES)
