@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplake.functions.expr import as_date, pct
-from shoplake.operators.ranking import global_row_number, ntile_of
+from shoplake.functions.store import written
+from shoplake.operators.ranking import global_row_number, global_running_sum, ntile_of
 
 PAID = ("COMPLETED", "SHIPPED")
 VOID = ("CANCELLED", "REFUNDED")
@@ -66,7 +67,8 @@ def rfm_quantile(orders: DataFrame, as_of, rel_err: float = 0.05, statuses: Sequ
 
 def rfm_ntile(orders: DataFrame, as_of, orientation: str = "best_high") -> DataFrame:
     """Scores by NTILE(5) over all customers, at scale; ``literal`` keeps 1 as the best score as the original text has it."""
-    base = customer_base(orders, None, VOID).withColumn("recency", F.datediff(as_date(as_of), "last_order").cast("long")).persist()
+    base = customer_base(orders, None, VOID).withColumn("recency", F.datediff(as_date(as_of), "last_order").cast("long"))
+    base = written(base, "rfm-base")
     n = base.count()
     best_high = orientation == "best_high"
     for name, column, low_best in (("r_score", "recency", True), ("f_score", "frequency", False), ("m_score", "monetary", False)):
@@ -140,12 +142,20 @@ def product_performance(items: DataFrame, products: DataFrame, reviews: DataFram
     rows = sold.join(products.select("product_id", "category_name", "cost_price"), "product_id").join(rated, "product_id", "left")
     margin = F.col("rev") - F.col("units") * F.col("cost_price")
     rows = rows.withColumns({"margin_d": margin})
-    total = rows.agg(F.sum("rev").alias("total_rev"))
-    w = Window.orderBy(F.desc("rev"), "product_id")
-    tied = Window.orderBy(F.desc("rev"))
-    cum = F.sum("rev").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumns({"revenue_rank": F.rank().over(tied), "category_rank": F.rank().over(Window.partitionBy("category_name").orderBy(F.desc("rev"))), "pct_rank": F.percent_rank().over(Window.orderBy("rev")), "cum_d": cum})
+    rows = written(rows, "products-sold")
+    total = rows.agg(F.sum("rev").alias("total_rev"), F.count("*").alias("n"))
+    by_rev = [F.desc("rev"), F.col("product_id")]
+    summed = written(global_running_sum(global_row_number(rows, by_rev, "_rn"), by_rev, "rev", "cum_d"), "products-summed")
+    # Ranks with ties come from the first and the last row number of each revenue, so no window holds all products.
+    levels = summed.groupBy("rev").agg(F.min("_rn").alias("revenue_rank"), F.max("_rn").alias("_last"))
+    in_category = written(global_row_number(rows.select("product_id", "category_name", "rev"), [F.col("category_name").asc_nulls_first(), *by_rev], "_cn"), "products-categories")
+    first = in_category.groupBy("category_name").agg(F.min("_cn").alias("_first"))
+    tied = in_category.groupBy("category_name", "rev").agg(F.min("_cn").alias("_tie"))
+    # A null category is one category of its own.
+    places = tied.alias("t").join(first.alias("f"), F.col("t.category_name").eqNullSafe(F.col("f.category_name"))).select(F.col("t.category_name").alias("_c"), F.col("t.rev").alias("_r"), (F.col("_tie") - F.col("_first") + 1).alias("category_rank"))
+    out = summed.join(levels, "rev").join(places, F.col("category_name").eqNullSafe(F.col("_c")) & (F.col("rev") == F.col("_r")))
     out = out.crossJoin(F.broadcast(total))
+    out = out.withColumn("pct_rank", F.when(F.col("n") > 1, (F.col("n") - F.col("_last")) / (F.col("n") - 1)).otherwise(0.0))
     d = lambda c: F.col(c).cast("double")
     return out.select("product_id", "category_name", "units", d("rev").alias("revenue"), d("margin_d").alias("margin"), (d("margin_d") * 100 / F.nullif(d("rev"), F.lit(0.0))).alias("margin_pct"), "avg_rating", F.coalesce("reviews", F.lit(0)).alias("reviews"), F.col("revenue_rank").cast("long").alias("revenue_rank"), F.col("category_rank").cast("long").alias("category_rank"), "pct_rank", d("cum_d").alias("cum_revenue"), (d("cum_d") * 100 / d("total_rev")).alias("cum_pct"))
 

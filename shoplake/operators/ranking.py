@@ -5,20 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoplake.functions.store import written
+
+#: Bits that hold a row's place within its partition in ``monotonically_increasing_id``.
+_PLACE_BITS = 33
+
+
+def _ranged(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
+    """``df`` in ranges of ``order`` with _range and _place (from 1), pinned by a written table: bounds are sampled, so a lost executor would deal rows anew."""
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    placed = written(ranged.sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_at")), "ranges")
+    place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)) + 1
+    return placed.withColumns({"_range": F.shiftright("_at", _PLACE_BITS), "_place": place}).drop("_at")
+
+
+def _starts(placed: DataFrame, total: Column) -> DataFrame:
+    """_start of each range: ``total`` over all ranges before it; a row for each range."""
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_range").agg(total.alias("_n"))
+    return F.broadcast(sizes.select("_range", F.sum("_n").over(before).alias("_start")))
+
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_number", parts: int | None = None) -> DataFrame:
     """Number rows 1..n by ``order``, which has to be total.
 
-    Rows are dealt by ranges of ``order`` and numbered within each; a table with
-    one count per range shifts them. Range bounds are sampled, so the frame is
-    persisted for both passes to see the same ranges.
+    One shuffle: rows are dealt by ranges of ``order`` and sorted within each, so
+    a row's place in its range is its place in the partition; a table with one
+    count per range shifts it.
     """
-    ranged = (df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)).withColumn("_range", F.spark_partition_id())
-    ranged = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).persist()
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_rank")).drop("_range", "_rank", "_start")
+    placed = _ranged(df, order, parts)
+    joined = placed.join(_starts(placed, F.count("*")), "_range")
+    return joined.withColumn(name, F.coalesce("_start", F.lit(0)) + F.col("_place")).select(*df.columns, name)
+
+
+def global_running_sum(df: DataFrame, order: list[Column], value: str, name: str, parts: int | None = None) -> DataFrame:
+    """The sum of ``value`` over all rows up to each by ``order``, which has to be total; no task holds more than a range."""
+    placed = _ranged(df, order, parts)
+    within = F.sum(value).over(Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.withColumn("_within", within).join(_starts(placed, F.sum(value)), "_range")
+    return joined.withColumn(name, F.col("_within") + F.coalesce("_start", F.lit(0))).select(*df.columns, name)
 
 
 def ntile_of(position: Column, n: Column, k: int) -> Column:

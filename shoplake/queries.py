@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplake.functions.cluster import ship_package
+from shoplake.functions.store import written
 from shoplake.jobs import analytics as A
 from shoplake.jobs import clean, warehouse
 from shoplake.operators import basket, governance, quality, scd
@@ -435,13 +436,13 @@ def _(items, orders, reviews):
 
 @query("r5_cf_top_n", RECS)
 def _(items, orders, reviews):
-    inter = hybrid.interactions(items, orders, reviews).persist()
+    inter = written(hybrid.interactions(items, orders, reviews), "interactions")
     return factors.cf_top_n(factors.train_cf(inter), inter)
 
 
 @query("r4_cf_rmse", RECS)
 def _(items, orders, reviews):
-    inter = hybrid.interactions(items, orders, reviews).persist()
+    inter = written(hybrid.interactions(items, orders, reviews), "interactions")
     return factors.cf_rmse(factors.train_cf(inter), inter)
 
 

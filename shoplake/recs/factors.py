@@ -11,7 +11,9 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoplake.functions.store import written
 from shoplake.operators.ranking import global_row_number
+from shoplake.recs.blocks import BLOCK_ITEMS, best_of_blocks, in_blocks
 
 
 class Factors(NamedTuple):
@@ -26,7 +28,7 @@ def _ids(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def train_cf(inter: DataFrame, rank: int = 15, iterations: int = 10, reg: float = 0.1, cap: float = 5.0) -> Factors:
-    users, items = _ids(inter, "customer_id", "u").persist(), _ids(inter, "product_id", "i").persist()
+    users, items = written(_ids(inter, "customer_id", "u"), "cf-users"), written(_ids(inter, "product_id", "i"), "cf-items")
     rows = inter.join(users, "customer_id").join(items, "product_id").select("u", "i", F.least("score", F.lit(cap)).cast("float").alias("score"))
     als = ALS(rank=rank, maxIter=iterations, regParam=reg, userCol="u", itemCol="i", ratingCol="score", coldStartStrategy="drop", seed=42)
     return Factors(als.fit(rows), users, items)
@@ -37,34 +39,29 @@ def cf_rmse(f: Factors, inter: DataFrame, cap: float = 5.0) -> DataFrame:
     return f.model.transform(rows).agg(F.sqrt(F.avg((F.col("prediction") - F.col("score")) ** 2)).alias("rmse"))
 
 
-def cf_top_n(f: Factors, inter: DataFrame, n: int = 50, max_items: int = 2_000_000) -> DataFrame:
-    """Unbought products by factor product. Item factors are broadcast while they number ``max_items`` at most; beyond that Spark's blocked join ranks them."""
-    bought = inter.join(f.users, "customer_id").join(f.items, "product_id").groupBy("u").agg(F.collect_list("i").alias("have"))
-    if f.items.count() > max_items:
-        most = bought.agg(F.max(F.size("have"))).first()[0] or 0
-        listed = f.model.recommendForAllUsers(n + most).select("u", F.explode("recommendations").alias("r")).select("u", "r.i", F.col("r.rating").cast("double").alias("score"))
-        named = listed.join(f.users, "u").join(f.items, "i").select("customer_id", "product_id", "score").join(inter.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
-        from shoplake.recs.hybrid import top
+def cf_top_n(f: Factors, inter: DataFrame, n: int = 50, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """Unbought products by factor product, exact: every customer against all item factors, a block of ``block_items`` at a time."""
+    bought = inter.join(f.users, "customer_id").join(f.items, "product_id").groupBy("u").agg(F.collect_list("product_id").alias("have"))
+    factors = written(f.model.itemFactors.join(f.items.withColumnRenamed("i", "id"), "id").select("product_id", "features"), "item-factors")
+    users = f.model.userFactors.join(bought.withColumnRenamed("u", "id"), "id").join(f.users.withColumnRenamed("u", "id"), "id").select("customer_id", "features", "have")
 
-        return top(named, ["customer_id"], "score", "product_id", n)
-    table = f.model.itemFactors.join(f.items.withColumnRenamed("i", "id"), "id").orderBy("id").toPandas()
-    handle = inter.sparkSession.sparkContext.broadcast((table["id"].to_numpy(), np.array(table["features"].tolist(), dtype=np.float32).reshape(len(table), -1)))
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = handle.value
-        place = {int(i): k for k, i in enumerate(ids)}
+    def rank(batches: Iterator[pd.DataFrame], block: tuple[np.ndarray, np.ndarray]) -> Iterator[pd.DataFrame]:
+        ids, matrix = block
+        if not len(ids):
+            return
+        place = {x: k for k, x in enumerate(ids.tolist())}
+        k = min(n, len(ids))
         for whole in batches:
             for lo in range(0, len(whole), 256):
                 part = whole.iloc[lo : lo + 256]
                 scores = np.array(part["features"].tolist(), dtype=np.float32) @ matrix.T
                 for r, have in enumerate(part["have"]):
-                    scores[r, [place[int(i)] for i in have if int(i) in place]] = -np.inf
-                k = min(n, len(ids))
+                    scores[r, [place[x] for x in have if x in place]] = -np.inf
                 best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
                 rows = np.repeat(np.arange(len(part)), k)
-                out = pd.DataFrame({"u": part["id"].to_numpy()[rows], "i": ids[best.ravel()], "score": scores[rows, best.ravel()].astype(float)})
+                out = pd.DataFrame({"customer_id": part["customer_id"].to_numpy()[rows], "product_id": ids[best.ravel()], "score": scores[rows, best.ravel()].astype(float)})
                 yield out[np.isfinite(out["score"])]
 
-    users = f.model.userFactors.join(bought.withColumnRenamed("u", "id"), "id").select("id", "features", "have")
-    ranked = users.mapInPandas(rank, "u int, i int, score double")
-    return ranked.join(f.users, "u").join(F.broadcast(f.items), "i").select("customer_id", "product_id", "score")
+    blocks = ((rows["product_id"].to_numpy(), np.array(rows["features"].tolist(), dtype=np.float32)) for rows in in_blocks(factors, "product_id", block_items))
+    kind = lambda c: inter.schema[c].dataType.simpleString()
+    return best_of_blocks(written(users, "users"), "customer_id", blocks, rank, f"customer_id {kind('customer_id')}, product_id {kind('product_id')}, score double", "score", "product_id", n)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def top(df: DataFrame, keys: list[str], score: str, item: str, n: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), item)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+from shoplake.functions.cluster import broadcast_if_small
+from shoplake.functions.store import written
+from shoplake.operators.ranking import global_row_number
+from shoplake.recs.blocks import BLOCK_ITEMS, nearest, top
 
 
 def interactions(items: DataFrame, orders: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -47,22 +47,14 @@ def tfidf(tokens: DataFrame, products: DataFrame) -> DataFrame:
     return w.join(norm, "product_id").select("product_id", "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def _signatures(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Products with equal vectors share a signature: ((product_id, sig), (sig, token, weight))."""
-    rounded = F.round("weight", 9)
-    bags = vectors.groupBy("product_id").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("token", rounded.alias("w"))))).alias("sig"))
-    return bags, vectors.join(bags, "product_id").groupBy("sig", "token").agg(F.first("weight").alias("weight"))
-
-
-def similar_products(vectors: DataFrame, n: int = 10) -> DataFrame:
-    """Cosine top n without the product itself. Distinct vectors meet on tokens; a product reads at most n + 1 members of a signature."""
-    bags, sigs = _signatures(vectors)
-    other = sigs.select(F.col("sig").alias("sig2"), "token", F.col("weight").alias("w2"))
-    near = sigs.join(other, "token").groupBy("sig", "sig2").agg(F.round(F.sum(F.col("weight") * F.col("w2")), 9).alias("similarity"))
-    members = bags.withColumn("_n", F.row_number().over(Window.partitionBy("sig").orderBy("product_id"))).filter(F.col("_n") <= n + 1).select(F.col("sig").alias("sig2"), F.col("product_id").alias("other_id"))
-    ranked = near.join(members, "sig2").withColumn("_n", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("similarity"), "other_id"))).filter(F.col("_n") <= n + 1)
-    rows = bags.join(ranked.select("sig", "other_id", "similarity"), "sig").filter("other_id <> product_id").select("product_id", "other_id", "similarity")
-    return top(rows, ["product_id"], "similarity", "other_id", n)
+def similar_products(vectors: DataFrame, n: int = 10, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """Cosine top n without the product itself. Products with equal vectors ask once; every query meets all items in blocks, no pair is a row."""
+    rows = vectors.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("v"))
+    bags = written(rows.withColumn("sig", F.xxhash64(F.transform("v", lambda x: F.struct(x["token"], F.round(x["weight"], 9))))), "bags")
+    asked = bags.groupBy("sig").agg(F.min_by("v", "product_id").alias("v")).select("sig", F.col("v.token").alias("tokens"), F.col("v.weight").alias("weights"), F.array().cast("array<long>").alias("have"))
+    near = nearest(asked, "sig", vectors, "product_id", n + 1, block_items).withColumnRenamed("product_id", "other_id")
+    pairs = bags.select("product_id", "sig").join(near, "sig").filter("other_id <> product_id").select("product_id", "other_id", F.col("score").alias("similarity"))
+    return top(pairs, ["product_id"], "similarity", "other_id", n)
 
 
 def history(inter: DataFrame, last: int, order: str = "recent") -> DataFrame:
@@ -72,15 +64,15 @@ def history(inter: DataFrame, last: int, order: str = "recent") -> DataFrame:
     return inter.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= last).select("customer_id", "product_id")
 
 
-def content_recs(inter: DataFrame, vectors: DataFrame, last: int = 10, n: int = 50, order: str = "recent") -> DataFrame:
-    """Products nearest to the mean of the last ``last`` product vectors that the customer hasn't bought."""
+def content_recs(inter: DataFrame, vectors: DataFrame, last: int = 10, n: int = 50, order: str = "recent", block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """Products nearest to the mean of the last ``last`` product vectors that the customer hasn't bought; exact, every customer against all products in blocks."""
     hist = history(inter, last, order).join(vectors.select("product_id").distinct(), "product_id", "left_semi")
     size = hist.groupBy("customer_id").agg(F.count("*").alias("k"))
-    mean = hist.join(vectors, "product_id").groupBy("customer_id", "token").agg(F.sum("weight").alias("s")).join(size, "customer_id").select("customer_id", "token", (F.col("s") / F.col("k")).alias("m"))
-    bags, sigs = _signatures(vectors)
-    scores = mean.join(sigs, "token").groupBy("customer_id", "sig").agg(F.round(F.sum(F.col("m") * F.col("weight")), 9).alias("score"))
-    rows = scores.join(bags, "sig").select("customer_id", "product_id", "score").join(inter.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
-    return top(rows, ["customer_id"], "score", "product_id", n)
+    mean = hist.join(vectors, "product_id").groupBy("customer_id", "token").agg(F.sum("weight").alias("s")).join(size, "customer_id")
+    asked = mean.groupBy("customer_id").agg(F.collect_list(F.struct("token", (F.col("s") / F.col("k")).alias("weight"))).alias("v"))
+    have = inter.groupBy("customer_id").agg(F.collect_set("product_id").alias("have"))
+    queries = written(asked.join(have, "customer_id").select("customer_id", F.col("v.token").alias("tokens"), F.col("v.weight").alias("weights"), "have"), "content-queries")
+    return nearest(queries, "customer_id", vectors, "product_id", n, block_items)
 
 
 def rule_recs(cart: DataFrame, rules: DataFrame, n: int = 30) -> DataFrame:
@@ -110,11 +102,12 @@ def hybrid_recs(cf: DataFrame, content: DataFrame, rules: DataFrame, pop: DataFr
     listed = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("customer_id", "product_id").agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(3)])
     bought = inter.select("customer_id", "product_id")
     need = bought.unionByName(listed.select("customer_id", "product_id")).groupBy("customer_id").agg((F.count("*") + n).alias("m"))
-    popular = pop.withColumn("part", F.round(F.lit(weights[3]) * F.col("popularity"), 6))
-    ranked = popular.withColumn("place", F.row_number().over(Window.orderBy(F.desc("part"), "product_id")))
-    # A heavy buyer lengthens only their own slice of the popular list.
-    order = ranked.select(F.col("place").cast("long").alias("place"), "product_id")
-    slices = need.select("customer_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("place")).join(order, "place").select("customer_id", "product_id", *[F.lit(0.0).alias(f"p{i}") for i in range(3)])
+    need = written(need, "needs")
+    popular = pop.select("product_id", F.round(F.lit(weights[3]) * F.col("popularity"), 6).alias("part"))
+    most = need.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
+    order = global_row_number(popular, [F.desc("part"), F.col("product_id")], "place").filter(F.col("place") <= most).select(F.col("place").cast("long").alias("place"), "product_id")
+    # A heavy buyer lengthens only their own slice of the popular list. Place 1 is in every slice, so the list is broadcast as long as it is short.
+    slices = need.select("customer_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("place")).join(broadcast_if_small(order, 1_000_000), "place").select("customer_id", "product_id", *[F.lit(0.0).alias(f"p{i}") for i in range(3)])
     rows = listed.unionByName(slices).groupBy("customer_id", "product_id").agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(3)])
     rows = rows.join(bought, ["customer_id", "product_id"], "left_anti").join(pop, "product_id")
     score = F.round(sum((F.lit(w) * F.col(c) for w, c in zip(weights, ("p0", "p1", "p2", "popularity"))), F.lit(0.0)), 6)

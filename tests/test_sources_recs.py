@@ -91,7 +91,7 @@ def test_factors(spark, shop):
     f = factors.train_cf(inter, rank=5, iterations=5)
     mean = inter.select(F.stddev_pop(F.least("score", F.lit(5.0)))).first()[0]
     assert factors.cf_rmse(f, inter).first()[0] < mean
-    fast, slow = (factors.cf_top_n(f, inter, 5, m) for m in (10**6, 0))
+    fast, slow = (factors.cf_top_n(f, inter, 5, m) for m in (10**6, 7))
     key = lambda df: {(r.customer_id, r.product_id): round(r.score, 3) for r in df.collect()}
     a, b = key(fast), key(slow)
     assert a == b and not set(a) & {(r.customer_id, r.product_id) for r in inter.collect()}
@@ -103,3 +103,42 @@ def test_similar_products_share_signatures(spark, shop):
     assert all(math.isclose(r[0], 1.0) for r in vectors.groupBy("product_id").agg(F.sum(F.col("weight") ** 2)).select(F.col("sum(POWER(weight, 2))")).collect())
     near = hybrid.similar_products(vectors, 3).filter("product_id = 8").orderBy("other_id").collect()
     assert [r.other_id for r in near] == [0, 4, 12] and near[0].similarity == pytest.approx(1.0)
+
+
+def test_blocked_lists_equal_brute_force(spark, shop):
+    inter, products = shop
+    vectors = hybrid.tfidf(hybrid.product_tokens(products), products)
+    table: dict = {}
+    for r in vectors.collect():
+        table.setdefault(r.product_id, {})[r.token] = r.weight
+    bought: dict = {}
+    for r in inter.collect():
+        bought.setdefault(r.customer_id, []).append((r.last_date, r.product_id))
+    want = {}
+    for c, rows in bought.items():
+        last = [p for _, p in sorted(rows, key=lambda x: (x[0], x[1]), reverse=True)[:10] if p in table]
+        mean: dict = {}
+        for p in last:
+            for t, w in table[p].items():
+                mean[t] = mean.get(t, 0) + w / len(last)
+        scored = sorted((-round(sum(mean.get(t, 0) * w for t, w in v.items()), 6), p) for p, v in table.items() if p not in {x for _, x in rows})
+        want |= {(c, p): -s for s, p in [x for x in scored if x[0] < 0][:7]}
+    for block in (10**6, 9):
+        got = {(r.customer_id, r.product_id): r.score for r in hybrid.content_recs(inter, vectors, n=7, block_items=block).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+    near = {(r.product_id, r.other_id): r.similarity for r in hybrid.similar_products(vectors, 3, 9).collect()}
+    for p, v in table.items():
+        scored = sorted((-round(sum(v.get(t, 0) * w for t, w in o.items()), 6), q) for q, o in table.items() if q != p)[:3]
+        assert {q for x, q in near if x == p} == {q for _, q in scored}
+    assert hybrid.content_recs(inter, vectors.limit(0)).count() == 0 and hybrid.similar_products(vectors.limit(0)).count() == 0
+
+
+def test_marts_are_written(spark, shop, tmp_path):
+    from shoplake.recs.run import write_recommendations
+
+    picks = spark.createDataFrame([(1, 2, "n, x", 0.5)], "customer_id long, product_id long, product_name string, score double")
+    rules = spark.createDataFrame([(1, 2, 0.1, 0.2, 3.0)], "antecedent long, consequent long, support double, confidence double, lift double")
+    write_recommendations(picks, rules, str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m/recommendations")).count() == 1
+    assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "m/recommendations_csv")).first()["product_name"] == "n, x"
+    assert spark.read.option("header", True).csv(str(tmp_path / "m/association_rules_csv")).first()["lift"] == "3.0"
