@@ -1,25 +1,34 @@
 """Linking tool calls with their results.
 
-Calls and results meet in a join on the call's identifier. A call that names another
-in its arguments is ordered after it, by its place on that chain; arguments are
-checked against the tool's schema and written as canonical JSON (sorted keys, no
-white space, numbers in one form) by Spark's variant type.
+Calls and results meet in a hash join on conversation and identifier. A call that
+names others in its arguments is ordered after all of them, topologically;
+arguments are checked against the tool's schema and written as canonical JSON:
+sorted keys, no white space, one form for equal numbers.
 """
 
 from __future__ import annotations
 
+import json
+from decimal import Context, Decimal
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from shoplake.llm.store import written
 
 
+#: Digits of a number that count, and its greatest exponent.
+CONTEXT = Context(prec=10_000, Emax=999_999, Emin=-999_999)
+KEYS = ["conv_id", "call_id"]
+
+
 class Field(NamedTuple):
     tool: str
     name: str
-    kind: str  # "string", "long", "double" or "boolean"
+    kind: str  # a type of Spark: "string", "long", "double", "boolean", "array<string>"
     required: bool = True
     low: float | None = None
     high: float | None = None
@@ -46,68 +55,120 @@ def schema_errors(name: Column, arguments: Column, fields: list[Field]) -> Colum
     return out
 
 
+def number(x: Decimal) -> str:
+    """Equal numbers alike: plain digits from 1e-6 up to 1e21, else one digit, the others and an exponent."""
+    sign, digits, power = x.normalize(CONTEXT).as_tuple()
+    if not any(digits):
+        return "0"
+    text, point = "".join(map(str, digits)), len(digits) + power  # 0.text * 10^point
+    if 0 < point <= 21:
+        out = text.ljust(point, "0") if len(text) <= point else text[:point] + "." + text[point:]
+    elif -6 < point <= 0:
+        out = "0." + "0" * -point + text
+    else:
+        out = text[0] + ("." + text[1:] if text[1:] else "") + f"e{point - 1:+d}"
+    return "-" * sign + out
+
+
+def canonical_json(text: str | None) -> str | None:
+    """JSON with keys sorted by UTF-16 code units, no white space and numbers in one form; null for what isn't JSON."""
+
+    def write(x) -> str:
+        if isinstance(x, Decimal):
+            return number(x)
+        if isinstance(x, dict):
+            return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + write(x[k]) for k in sorted(x, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+        return "[" + ",".join(map(write, x)) + "]" if isinstance(x, list) else json.dumps(x, ensure_ascii=False)
+
+    try:
+        return write(json.loads(text, parse_int=Decimal, parse_float=Decimal, parse_constant=float)) if text is not None else None
+    except (ValueError, ArithmeticError, RecursionError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def _canonical(texts: pd.Series) -> pd.Series:
+    return texts.map(canonical_json)
+
+
+def _quoted(c: Column) -> Column:
+    """A string as JSON, null as null."""
+    inside = F.to_json(F.array(c), {"ignoreNullFields": "false"})
+    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+
+
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(call_id, level): 0 for calls that wait for none, else one more than the deepest call waited for; null on and behind cycles.
+    """(conv_id, call_id, level): 0 for calls that wait for none, else one more than the deepest call waited for; null on and behind cycles.
 
-    ``calls`` (call_id), ``needs`` (call_id, needed). Identifiers that aren't
-    calls don't bind. Calls with one need form chains, which end at a call with
+    ``calls`` (conv_id, call_id), ``needs`` (conv_id, call_id, needed): a call
+    waits for calls of its own conversation, and identifiers that aren't calls
+    there don't bind. Calls with one need form chains, which end at a call with
     none or with several; every round doubles how far a call has looked up its
     chain, so a chain of n calls takes log2(n) joins, and a round that settles
     none leaves only cycles. Then a round of joins for each depth settles the
     calls with several needs, once all of theirs are known.
     """
-    nodes = calls.select("call_id").filter("call_id is not null").distinct()
-    bound = needs.join(nodes.withColumnRenamed("call_id", "needed"), "needed", "left_semi").select("call_id", "needed")
-    ups = bound.groupBy("call_id").agg(F.min("needed").alias("up"), F.max("needed").alias("last"))
+    nodes = calls.select(*KEYS).dropna().distinct()
+    bound = needs.join(nodes.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi").select(*KEYS, "needed")
+    ups = bound.groupBy(*KEYS).agg(F.min("needed").alias("up"), F.max("needed").alias("last"))
     several = F.col("up") < F.col("last")
-    state = nodes.join(ups, "call_id", "left").select("call_id", F.when(several, None).otherwise(F.col("up")).alias("up"), F.when(F.col("up").isNull() | several, 0).otherwise(1).cast("long").alias("level"), F.when(several, F.col("call_id")).alias("anchor"))
+    state = nodes.join(ups, KEYS, "left").select(*KEYS, F.when(several, None).otherwise(F.col("up")).alias("up"), F.when(F.col("up").isNull() | several, 0).otherwise(1).cast("long").alias("level"), F.when(several, F.col("call_id")).alias("anchor"))
     state = written(state, "chat-levels")
     left, branching = state.agg(F.count("up"), F.count("anchor")).first()
     while left:
-        above = state.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"), F.col("anchor").alias("end"))
-        state = written(state.join(above, "up", "left").select("call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), F.coalesce("anchor", "end").alias("anchor")), "chat-levels")
+        above = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"), F.col("anchor").alias("end"))
+        state = written(state.join(above, ["conv_id", "up"], "left").select(*KEYS, F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), F.coalesce("anchor", "end").alias("anchor")), "chat-levels")
         now = state.filter("up is not null").count()
         if now == left:
             break
         left = now
     if not branching:
-        return state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+        return state.select(*KEYS, F.when(F.col("up").isNull(), F.col("level")).alias("level"))
     # What each need of a call with several comes to: a number, a number above another such call, or a cycle.
-    waits = bound.distinct().join(state.filter("anchor = call_id").select("call_id"), "call_id", "left_semi")
-    below = state.select(F.col("call_id").alias("needed"), (F.col("level") + 1).alias("more"), "anchor", F.col("up").isNotNull().alias("stuck"))
-    waits = written(waits.join(below, "needed").select("call_id", "more", "anchor", "stuck"), "chat-waits")
-    base = written(state.limit(0).select("anchor", F.col("level").alias("base")), "chat-bases")
+    waits = bound.distinct().join(state.filter("anchor = call_id").select(*KEYS), KEYS, "left_semi")
+    below = state.select("conv_id", F.col("call_id").alias("needed"), (F.col("level") + 1).alias("more"), "anchor", F.col("up").isNotNull().alias("stuck"))
+    waits = written(waits.join(below, ["conv_id", "needed"]).select(*KEYS, "more", "anchor", "stuck"), "chat-waits")
+    base = written(state.limit(0).select("conv_id", "anchor", F.col("level").alias("base")), "chat-bases")
     settled = 0
     while True:
         value = F.when(F.col("stuck"), None).when(F.col("anchor").isNull(), F.col("more")).otherwise(F.col("base") + F.col("more"))
-        tried = waits.join(base, "anchor", "left").groupBy(F.col("call_id").alias("anchor")).agg(F.max(value).alias("base"), F.count(value).alias("known"), F.count("*").alias("all"))
-        base = written(tried.filter("known = all").select("anchor", "base"), "chat-bases")
+        tried = waits.join(base, ["conv_id", "anchor"], "left").groupBy("conv_id", F.col("call_id").alias("anchor")).agg(F.max(value).alias("base"), F.count(value).alias("known"), F.count("*").alias("all"))
+        base = written(tried.filter("known = all").select("conv_id", "anchor", "base"), "chat-bases")
         if (now := base.count()) == settled:
             break
         settled = now
     level = F.when(F.col("up").isNull(), F.when(F.col("anchor").isNull(), F.col("level")).otherwise(F.col("level") + F.col("base")))
-    return state.join(base, "anchor", "left").select("call_id", level.alias("level"))
+    return state.join(base, ["conv_id", "anchor"], "left").select(*KEYS, level.alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, fields: list[Field], reference: str = "after") -> DataFrame:
     """One row per call of ``calls`` (conv_id, call_id, turn, name, arguments) and per result without a call.
 
-    ``results``: (call_id, turn, content); of several results the first by turn
-    is linked and all are counted. ``reference`` is the argument that names a
-    call to wait for. A call's place in its conversation is (level, turn,
-    call_id). Malformed arguments have null canonical JSON and the error
-    not_json, null identifiers link to nothing, calls on a cycle have a null
-    level, repeated rows are linked one by one, empty tables give no rows.
+    ``results``: (conv_id, call_id, turn, content); an identifier names a call
+    of its own conversation only. Of several results the first by turn is linked
+    and all are counted. ``reference`` is the argument that names a call to wait
+    for, or an array of several. A call's place in its conversation is (level,
+    turn, call_id). Malformed arguments have null canonical JSON and the error
+    not_json, null conversations and identifiers link to nothing and have level
+    0, calls on a cycle have a null level, repeated rows are linked one by one,
+    arguments and contents of any length are read whole, other columns of either
+    table are ignored, empty tables give no rows.
     """
-    parsed = calls.select("conv_id", "call_id", "turn", "name", F.try_parse_json(F.col("arguments")).alias("args"))
-    needs = parsed.select("call_id", F.try_variant_get("args", f"$.{reference}", "string").alias("needed")).filter("needed is not null")
-    first = results.groupBy("call_id").agg(F.min_by("content", F.struct("turn", "content")).alias("content"), F.count("*").alias("n_results"), F.min("turn").alias("result_turn"))
-    joined = parsed.join(first.filter("call_id is not null"), "call_id", "left").join(levels(calls, needs), "call_id", "left")
-    canonical = F.concat(F.lit('{"arguments":'), F.to_json("args"), F.lit(',"id":'), F.to_json(F.to_variant_object(F.array("call_id"))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array("call_id")))) - 2), F.lit(',"name":"'), F.col("name"), F.lit('"}'))
+    parsed = calls.select(*KEYS, "turn", "name", F.try_parse_json(F.col("arguments")).alias("args"), "arguments")
+    named = F.coalesce(F.try_variant_get("args", f"$.{reference}", "array<string>"), F.array(F.try_variant_get("args", f"$.{reference}", "string")))
+    needs = parsed.select(*KEYS, F.explode(named).alias("needed")).dropna()
+    known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    first = results.filter(known).groupBy(*KEYS).agg(F.min_by("content", F.struct("turn", "content")).alias("content"), F.count("*").alias("n_results"))
+    joined = parsed.filter(known).join(first.hint("shuffle_hash"), KEYS, "left").join(levels(calls, needs).hint("shuffle_hash"), KEYS, "left")
+    # Calls without an identifier would meet in one task.
+    loose = parsed.filter(~known).withColumns({"content": F.lit(None).cast("string"), "n_results": F.lit(None).cast("long"), "level": F.lit(0).cast("long")})
+    joined = joined.unionByName(loose)
+    canonical = F.concat(F.lit('{"arguments":'), _canonical(F.when(F.col("args").isNotNull(), F.col("arguments"))), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit("}"))
     linked = joined.select(
-        "conv_id", "call_id", "turn", "name", F.col("level").cast("long").alias("level"), F.col("content").isNotNull().alias("linked"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
+        *KEYS, "turn", "name", F.col("level").cast("long").alias("level"), F.col("content").isNotNull().alias("linked"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
         F.array_join(schema_errors(F.col("name"), F.col("args"), fields), ",").alias("errors"), canonical.alias("canonical"), F.col("content").alias("result"),
     )
-    known = calls.select("call_id").filter("call_id is not null").distinct()
-    orphans = results.join(known, "call_id", "left_anti").select(F.lit(None).cast(calls.schema["conv_id"].dataType).alias("conv_id"), "call_id", "turn", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("level"), F.lit(False).alias("linked"), F.lit(0).cast("long").alias("n_results"), F.lit("orphan_result").alias("errors"), F.lit(None).cast("string").alias("canonical"), F.col("content").alias("result"))
+    have = calls.select(*KEYS).dropna().distinct()
+    lost = results.filter(known).join(have, KEYS, "left_anti").unionByName(results.filter(~known))
+    orphans = lost.select(F.col("conv_id").cast(calls.schema["conv_id"].dataType).alias("conv_id"), "call_id", "turn", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("level"), F.lit(False).alias("linked"), F.lit(0).cast("long").alias("n_results"), F.lit("orphan_result").alias("errors"), F.lit(None).cast("string").alias("canonical"), F.col("content").alias("result"))
     return linked.unionByName(orphans)

@@ -2,43 +2,50 @@
 
 ORACLE_SQL = {
     "op2_tool_links": """
-WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) turn, role, coalesce(text, '') txt FROM conversations),
-c AS (SELECT conv_id, 'call-' || conv_id || '-' || turn call_id, turn, list_value('search', 'lookup', 'paint')[length(txt) % 3 + 1] AS name,
-  length(txt) % 50 lim, nullif(regexp_extract(txt, '^\\p{L}+'), '') q, CASE WHEN turn >= 3 THEN 'call-' || conv_id || '-' || (turn - 2) END aft
-  FROM t WHERE role = 'assistant'),
-r AS (SELECT 'call-' || conv_id || '-' || (turn - 1) call_id, turn, md5(txt) content FROM t WHERE role = 'user' AND turn >= 1),
-f AS (SELECT call_id, min_by(content, turn) content, count(*) n FROM r GROUP BY call_id),
-l1 AS (SELECT a.call_id, a.aft, b.aft aft2, d.aft aft3 FROM c a LEFT JOIN c b ON a.aft = b.call_id LEFT JOIN c d ON b.aft = d.call_id),
-lv AS (SELECT call_id, CASE WHEN aft IS NULL OR aft NOT IN (SELECT call_id FROM c) THEN 0 WHEN aft2 IS NULL OR aft2 NOT IN (SELECT call_id FROM c) THEN 1 WHEN aft3 IS NULL OR aft3 NOT IN (SELECT call_id FROM c) THEN 2 ELSE 3 END AS level FROM l1)
-SELECT c.conv_id, c.call_id, c.turn, c.name, CAST(lv.level AS BIGINT) AS level, f.content IS NOT NULL AS linked, coalesce(f.n, 0) AS n_results,
+WITH RECURSIVE t AS (SELECT conv_id, CAST(turn AS BIGINT) turn, role, coalesce(text, '') txt FROM conversations),
+c AS (SELECT conv_id, 'call-' || turn call_id, turn, list_value('search', 'lookup', 'paint')[length(txt) % 3 + 1] AS name, length(txt) % 50 lim, nullif(regexp_extract(txt, '^\\p{L}+'), '') q FROM t WHERE role = 'assistant'),
+r AS (SELECT conv_id, 'call-' || (turn - 1) call_id, turn, md5(txt) content FROM t WHERE role = 'user' AND turn >= 1),
+f AS (SELECT conv_id, call_id, min_by(content, turn) content, count(*) n FROM r GROUP BY ALL),
+w AS (SELECT conv_id, call_id, 'call-' || (turn - b) needed FROM c, (VALUES (2), (4)) v(b) WHERE turn >= b),
+d AS (SELECT w.* FROM w JOIN c ON c.conv_id = w.conv_id AND c.call_id = w.needed),
+p AS (SELECT conv_id, call_id, CAST(0 AS BIGINT) AS level FROM c UNION SELECT d.conv_id, d.call_id, p.level + 1 FROM p JOIN d ON d.conv_id = p.conv_id AND d.needed = p.call_id),
+lv AS (SELECT conv_id, call_id, max(level) AS level FROM p GROUP BY ALL)
+SELECT c.conv_id, c.call_id, c.turn, c.name, lv.level, f.content IS NOT NULL AS linked, coalesce(f.n, 0) AS n_results,
   CASE c.name WHEN 'search' THEN concat_ws(',', CASE WHEN q IS NULL THEN 'missing:query' END, CASE WHEN lim < 1 THEN 'low:limit' END, CASE WHEN lim > 40 THEN 'high:limit' END)
     WHEN 'lookup' THEN concat_ws(',', CASE WHEN q IS NULL THEN 'missing:query' END, CASE WHEN lim > 30 THEN 'high:limit' END) ELSE 'unknown_tool' END AS errors,
-  '{"arguments":{' || CASE WHEN aft IS NOT NULL THEN '"after":"' || aft || '",' ELSE '' END || '"limit":' || lim || CASE WHEN q IS NOT NULL THEN ',"query":"' || q || '"' ELSE '' END || '},"id":"' || c.call_id || '","name":"' || c.name || '"}' AS canonical,
+  '{"arguments":{' || CASE WHEN turn >= 4 THEN '"after":["call-' || (turn - 2) || '","call-' || (turn - 4) || '"],' WHEN turn >= 2 THEN '"after":["call-' || (turn - 2) || '"],' ELSE '' END || '"limit":' || lim || CASE WHEN q IS NOT NULL THEN ',"query":"' || q || '"' ELSE '' END || '},"id":"' || c.call_id || '","name":"' || c.name || '"}' AS canonical,
   f.content AS result
-FROM c LEFT JOIN f USING (call_id) JOIN lv ON lv.call_id = c.call_id
+FROM c LEFT JOIN f USING (conv_id, call_id) JOIN lv USING (conv_id, call_id)
 UNION ALL
-SELECT NULL, r.call_id, r.turn, NULL, NULL, FALSE, 0, 'orphan_result', NULL, r.content FROM r WHERE r.call_id NOT IN (SELECT call_id FROM c)
+SELECT r.conv_id, r.call_id, r.turn, NULL, NULL, FALSE, 0, 'orphan_result', NULL, r.content FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
 """,
     "op6_temporal_lists": """
 WITH cap AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS DATE) fetched, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) h,
-  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)', 1) p FROM pages),
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1) p FROM pages),
 hosts AS (SELECT DISTINCT h FROM cap WHERE h <> ''),
-e AS (SELECT CASE WHEN length(h) % 5 = 1 THEN h || '/en' ELSE h END entry, length(h) * 7 % 200 s FROM hosts WHERE length(h) % 3 <> 0),
+e0 AS (SELECT CASE length(h) % 5 WHEN 1 THEN h || '/en' WHEN 2 THEN CASE WHEN len(string_split(h, '.')) > 2 THEN substr(h, strpos(h, '.') + 1) ELSE h END ELSE h END entry, length(h) * 7 % 200 s FROM hosts WHERE length(h) % 3 <> 0),
+e AS (SELECT entry, min(s) s FROM e0 GROUP BY entry),
 iv AS (SELECT entry, CAST(DATE '2024-01-01' + CAST(s AS INTEGER) AS DATE) since, CAST(DATE '2024-01-01' + CAST(s + 60 AS INTEGER) AS DATE) til FROM e
   UNION ALL SELECT entry, CAST(DATE '2024-01-01' + CAST(s + 150 AS INTEGER) AS DATE), NULL FROM e),
-k AS (SELECT page_id, fetched, h AS entry FROM cap UNION SELECT page_id, fetched, regexp_extract(h, '([^.]+\\.[^.]+)$', 1) FROM cap UNION SELECT page_id, fetched, h || p FROM cap WHERE p <> ''),
+l AS (SELECT page_id, fetched, string_split(h, '.') labels, string_split(p, '/') parts FROM cap WHERE h <> ''),
+k1 AS (SELECT page_id, fetched, labels, parts, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) i FROM l),
+k2 AS (SELECT page_id, fetched, labels, parts, i, unnest(range(1, len(parts) + 1)) j FROM k1),
+k AS (SELECT DISTINCT page_id, fetched, array_to_string(labels[i:], '.') || array_to_string(parts[1:j], '/') AS entry FROM k2),
 hit AS (SELECT page_id, min(struct_pack(entry := k.entry, since := since)) b FROM k JOIN iv ON k.entry = iv.entry AND since <= fetched AND (til IS NULL OR fetched < til) GROUP BY page_id)
 SELECT page_id, url, fetched, b IS NOT NULL AS blocked, b.entry AS entry, b.since AS since FROM cap LEFT JOIN hit USING (page_id)
 """,
     "op10_revisits": """
-WITH b AS (SELECT page_id, regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$', '', 'g') bare, md5(coalesce(html, '')) tag, octet_length(encode(coalesce(html, '')))::VARCHAR size FROM pages),
-n AS (SELECT page_id, tag, size, regexp_replace(lower(regexp_extract(bare, '^[^/]*')), '^(www|m)\\.', '') || regexp_replace(substr(bare, length(regexp_extract(bare, '^[^/]*')) + 1), '(\\.html|/)$', '') AS canonical FROM b),
-v AS (SELECT page_id * 3 + k record_id, canonical, page_id % 1000 * 600 + k * 200000 ts, CASE WHEN k = 0 THEN 200 ELSE 304 END status, CASE WHEN k = 2 AND page_id % 5 = 0 THEN reverse(tag) ELSE tag END etag, size, tag FROM n, (VALUES (0), (1), (2)) x(k)),
-src AS (SELECT a.record_id, max(struct_pack(ts := f.ts, record_id := f.record_id, etag := f.etag, size := f.size)) s FROM v a JOIN v f ON a.canonical = f.canonical AND f.status = 200 AND f.ts < a.ts WHERE a.status = 304 GROUP BY a.record_id),
-o AS (SELECT v.*, s, CASE WHEN status = 200 THEN 'full' WHEN s IS NULL THEN 'no_earlier' WHEN s.etag = v.etag THEN 'resolved' ELSE 'validator_mismatch' END outcome FROM v LEFT JOIN src USING (record_id))
+WITH b AS (SELECT page_id, regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://|#.*$', '', 'g') bare, md5(coalesce(html, '')) tag, octet_length(encode(coalesce(html, '')))::VARCHAR size FROM pages),
+u AS (SELECT *, regexp_extract(bare, '^[^/?]*') site, regexp_extract(substr(bare, length(regexp_extract(bare, '^[^/?]*')) + 1), '^[^?]*') path,
+  list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|msclkid|mc_cid|mc_eid|ref)(=|$)'))) args FROM b),
+n AS (SELECT page_id, tag, size, regexp_replace(lower(site), '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/)$', '') || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS canonical FROM u),
+v AS (SELECT page_id * 3 + k record_id, canonical, page_id % 1000 * 600 + k * 200000 ts, CASE WHEN k = 0 THEN 200 ELSE 304 END status, size, tag,
+  CASE WHEN page_id % 7 = 0 THEN NULL WHEN k = 2 AND page_id % 5 = 0 THEN reverse(tag) ELSE tag END etag, CASE WHEN page_id % 7 = 0 THEN 'm' || (page_id % 11) || CASE WHEN k = 2 AND page_id % 3 = 0 THEN 'later' ELSE '' END END modified FROM n, (VALUES (0), (1), (2)) x(k)),
+src AS (SELECT a.record_id, max(struct_pack(ts := f.ts, record_id := f.record_id, etag := f.etag, size := f.size, tag := f.tag, modified := f.modified)) s FROM v a JOIN v f ON a.canonical = f.canonical AND f.status = 200 AND f.ts < a.ts WHERE a.status = 304 GROUP BY a.record_id),
+o AS (SELECT v.*, s, CASE WHEN status = 200 THEN 'full' WHEN s IS NULL THEN 'no_earlier' WHEN CASE WHEN v.etag IS NOT NULL AND s.etag IS NOT NULL THEN s.etag = v.etag ELSE coalesce(s.modified = v.modified, false) END THEN 'resolved' ELSE 'validator_mismatch' END outcome FROM v LEFT JOIN src USING (record_id))
 SELECT record_id, canonical, ts, status, outcome, CASE WHEN outcome = 'resolved' THEN s.record_id END AS source_id,
-  CASE outcome WHEN 'resolved' THEN '{"cache-control":"max-age=60","content-length":"' || s.size || '","content-type":"text/html","date":"t' || ts || '","etag":"' || s.etag || '"}'
-    WHEN 'full' THEN '{"content-length":"' || size || '","content-type":"text/html","date":"t' || ts || '","etag":"' || tag || '"}' END AS headers
+  CASE outcome WHEN 'resolved' THEN '{"cache-control":"max-age=60","content-length":"' || s.size || '","content-type":"text/html","date":"t' || ts || '","x-tag":"' || s.tag || '"}'
+    WHEN 'full' THEN '{"content-length":"' || size || '","content-type":"text/html","date":"t' || ts || '","x-tag":"' || tag || '"}' END AS headers
 FROM o
 """,
 }

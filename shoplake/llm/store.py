@@ -1,35 +1,5 @@
-"""Tables that cut lineage: written to the shared folder and read back."""
+"""Tables that cut lineage: the library's own store."""
 
-from __future__ import annotations
+from shoplake.functions.store import new_path, shared_folder, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (local tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _own[app]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return a reader of it.
-
-    A lost executor costs a re-read of files, never a recomputation of what was
-    written, and a stage whose row order isn't stable is pinned by it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "shared_folder", "written"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoplake.llm.store import written
+
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
@@ -37,16 +39,27 @@ def intervals(events: DataFrame) -> DataFrame:
     return turns.withColumn("until", F.lead("day").over(w)).filter("removed = 0").select("entry", F.col("day").alias("since"), "until")
 
 
-def judge(captures: DataFrame, events: DataFrame) -> DataFrame:
+def judge(captures: DataFrame, events: DataFrame, bucket_days: int = 64) -> DataFrame:
     """All rows of ``captures`` (page_id, url, fetched) with ``blocked``, the first matching ``entry`` and its ``since``.
 
-    Each capture meets entries by equal keys and keeps those whose interval
-    holds its fetch day; a key that very many captures share is on the larger
-    side of the join only, where it can be split. Null URLs or dates match
-    nothing, repeated rows are judged one by one, an empty list blocks nothing.
+    An as-of join in time buckets: intervals are dealt to the buckets they
+    reach into, captures to the bucket of their fetch day, and both meet by
+    equal key and bucket, so a capture meets half as many intervals of an entry
+    as a bucket has days at most, however long the entry's history is. A key
+    that very many captures share is on the larger side of the join only, where
+    it can be split. Rows are told apart by their place, pinned by a written
+    table. Null URLs or dates match nothing, repeated rows are judged one by
+    one, URLs are read whole whatever their length, other columns of
+    ``captures`` are ignored, an empty list blocks nothing and an empty table
+    gives no rows.
     """
-    rows = captures.select(F.monotonically_increasing_id().alias("rid"), "page_id", "url", "fetched")
-    asked = rows.select("rid", "fetched", F.explode(keys(F.col("url"))).alias("entry"))
-    hits = asked.join(intervals(events), "entry").filter((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
+    rows = written(captures.select(F.monotonically_increasing_id().alias("rid"), "page_id", "url", "fetched"), "captures")
+    first, last = rows.agg(F.min("fetched"), F.max("fetched")).first()
+    number = lambda day: F.floor(F.unix_date(day) / bucket_days).cast("int")
+    asked = rows.filter("fetched is not null").select("rid", "fetched", number(F.col("fetched")).alias("bucket"), F.explode(keys(F.col("url"))).alias("entry"))
+    span = F.sequence(number(F.greatest("since", F.lit(first).cast("date"))), number(F.least(F.coalesce(F.date_sub("until", 1), F.lit(last).cast("date")), F.lit(last).cast("date"))))
+    dated = intervals(events).filter((F.col("since") <= F.lit(last).cast("date")) & (F.col("until").isNull() | (F.col("until") > F.lit(first).cast("date"))))
+    dealt = dated.select("entry", "since", "until", F.explode(span).alias("bucket"))
+    hits = asked.join(dealt, ["entry", "bucket"]).filter((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     best = hits.groupBy("rid").agg(F.min(F.struct("entry", "since")).alias("hit"))
     return rows.join(best, "rid", "left").select("page_id", "url", "fetched", F.col("hit").isNotNull().alias("blocked"), F.col("hit.entry").alias("entry"), F.col("hit.since").alias("since"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from shoplake.llm import chat
 
 
@@ -13,7 +15,11 @@ def brute(calls, needs):
 
 
 def found(spark, calls, needs):
-    return {r.call_id: r.level for r in chat.levels(spark.createDataFrame([(c,) for c in calls], "call_id string"), spark.createDataFrame(needs, "call_id string, needed string")).collect()}
+    """Levels of one conversation, beside another that uses the same identifiers without any needs."""
+    both = spark.createDataFrame([(c, i) for c in (1, 2) for i in calls], "conv_id long, call_id string")
+    out = chat.levels(both, spark.createDataFrame([(1, *n) for n in needs], "conv_id long, call_id string, needed string")).collect()
+    assert {r.level for r in out if r.conv_id == 2} == {0}
+    return {r.call_id: r.level for r in out if r.conv_id == 1}
 
 
 def test_several_needs(spark):
@@ -27,7 +33,18 @@ def test_several_needs(spark):
     assert found(spark, calls, needs) == brute(calls, needs)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_random_graphs_by_brute_force(spark, seed):
+    """Fans into and out of single calls, and sometimes edges that close cycles."""
+    rng = random.Random(seed)
+    calls = [f"n{i}" for i in range(40)]
+    needs = [(f"n{i}", f"n{rng.randrange(i)}") for i in range(1, 40) for _ in range(rng.choice([0, 1, 2]))]
+    needs += [(f"n{i}", "n3") for i in range(10, 30)] + [("n39", f"n{i}") for i in range(20)]
+    needs += [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(seed)]
+    assert found(spark, calls, needs) == brute(calls, needs)
+
+
 def test_repeated_call_with_different_references(spark):
     rows = [(1, "a", 1, "search", "{}"), (1, "b", 2, "search", '{"after":"a"}'), (1, "c", 3, "search", '{"after":"a"}'), (1, "c", 3, "search", '{"after":"b"}')]
-    out = chat.link(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string"), spark.createDataFrame([], "call_id string, turn long, content string"), [chat.Field("search", "after", "string", False)])
+    out = chat.link(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string"), spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), [chat.Field("search", "after", "string", False)])
     assert sorted((r.call_id, r.level) for r in out.collect()) == [("a", 0), ("b", 1), ("c", 2), ("c", 2)]
