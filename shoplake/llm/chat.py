@@ -9,10 +9,13 @@ sorted keys, no white space, one form for equal numbers.
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from decimal import Context, Decimal
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -97,18 +100,86 @@ def _quoted(c: Column) -> Column:
     return F.substring(inside, F.lit(2), F.length(inside) - 2)
 
 
-def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
+def _ordered(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Rows (conversation, call, needed or null) of whole conversations to (conversation, call, level), each call once."""
+    found: dict[tuple, int | None] = {}
+    edges = set()
+    for conv, call, needed in rows:
+        if needed is None:
+            found[conv, call] = None
+        else:
+            edges.add((conv, needed, call))
+    left, above = Counter(), defaultdict(list)
+    for conv, needed, call in edges:
+        if (conv, needed) in found and (conv, call) in found:
+            left[conv, call] += 1
+            above[conv, needed].append((conv, call))
+    ready = [k for k in found if not left[k]]
+    for k in ready:
+        found[k] = 0
+    deepest = Counter()
+    while ready:
+        for k in above.pop(key := ready.pop(), ()):
+            deepest[k] = max(deepest[k], found[key] + 1)
+            left[k] -= 1
+            if not left[k]:
+                found[k] = deepest[k]
+                ready.append(k)
+    yield from ((*k, n) for k, n in found.items())
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (conv_id, call_id, needed), sorted by conversation, to levels; waits for whole conversations only."""
+    names, held = [*KEYS, "level"], []
+
+    def levels_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*_ordered(rows))) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, pa.string(), pa.int64()])], names=names)
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+        cut = len(rows)
+        while cut and rows[cut - 1][0] == rows[-1][0]:
+            cut -= 1
+        if cut:
+            yield levels_of(held + rows[:cut])
+            held = []
+        held += rows[cut:]
+    if held:
+        yield levels_of(held)
+
+
+def levels(calls: DataFrame, needs: DataFrame, most: int = 500_000) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that wait for none, else one more than the deepest call waited for; null on and behind cycles.
 
     ``calls`` (conv_id, call_id), ``needs`` (conv_id, call_id, needed): a call
     waits for calls of its own conversation, and identifiers that aren't calls
-    there don't bind. Calls with one need form chains, which end at a call with
-    none or with several; every round doubles how far a call has looked up its
-    chain, so a chain of n calls takes log2(n) joins, and a round that settles
-    none leaves only cycles. Then a round of joins for each depth settles the
-    calls with several needs, once all of theirs are known.
+    there don't bind. A conversation is ordered in one task, in time linear in
+    its calls and needs; one with more than ``most`` of these goes by rounds of
+    joins instead, with the same levels.
+    """
+    nodes = calls.select(*KEYS).dropna()
+    rows = nodes.withColumn("needed", F.lit(None).cast("string")).unionByName(needs.select(*KEYS, "needed").dropna())
+    huge = rows.groupBy("conv_id").count().filter(F.col("count") > most).select("conv_id")
+    kind = calls.schema["conv_id"].dataType.simpleString()
+    if huge.isEmpty():
+        return rows.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(_in_groups, f"conv_id {kind}, call_id string, level long")
+    huge = F.broadcast(written(huge, "chat-huge"))  # one row for each ``most`` rows at most
+    small = rows.join(huge, "conv_id", "left_anti").repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(_in_groups, f"conv_id {kind}, call_id string, level long")
+    return small.unionByName(_by_rounds(nodes.join(huge, "conv_id", "left_semi").distinct(), needs.join(huge, "conv_id", "left_semi")))
+
+
+def _by_rounds(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """Levels by joins on written tables.
+
+    Calls with one need form chains, which end at a call with none or with
+    several; every round doubles how far a call has looked up its chain, so a
+    chain of n calls takes log2(n) joins, and a round that settles none leaves
+    only cycles. Then a round of joins for each depth settles the calls with
+    several needs, once all of theirs are known; needs that are settled leave
+    the table.
     """
-    nodes = calls.select(*KEYS).dropna().distinct()
     bound = needs.join(nodes.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi").select(*KEYS, "needed")
     ups = bound.groupBy(*KEYS).agg(F.min("needed").alias("up"), F.max("needed").alias("last"))
     several = F.col("up") < F.col("last")
@@ -126,17 +197,20 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
         return state.select(*KEYS, F.when(F.col("up").isNull(), F.col("level")).alias("level"))
     # What each need of a call with several comes to: a number, a number above another such call, or a cycle.
     waits = bound.distinct().join(state.filter("anchor = call_id").select(*KEYS), KEYS, "left_semi")
-    below = state.select("conv_id", F.col("call_id").alias("needed"), (F.col("level") + 1).alias("more"), "anchor", F.col("up").isNotNull().alias("stuck"))
-    waits = written(waits.join(below, ["conv_id", "needed"]).select(*KEYS, "more", "anchor", "stuck"), "chat-waits")
-    base = written(state.limit(0).select("conv_id", "anchor", F.col("level").alias("base")), "chat-bases")
-    settled = 0
+    below = state.select("conv_id", F.col("call_id").alias("needed"), (F.col("level") + 1).alias("value"), "anchor", F.col("up").isNotNull().alias("stuck"))
+    waits = written(waits.join(below, ["conv_id", "needed"]).select(*KEYS, F.when(~F.col("stuck"), F.col("value")).alias("value"), "anchor", (F.col("anchor").isNull() & ~F.col("stuck")).alias("known")), "chat-waits")
+    bases = []
     while True:
-        value = F.when(F.col("stuck"), None).when(F.col("anchor").isNull(), F.col("more")).otherwise(F.col("base") + F.col("more"))
-        tried = waits.join(base, ["conv_id", "anchor"], "left").groupBy("conv_id", F.col("call_id").alias("anchor")).agg(F.max(value).alias("base"), F.count(value).alias("known"), F.count("*").alias("all"))
-        base = written(tried.filter("known = all").select("conv_id", "anchor", "base"), "chat-bases")
-        if (now := base.count()) == settled:
+        settled = waits.groupBy(*KEYS).agg(F.max("value").alias("base"), F.min(F.col("known").cast("int")).alias("all")).filter("all = 1").select("conv_id", F.col("call_id").alias("anchor"), "base")
+        settled = written(settled, "chat-bases")
+        if settled.isEmpty():
             break
-        settled = now
+        bases.append(settled)
+        open_ = waits.join(settled.select("conv_id", F.col("anchor").alias("call_id")), KEYS, "left_anti")
+        value = F.when(F.col("known"), F.col("value")).otherwise(F.col("value") + F.coalesce("base", F.lit(0)))
+        waits = written(open_.join(settled, ["conv_id", "anchor"], "left").select(*KEYS, value.alias("value"), "anchor", (F.col("known") | F.col("base").isNotNull()).alias("known")), "chat-waits")
+    spark = nodes.sparkSession
+    base = spark.read.schema(bases[0].schema).parquet(*[f for b in bases for f in b.inputFiles()]) if bases else waits.limit(0).select("conv_id", "anchor", F.col("value").alias("base"))
     level = F.when(F.col("up").isNull(), F.when(F.col("anchor").isNull(), F.col("level")).otherwise(F.col("level") + F.col("base")))
     return state.join(base, ["conv_id", "anchor"], "left").select(*KEYS, level.alias("level"))
 
