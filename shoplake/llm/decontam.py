@@ -2,9 +2,14 @@
 
 A mask selects some word positions of a window and ignores the others, so its
 hash survives substitutions at ignored positions. Hashes of all test windows are
-joined with those of all training windows; every hit names a diagonal between a
+joined with those of training windows; every hit names a diagonal between a
 document and an item, along which the words are compared and the best stretch,
 mismatches counted against it, is kept if it is long enough.
+
+Most training windows share their hash with no test window. A bitmap of fixed size
+over the test hashes, which goes to every task, drops nearly all of these before
+the join and none that would meet. So memory doesn't grow with the benchmark: a
+larger one fills the bitmap and lets more windows through to the join.
 """
 
 from __future__ import annotations
@@ -12,19 +17,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoplake.llm.store import written
+
 #: Fixed masks: 1 compares a word, 0 ignores it.
 MASKS = ("11101011", "1101100111", "110010110101")
+SHORTEST = min(map(len, MASKS))
+#: Items shorter than every mask are looked for as a whole.
+ALL_MASKS = (*MASKS, *("1" * n for n in range(1, SHORTEST)))
 HITS = "doc_id long, item_id long, doc_start long, item_start long, length long, matched long, item_words long, seed_hits long"
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _SPREAD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3) % 2**64 | 1 for i in range(64)], dtype=np.uint64)
+#: Bits of the bitmap, as a power of two: 8 MB.
+BITS = 26
 
 
-def _hashed(text: str | None) -> np.ndarray:
+def hashed(text: str | None) -> np.ndarray:
+    """Hashes of a text's lower-cased words without ASCII marks."""
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
@@ -43,119 +55,133 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-class Tests:
-    """Seeds of one block of benchmark items, sorted for the join, behind a bitmap."""
-
-    def __init__(self, items: list[tuple[int, str | None]], masks: tuple[str, ...] = MASKS, bits: int = 24):
-        self.ids = [i for i, _ in items]
-        self.words = [_hashed(t) for _, t in items]
-        shortest = min(map(len, masks))
-        # Items shorter than every mask are looked for as a whole.
-        self.masks = [*masks, *("1" * n for n in sorted({len(w) for w in self.words if 0 < len(w) < shortest}))]
-        self.shift = np.uint64(64 - bits)
-        self.maps, self.keys, self.item, self.at = [], [], [], []
-        for mask in self.masks:
-            short = len(mask) < shortest
-            found = [(seeds(w, mask), k) for k, w in enumerate(self.words) if not short or len(w) == len(mask)]
-            keys = np.concatenate([s for s, _ in found]) if found else np.empty(0, dtype=np.uint64)
-            item = np.concatenate([np.full(len(s), k) for s, k in found]) if found else np.empty(0, dtype=np.int64)
-            at = np.concatenate([np.arange(len(s)) for s, _ in found]) if found else np.empty(0, dtype=np.int64)
-            order = np.argsort(keys, kind="stable")
-            bitmap = np.zeros(1 << bits, dtype=bool)
-            bitmap[(keys >> self.shift).astype(np.int64)] = True
-            self.maps.append(bitmap)
-            self.keys.append(keys[order])
-            self.item.append(item[order].astype(np.int64))
-            self.at.append(at[order].astype(np.int64))
-
-    def search(self, words: np.ndarray, least: int, penalty: int) -> Iterator[tuple]:
-        """(item, doc start, item start, length, matched, item words, hits): the best stretch of each item found in a document."""
-        lines: dict[tuple[int, int], int] = {}
-        for mask, bitmap, keys, item, at in zip(self.masks, self.maps, self.keys, self.item, self.at):
-            mine = seeds(words, mask)
-            maybe = np.flatnonzero(bitmap[(mine >> self.shift).astype(np.int64)])
-            if not len(maybe):
-                continue
-            lo, hi = np.searchsorted(keys, mine[maybe], "left"), np.searchsorted(keys, mine[maybe], "right")
-            n = hi - lo
-            pos = np.repeat(maybe, n)
-            row = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            pairs, hits = np.unique(np.c_[item[row], pos - at[row]], axis=0, return_counts=True)
-            for (k, d), c in zip(pairs.tolist(), hits.tolist()):
-                lines[k, d] = lines.get((k, d), 0) + c
-        best: dict[int, tuple] = {}
-        for (k, d), hits in lines.items():
-            test = self.words[k]
-            a, b = max(0, -d), min(len(test), len(words) - d)
-            same = test[a:b] == words[a + d : b + d]
-            run = np.r_[0, np.cumsum(np.where(same, 1, -penalty))]
-            gain = run - np.minimum.accumulate(run)
-            end = int(gain.argmax())
-            start = int(run[: end + 1].argmin()) if end else 0
-            if gain[end] >= min(least, max(1, int(0.8 * len(test)))):
-                got = (int(gain[end]), d + a + start, a + start, end - start, int(same[start:end].sum()), len(test), hits)
-                best[k] = max(best.get(k, got), got)
-        for k, got in sorted(best.items()):
-            yield (self.ids[k], *got[1:])
-
-
-def _find(batches: Iterator[pa.RecordBatch], items: list, least: int, penalty: int) -> Iterator[pa.RecordBatch]:
-    tests = Tests(items)
+def _test_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (item_id, text) to rows (item, item_id, words, seed, at): every window of every mask that suits the item."""
     for batch in batches:
-        rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in tests.search(_hashed(t), least, penalty)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[c.split()[0] for c in HITS.split(", ")])
+        for item, item_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            words = hashed(text)
+            short = len(words) < SHORTEST
+            found = [seeds(words, m) for m in (["1" * len(words)] if short else MASKS)] if len(words) else []
+            keys = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+            at = np.concatenate([np.arange(len(x)) for x in found]) if found else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([item], pa.int64()), pa.array([item_id], pa.int64()), pa.array([words.tobytes()], pa.binary()), pa.array([keys.view(np.int64)], pa.list_(pa.int64())), pa.array([at], pa.list_(pa.int64()))],
+                names=["item", "item_id", "words", "seeds", "ats"],
+            )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10, penalty: int = 2, block_chars: int = 32_000_000) -> DataFrame:
-    """Overlaps of ``docs`` (doc_id, text) with ``benchmark`` (item_id, text): one row per document and item found in it.
+def _places(seeds_: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the bitmap for each seed."""
+    return seeds_ >> np.uint64(64 - bits), (seeds_ * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - bits)
 
-    A stretch scores 1 for each equal word and -``penalty`` for each other one
-    and counts from ``least`` on (items of few words: from four fifths of them).
-    Only found documents have rows. The benchmark goes to the tasks in blocks of
-    about ``block_chars`` characters, one pass over the documents for each, so
-    what is broadcast has a bound whatever the benchmark's size. Null and empty
-    texts on either side match nothing, repeated rows are reported one by one, a
-    null doc_id is reported as null, extra columns are ignored.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = None
-    for items in _blocks(benchmark, block_chars):
-        handle = docs.sparkSession.sparkContext.broadcast(items)
-        part = rows.mapInArrow(lambda it, h=handle: _find(it, h.value, least, penalty), HITS)
-        found = part if found is None else found.unionByName(part)
-    return found
 
+def _bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = batch.column(0).flatten().to_numpy().view(np.uint64)
+        if not len(found):
+            continue
+        places = np.unique(np.concatenate(_places(found, bits)))
+        word, one = np.unique(places >> np.uint64(6), return_index=True)
+        held = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), one)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(held.view(np.int64))], names=["word", "bits"])
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    tests = benchmark.filter(F.col("text").isNotNull() & (F.trim("text") != "")).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    for b in range(blocks):
-        yield [(r.item_id, r.text) for r in tests.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()]
 
+def _hits(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, masks: tuple[str, ...], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, doc_id, text) to documents with windows that may be in the benchmark."""
+    for batch in batches:
+        rows = []
+        for rid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            words, keys, at = hashed(text), [], []
+            for mask in masks:
+                mine = seeds(words, mask)
+                a, b = _places(mine, bits)
+                bit = lambda x: bitmap[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)
+                maybe = np.flatnonzero(bit(a) & bit(b))
+                keys.append(mine[maybe])
+                at.append(maybe)
+            if any(map(len, keys)):
+                rows.append((rid, doc_id, words.tobytes(), np.concatenate(keys).view(np.int64), np.concatenate(at)))
+        if rows:
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["rid", "doc_id", "words", "seeds", "ats"])
 
-_ready: dict[int, tuple[list, Tests]] = {}
 
+def stretch(test: np.ndarray, mine: np.ndarray, penalty: int) -> tuple[int, int, int, int]:
+    """(gain, start, length, matched) of the best run of two equally long word arrays, compared place by place; the first of the best."""
+    same = test == mine
+    run = np.r_[0, np.cumsum(np.where(same, 1, -penalty))]
+    gain = run - np.minimum.accumulate(run)
+    end = int(gain.argmax())
+    start = int(run[: end + 1].argmin()) if end else 0
+    return int(gain[end]), start, end - start, int(same[start:end].sum())
 
-def _tests(number: int, items: list) -> Tests:
-    if number not in _ready or _ready[number][0] is not items:
-        _ready[number] = items, Tests(items)
-    return _ready[number][1]
 
+def _verified(batches: Iterator[pa.RecordBatch], least: int, penalty: int) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, doc_id, item, item_id, hits, item_words, from_item, from_doc, test, mine) to stretches that count."""
+    for batch in batches:
+        rows = []
+        for rid, doc_id, item, item_id, hits, size, from_item, from_doc, test, mine in zip(*(c.to_pylist() for c in batch.columns)):
+            gain, start, length, matched = stretch(np.frombuffer(test, np.uint64), np.frombuffer(mine, np.uint64), penalty)
+            if gain >= min(least, max(1, int(0.8 * size))):
+                rows.append((rid, doc_id, item, item_id, gain, from_doc + start, from_item + start, length, matched, size, hits))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=FOUND)
+
+
+FOUND = ["rid", "doc_id", "item", "item_id", "gain", "doc_start", "item_start", "length", "matched", "item_words", "seed_hits"]
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, least: int, penalty: int, bits: int) -> DataFrame:
+    """``rows`` (rid, doc_id, text) to FOUND, the best stretch of each row and item."""
+    spark = rows.sparkSession
+    long = lambda c: F.col(c).cast("long").alias(c)
+    tests = benchmark.select(long("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+    tests = written(tests.select(F.monotonically_increasing_id().alias("item"), "item_id", "text").mapInArrow(_test_seeds, "item long, item_id long, words binary, seeds array<long>, ats array<long>"), "leaks-tests")
+    # At most 2^20 rows, whatever the benchmark.
+    held = tests.select("seeds").mapInArrow(lambda it: _bits(it, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    bitmap = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    bitmap[np.array([r.word for r in held], dtype=np.int64)] = np.array([r.bits for r in held], dtype=np.int64).view(np.uint64)
+    sizes = tests.select((F.octet_length("words") / 8).cast("int").alias("n")).filter(F.col("n") < SHORTEST).distinct().collect()
+    masks = (*MASKS, *("1" * r.n for r in sizes if r.n))
+    handle = spark.sparkContext.broadcast(bitmap)
+    hits = written(rows.mapInArrow(lambda it: _hits(it, handle.value, masks, bits), "rid long, doc_id long, words binary, seeds array<long>, ats array<long>"), "leaks-hits")
+    windows = lambda df, key: df.select(key, F.explode(F.arrays_zip("seeds", "ats")).alias("w")).select(key, F.col("w.seeds").alias("seed"), F.col("w.ats").alias(f"{key}_at"))
+    lines = windows(hits, "rid").join(windows(tests, "item"), "seed").groupBy("rid", "item", (F.col("rid_at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("hits"))
+    words = lambda c: (F.octet_length(c) / 8).cast("long")
+    both = lines.join(hits.select("rid", "doc_id", F.col("words").alias("mine")), "rid").join(tests.select("item", "item_id", F.col("words").alias("test")), "item")
+    a, b = F.greatest(F.lit(0), -F.col("shift")), F.least(words("test"), words("mine") - F.col("shift"))
+    cut = lambda c, start: F.substring(F.col(c), (start * 8 + 1).cast("int"), ((b - a) * 8).cast("int"))
+    pairs = both.select("rid", "doc_id", "item", "item_id", "hits", words("test").alias("item_words"), a.alias("from_item"), (a + F.col("shift")).alias("from_doc"), cut("test", a).alias("test"), cut("mine", a + F.col("shift")).alias("mine"))
+    found = pairs.mapInArrow(lambda it: _verified(it, least, penalty), ", ".join(f"{c} long" for c in FOUND))
+    order = ["gain", "doc_start", "item_start", "length", "matched", "item_words", "seed_hits"]
+    return found.groupBy("rid", "doc_id", "item", "item_id").agg(F.max(F.struct(*order)).alias("best")).select("rid", "doc_id", "item", "item_id", "best.*")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10, penalty: int = 2, bits: int = BITS) -> DataFrame:
+    """Overlaps of ``docs`` (doc_id, text) with ``benchmark`` (item_id, text): one row per document and item found in it.
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = 10, penalty: int = 2, block_chars: int = 32_000_000) -> DataFrame:
-    """The rows of ``docs`` that overlap with no benchmark item, with all their columns."""
-    for number, items in enumerate(_blocks(benchmark, block_chars)):
-        handle = docs.sparkSession.sparkContext.broadcast(items)
-        docs = docs.filter(~_hit(handle, number, least, penalty)(F.col("text").cast("string")))
-    return docs
+    A stretch scores 1 for each equal word and -``penalty`` for each other one
+    and counts from ``least`` on (items of few words: from four fifths of them).
+    Of a document's stretches of one item the best is given, of equals the last.
+    Only found documents have rows. The bitmap has 2 to the power of ``bits``
+    bits; fewer let more windows through and change no result. Null and empty texts on either side match
+    nothing, very long ones are searched whole, repeated rows of ``docs`` are
+    reported one by one and those of ``benchmark`` once, a null doc_id is
+    reported as null, other columns of either table are ignored, empty tables
+    give no rows.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _found(rows, benchmark, least, penalty, bits).select(*[c.split()[0] for c in HITS.split(", ")])
 
 
-def _hit(handle, number: int, least: int, penalty: int):
-    @F.pandas_udf("boolean")
-    def hit(texts: pd.Series) -> pd.Series:
-        tests = _tests(number, handle.value)
-        return pd.Series([next(tests.search(_hashed(t), least, penalty), None) is not None for t in texts], dtype="bool")
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = 10, penalty: int = 2, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` (text) that overlap with no benchmark item, with all their columns.
 
-    return hit
+    Rows are told apart by their place, so ``docs`` has to be a stored table,
+    whose row order is stable. Null and empty texts stay, and so does every row
+    if the benchmark is empty; repeated rows go or stay together.
+    """
+    place = F.monotonically_increasing_id().alias("rid")
+    rows = docs.select(place, F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    gone = written(_found(rows, benchmark, least, penalty, bits).select("rid").distinct(), "leaks")
+    return docs.select(place, F.struct("*").alias("whole_row")).join(gone, "rid", "left_anti").select("whole_row.*")

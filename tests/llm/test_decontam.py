@@ -1,6 +1,10 @@
 import random
 
-from shoplake.llm.decontam import contaminated
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shoplake.llm.decontam import MASKS, clean, contaminated
 from tests.llm.common import awkward, empty
 
 
@@ -29,8 +33,66 @@ def test_planted_passages_with_substitutions(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     one = contaminated(d, b).toPandas()
     assert set(zip(one["doc_id"], one["item_id"])) == want and (one["doc_id"] == 503).sum() == 2
-    blocks = contaminated(d, b, block_chars=700).toPandas()
-    assert sorted(map(tuple, blocks.to_numpy().tolist())) == sorted(map(tuple, one.to_numpy().tolist()))
+    assert sorted(map(tuple, one.to_numpy().tolist())) == sorted(brute(docs, items))
+
+
+def toks(text):
+    return "".join(c for c in (text or "").lower() if not (33 <= ord(c) < 127 and not c.isalnum())).split()
+
+
+def brute(docs, items, least=10, penalty=2):
+    """Every diagonal of every document and item that some mask hits, compared word by word."""
+    out = []
+    for doc_id, doc in docs:
+        words = toks(doc)
+        for item_id, item in sorted(set(items), key=str):
+            test, best = toks(item), None
+            masks = ["1" * len(test)] if 0 < len(test) < 8 else MASKS
+            for shift in range(-len(test) + 1, len(words)):
+                lo, hi = max(0, -shift), min(len(test), len(words) - shift)
+                value = [1 if test[j] == words[j + shift] else -penalty for j in range(lo, hi)]
+                if value.count(1) < min(len(test), 5):
+                    continue
+                hits = 0
+                for mask in masks:
+                    picked = [i for i, bit in enumerate(mask) if bit == "1"]
+                    hits += sum(all(test[j + i] == words[j + shift + i] for i in picked) for j in range(lo, hi - len(mask) + 1))
+                if not hits:
+                    continue
+                sums = [0, *np.cumsum(value).tolist()]
+                gain, end = max(((sums[e] - min(sums[: e + 1]), -e) for e in range(len(sums))))
+                end = -end
+                start = sums[: end + 1].index(min(sums[: end + 1]))
+                if gain >= min(least, max(1, int(0.8 * len(test)))):
+                    matched = sum(v == 1 for v in value[start:end])
+                    got = (gain, lo + shift + start, lo + start, end - start, matched, len(test), hits)
+                    best = max(best or got, got)
+            if best:
+                out.append((doc_id, item_id, *best[1:]))
+    return out
+
+
+@pytest.mark.parametrize("bits", [8, 26])
+def test_rows_by_brute_force(spark, bits):
+    """Repeats, substitutions, cut and overlapping passages out of few words; a full bitmap lets all windows through and changes nothing."""
+    rng = random.Random(3)
+    items = [(i, " ".join(vocabulary(i, rng.choice([3, 7, 8, 15, 30])))) for i in range(9)]
+    items += [(0, items[5][1]), (20, items[6][1]), (20, items[6][1])]
+    docs = []
+    for d in range(40):
+        words = vocabulary(500 + d, 60)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            part = rng.choice(items)[1].split()
+            part = part[rng.randrange(3) :]
+            for _ in range(rng.randrange(4)):
+                part[rng.randrange(len(part))] = "other"
+            at = rng.randrange(len(words))
+            words[at:at] = part
+        docs.append((d, " ".join(words)))
+    clash = {"item_id": F.lit(1), "words": F.lit("x"), "rid": F.lit(2), "seeds": F.lit(3), "shift": F.lit(4)}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").withColumns(clash), spark.createDataFrame(items, "item_id long, text string").withColumns({"doc_id": F.lit(1), "rid": F.lit(1)})
+    got = [tuple(r) for r in contaminated(d, b, bits=bits).collect()]
+    assert sorted(got) == sorted(brute(docs, items)) and len(got) > 20
 
 
 def test_every_full_passage_is_found_and_nothing_else(spark):
@@ -43,8 +105,14 @@ def test_every_full_passage_is_found_and_nothing_else(spark):
     assert want == got
 
 
-def test_edge_tables(spark):
-    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+def test_edge_tables(spark, tmp_path):
+    bench = spark.createDataFrame([(1, "a b c"), (2, "alpha, beta gamma delta"), (None, "w3x3 w4x4 w5x5 w6x6 w7x7 w8x8 w9x9 w10x10 w11x11 w12x12"), (3, "   ")], "item_id long, text string")
     assert contaminated(empty(spark), bench).count() == 0
     assert contaminated(awkward(spark), bench.limit(0)).count() == 0
-    contaminated(awkward(spark), bench).collect()
+    docs = awkward(spark).withColumns({"rid": F.lit(1), "whole_row": F.lit("clash"), "words": F.lit("x")})
+    got = sorted(((r.doc_id, r.item_id, r.doc_start, r.length) for r in contaminated(docs, bench).collect()), key=str)
+    assert got == sorted([(3, None, 12704, 10), (4, 2, 0, 4), (4, 2, 0, 4), (4, 2, 0, 4), (5, 2, 0, 4), (6, 2, 0, 4), (None, 2, 0, 4)], key=str)
+    docs.write.parquet(str(tmp_path / "docs"))
+    left = clean(spark.read.parquet(str(tmp_path / "docs")), bench)
+    assert left.columns == docs.columns and sorted((r.doc_id for r in left.collect()), key=str) == sorted([0, 1, 2, 7, 8, 9, 77], key=str)
+    assert clean(spark.read.parquet(str(tmp_path / "docs")), bench.limit(0)).count() == docs.count()
