@@ -1,12 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingles, found by an exact prefix join.
-
-Sort each document's shingles in one common order. Two sets of similarity t share
-a shingle among the first n - ceil(t n) + 1 of each, so documents meet in a join
-on these alone and no pair of similarity t or more is missed. Shingles that are
-frequent in a sample come last in the order; any order gives the same pairs, this
-one only keeps common passages out of the join. Candidates are compared by parity
-bits, which rule out most that differ, and the others by their whole shingle sets. A first pass compares each document with the least that shares
-a shingle, a second one all pairs that the first has not already put in one group.
+"""Near copies: SimHash fingerprints in the trie join, checked by the Jaccard similarity of word shingles.
+
+The trie join finds fingerprints within a few bits, and what it finds is checked
+by whole shingle sets. Documents of similarity 0.8 differ in ten bits or so, where
+a trie over 64 bits prunes next to nothing, so pairs beyond the budget come from
+an exact join: sort each document's shingles in one common order; two sets of
+similarity t share a shingle among the first n - ceil(t n) + 1 of each, so
+documents meet in a join on these alone and no pair of similarity t or more is
+missed. Shingles that are frequent in a sample come last in the order; any order
+gives the same pairs, this one only keeps common passages out of the join. Pairs
+that are in one group already are not made. Candidates are
+compared by parity bits, which rule out most that differ, and the others by their
+whole shingle sets.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplake.llm.components import components
+from shoplake.llm.simhash import links, majority
 from shoplake.llm.store import written
 
 
@@ -57,16 +62,17 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
     for whole in batches:
         for lo in range(0, whole.num_rows, 500):
             batch = whole.slice(lo, 500)
-            digests, sizes, heads, bits = [], [], [], []
+            digests, sizes, heads, bits, prints = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, shingle)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                prints.append(majority(found))
                 sizes.append(len(found))
                 last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), dtype=bool)
                 odd = np.bincount(found & (64 * WORDS - 1), minlength=64 * WORDS).astype(np.uint8) & 1
                 bits.append(np.packbits(odd).view(np.int64))
                 heads.append(np.r_[found[~last], found[last]][: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["node", "digest", "n", "head", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(prints, pa.int64())], names=["node", "digest", "n", "head", "bits", "fp"])
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -95,38 +101,31 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, stars: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n, pos, grp), sorted by key, to pairs (u, v) that may reach the similarity."""
-
-    def kept(i: np.ndarray, j: np.ndarray, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, node, n, pos, grp = rows
-        overlap = np.minimum(n[i] - pos[i], n[j] - pos[j])  # at most, if this is the first shingle they share
-        near = (grp[i] != grp[j]) & (overlap * (1 + similarity) + 1e-6 >= similarity * (n[i] + n[j]))
-        if near.any():
-            a, b = node[i[near]], node[j[near]]
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
-
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((rows[1], rows[0]) if stars else (rows[2], rows[0]))
-        rows = [x[order] for x in rows]
-        key, n = rows[0], rows[2]
+    """Rows (key, node, n, pos, grp), sorted by key, to pairs (u, v) of different groups that may reach the similarity: all, or with the least node only."""
+    for key, node, n, pos, grp in _whole_keys(batches):
+        order = np.lexsort((node, key) if stars else (n, key))
+        key, node, n, pos, grp = (x[order] for x in (key, node, n, pos, grp))
+
+        def kept(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            overlap = np.minimum(n[i] - pos[i], n[j] - pos[j])  # at most, if this is the first shingle they share
+            near = (grp[i] != grp[j]) & (overlap * (1 + similarity) + 1e-6 >= similarity * (n[i] + n[j]))
+            if near.any():
+                a, b = node[i[near]], node[j[near]]
+                pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
         if stars:
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            least = np.repeat(first, np.diff(np.r_[first, len(key)]))
-            yield from kept(np.arange(len(key)), least, rows)
-            return
-        i = np.arange(len(key))
-        step = 1
+            yield from kept(np.arange(len(key)), np.repeat(first, np.diff(np.r_[first, len(key)])))
+            continue
+        i, step = np.arange(len(key)), 1
         while len(i):
             i = i[i + step < len(key)]
             i = i[(key[i] == key[i + step]) & (n[i] + 1e-6 >= similarity * n[i + step])]
             if len(i):
-                yield from kept(i, i + step, rows)
+                yield from kept(i, i + step)
             step += 1
 
-    for rows in _whole_keys(batches):
-        yield from pairs(rows)
-
 
 def _common(texts: DataFrame, shingle: int, sample: int = 5_000, most: int = 50_000) -> np.ndarray:
     """Shingles that are frequent in a sample of rows: only where they stand in the order depends on it, no result."""
@@ -136,17 +135,17 @@ def _common(texts: DataFrame, shingle: int, sample: int = 5_000, most: int = 50_
     return np.sort(np.array([r.s for r in counted.filter("count >= 5").orderBy(F.desc("count"), "s").limit(most).collect()], dtype=np.int64))
 
 
-def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, budget: int = 3) -> DataFrame:
     """The nodes of ``texts`` (node, text) that aren't the least of their group; documents of the similarity or more are linked, groups are connected.
 
     ``texts`` is read several times and has to give the same nodes each time; nodes are not null and distinct.
-    Null and word-less texts are copies of each other.
+    Null and word-less texts are copies of each other. ``budget`` bits of a
+    fingerprint may differ in the trie join; it shifts work between the two
+    joins and changes no result.
     """
     common = _common(texts, shingle)
-    prints = written(texts.mapInArrow(lambda it: _prefixes(it, shingle, similarity, common), "node long, digest binary, n long, head array<long>, bits array<long>"), "near-prefixes")
+    prints = written(texts.mapInArrow(lambda it: _prefixes(it, shingle, similarity, common), "node long, digest binary, n long, head array<long>, bits array<long>, fp long"), "near-prefixes")
     least = written(prints.groupBy("digest").agg(F.min("node").alias("node")).select("node"), "near-distinct")
-    rows = prints.select("node", "n", "head").join(least, "node", "left_semi").select("node", "n", F.posexplode("head").alias("pos", "key")).select("key", "node", F.col("n").cast("int").alias("n"), "pos")
-    met = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, n int, pos int"), "near-met")
 
     def side(table: DataFrame, end: str) -> DataFrame:
         return table.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in table.columns if c != "node"])
@@ -154,8 +153,8 @@ def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataF
     def alike(differing: Column, sizes: Column) -> Column:
         return differing * (1 + similarity) <= sizes * (1 - similarity) + 1e-6
 
-    def verified(grouped: DataFrame, stars: bool) -> DataFrame:
-        found = grouped.select("key", "node", "n", "pos", "grp").repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _candidates(it, similarity, stars), "u long, v long").distinct()
+    def verified(found: DataFrame) -> DataFrame:
+        """The pairs (u, v) that reach the similarity."""
         sketch = prints.select("node", "n", "bits")
         differing = sum((F.bit_count(F.col("u_bits")[i].bitwiseXOR(F.col("v_bits")[i])) for i in range(WORDS)), F.lit(0))
         pairs = written(found.join(side(sketch, "u"), "u").join(side(sketch, "v"), "v").filter(alike(differing, F.col("u_n") + F.col("v_n"))).select("u", "v"), "near-candidates")
@@ -165,18 +164,30 @@ def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataF
         both = pairs.join(side(sets, "u"), "u").join(side(sets, "v"), "v").filter(alike(sizes - 2 * F.size(F.array_intersect("u_shingles", "v_shingles")), sizes))
         return written(both.select("u", "v"), "near-links")
 
-    first = verified(met.withColumn("grp", F.col("node")), True)
-    groups = components(first).withColumnRenamed("u", "node")
-    rest = verified(met.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")), False)
-    found = components(first.unionByName(rest))
+    distinct = prints.join(least, "node", "left_semi")
+    # Equal fingerprints are one leaf of the trie, and are compared with the least that has it.
+    leaves = written(distinct.groupBy("fp").agg(F.min("node").alias("node")), "near-leaves")
+    same = distinct.select("fp", F.col("node").alias("u")).join(leaves.withColumnRenamed("node", "v"), "fp").filter("u <> v").select("u", "v")
+    found = verified(links(leaves.select("fp", "node"), budget).unionByName(same).distinct())
+    rows = distinct.select("node", "n", F.posexplode("head").alias("pos", "key")).select("key", "node", F.col("n").cast("int").alias("n"), "pos")
+    met = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, n int, pos int"), "near-met")
+    # The exact join: each with the least that shares a shingle, so that large groups are one by now, then all pairs of what are two groups still.
+    for stars in (True, False):
+        groups = components(found).withColumnRenamed("u", "node")
+        grouped = met.join(groups, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("grp"))
+        dealt = grouped.repartition("key").sortWithinPartitions("key")
+        found = found.unionByName(verified(dealt.mapInArrow(lambda it, s=stars: _candidates(it, similarity, s), "u long, v long").distinct()))
+    found = components(found)
     return prints.select("node").join(least, "node", "left_anti").unionByName(found.select(F.col("u").alias("node")))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """One row of each group of near copies, with all its columns: the first in the order of the files read.
+    """One row of each group of near copies of ``docs`` (text), with all its columns: the first in the order of the files read.
 
     Rows are told apart by their place, not by doc_id, so null and repeated ids
-    are no special case; ``docs`` has to be a stored table, whose row order is stable.
+    are no special case; ``docs`` has to be a stored table, whose row order is
+    stable. Null and word-less texts are one group, very long texts are compared
+    whole, an empty table gives no rows, columns of any name are kept.
     """
     place = F.monotonically_increasing_id().alias("node")
     texts = docs.select(place, F.col("text").cast("string").alias("text"))

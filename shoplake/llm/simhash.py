@@ -20,6 +20,12 @@ from shoplake.llm.components import components
 from shoplake.llm.store import written
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that more than half of ``hashes`` have; 0 for none."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Signed 64-bit SimHash of word shingles; 0 for texts without words."""
     import xxhash
@@ -34,9 +40,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(size + 1) - 1
         hashes = [digest(joined[a:b], 42) for a, b in zip((ends - size)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    major = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(major, bitorder="little").view("<i8")[0])
+    return majority(np.array(hashes, dtype="<u8"))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -175,15 +179,3 @@ def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataF
     hot, rest = F.broadcast(named.filter(many).drop("rows")), named.filter(~many).drop("rows")
     joined = prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(rest, "fp", "left"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
-    """One row of each group of near copies, with all its columns: the first in the order of the files read.
-
-    Rows are told apart by their place, not by doc_id, so null and repeated ids
-    are no special case; ``docs`` has to be a stored table, whose row order is stable.
-    """
-    placed = docs.withColumn("row_place", F.monotonically_increasing_id())
-    groups = near_duplicates(placed.select(F.col("row_place").alias("doc_id"), "text"), budget, shingle)
-    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("row_place"))
-    return placed.join(copies, "row_place", "left_anti").drop("row_place")
