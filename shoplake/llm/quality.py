@@ -65,14 +65,17 @@ def _repeated(windows: Column, span: int) -> Column:
 def metrics(docs: DataFrame, span: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document with counts and ratios, all from built-in functions.
 
-    Windows are compared by 64-bit hashes within one text, so a wrong count needs
-    a collision among the windows of that text.
+    A word is hashed once and a window by the hashes of its words. Windows are
+    compared within one text, so a wrong count needs a collision of 64-bit hashes
+    in that text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # One-element explodes fix a value as a column: filters that callers add are not pushed below them, which would copy whole expressions.
     split = docs.select("doc_id", *carry, text.alias("text"), F.explode(F.array(F.array_remove(F.split(text, SPACE + "+"), ""))).alias("words"))
-    words, text = F.col("words"), F.col("text")
-    windows = F.when(F.size(words) >= span, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (span - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, span)))).otherwise(F.array().cast("array<bigint>"))
+    split = split.select("*", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("hashes"))
+    words, text, hashes = F.col("words"), F.col("text"), F.col("hashes")
+    window = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(span)])
+    windows = F.when(F.size(words) >= span, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - span, F.lit(0))), window)).otherwise(F.array().cast("array<bigint>"))
     parts = split.select(
         "doc_id", *carry, F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"), F.length(F.regexp_replace(text, "[^!]+", "")).cast("long").alias("n_exclamations"),
@@ -110,8 +113,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ..
     """Counts, ``base_failed``, ``failed_rules`` and ``kept`` for every row of ``docs`` (doc_id, text).
 
     Null and word-less texts count as empty: no words, so they fail the first
-    rule. ``carry`` names columns to keep beside the counts. Repeated rows are judged one by one, extra columns are ignored, an
-    empty table gives no rows. Whole numbers decide base_failed, so no rounding.
+    rule; very long texts are read whole. ``carry`` names columns to keep beside
+    the counts. Repeated rows are judged one by one, extra columns are ignored,
+    an empty table gives no rows. Whole numbers decide base_failed, so no rounding.
     """
     out = metrics(docs, carry=carry).withColumn("failed_rules", compile_rules(rules))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -119,6 +123,6 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ..
 
 
 def good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` (doc_id, text) that are kept, with all their columns, whatever their names; null and empty texts go, repeated rows stay or go together."""
     whole = docs.select("doc_id", "text", F.struct("*").alias("whole_row"))
     return judge(whole, rules, carry=("whole_row",)).filter("kept").select("whole_row.*")

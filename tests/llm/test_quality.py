@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from shoplake.llm.quality import RULES, Rule, judge
+from shoplake.llm.quality import RULES, STOP_WORDS, Rule, judge
 from tests.llm.common import awkward, empty
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -32,6 +32,32 @@ def test_counts_match_brute_force(spark, sf):
     assert judge(empty(spark)).count() == 0
 
 
+STOP = set(STOP_WORDS)
+
+
+def brute_failed(text):
+    """The threshold table, rule by rule in plain Python."""
+    text = text or ""
+    words = WORD.findall(text)
+    n, chars, symbols, dup_lines, hit, _ = brute(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    per = max(1, n)
+    value = {
+        "n_words": n, "repeat_word_ratio": hit / per, "mean_word_chars": chars / per, "symbol_ratio": symbols / per, "exclamation_ratio": text.count("!") / per, "stop_word_ratio": sum(w.lower() in STOP for w in words) / per,
+        "dup_line_ratio": dup_lines / max(1, len(lines)), "ended_line_ratio": sum(bool(re.search(r"[.!?:;][\"')]*[\x09-\x0D\x20]*$", x)) for x in lines) / max(1, len(lines)),
+    }
+    return [r.name for r in RULES if n >= r.least_words and ((r.low is not None and value[r.metric] < r.low) or (r.high is not None and value[r.metric] > r.high))]
+
+
+def test_kept_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = ["word! " * 60, "a#b " * 30, "x" * 500 + " the" * 12, "\n".join(["same line here now."] * 9), "one two three four five six seven eight nine ten the of and\n" * 1, "no stop at all " * 1 + "zzz " * 60, "Fin.\")\t\n" + "la le les " * 70]
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    got = {r.doc_id: (list(r.failed_rules), r.kept) for r in judge(docs).collect()}
+    want = {r.doc_id: (f := brute_failed(r.text), not f and not brute(r.text)[-1]) for r in docs.collect()}
+    assert got == want and len({x for f, _ in want.values() for x in f}) >= 6
+
+
 def test_verdict_follows_labels(spark):
     d = "/root/testdata/sf0.01"
     got = judge(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed").toPandas()
