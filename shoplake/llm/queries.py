@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Small sources are drawn on more than their size, as mixtures for training are, until they run dry."""
+    return packing.pack(table(spark, sf_dir, "documents"), temperature=1.5)
 
 
 #: What the derived tools accept.
