@@ -101,22 +101,17 @@ def trie_pairs(values: np.ndarray, budget: int, skip: int, most: int = 1 << 21)
 
 def _stars(values: np.ndarray, nodes: np.ndarray, budget: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
     """Links found under one block as stars (node, least node linked to it here): a forest, never all pairs."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = p = parent.get(p, p)
-            x = p
-        return x
-
+    label = np.arange(len(values))
     for i, j in trie_pairs(values, budget, skip):
-        for a, b in zip(nodes[i].tolist(), nodes[j].tolist()):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                parent.setdefault(min(a, b), min(a, b))
-    pairs = [(x, r) for x in parent if (r := root(x)) != x]
-    return np.array([p[0] for p in pairs], dtype=np.int64), np.array([p[1] for p in pairs], dtype=np.int64)
+        while (differ := label[i] != label[j]).any():
+            a, b = label[i[differ]], label[j[differ]]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(label, above := label[label]):
+                label = above
+    least = np.full(len(values), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, nodes)
+    found = np.flatnonzero(nodes != least[label])
+    return nodes[found], least[label[found]]
 
 
 def _walk(batches: Iterator[pa.RecordBatch], budget: int, widths: list[int]) -> Iterator[pa.RecordBatch]:
