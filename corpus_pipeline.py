@@ -1,4 +1,12 @@
-"""Documents to packed training sequences: five stages, each a function of (spark, docs, sf_dir)."""
+"""Documents to packed training sequences: five stages, each a function of (spark, docs, sf_dir).
+
+The four filters return rows of ``docs`` with all their columns, whatever those
+are named, and never an altered one. Null and empty texts are dropped by the
+quality rules; the stages alone treat a null text as an empty one. Very long texts
+are read whole. Rows are told apart by their place in the stored table, so null
+and repeated ids are no special case: repeated rows stay or go together, but for
+near-dedup, which keeps the first. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +18,7 @@ from shoplake.llm.store import written
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with toxic passages go; labels are learnt as in op5."""
+    """Documents with toxic passages go; labels are learnt as in op5, from those of ``docs`` that have one."""
     return toxicity.civil(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
@@ -20,18 +28,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each group stays whose 5-word shingles have a Jaccard similarity of 0.8 or more: SimHash in the trie join, then an exact join for pairs beyond its bits."""
     table(spark, sf_dir, "documents")  # ships the package when this stage runs alone
     return nearcopies.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage, some words of which may be others, go."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, cut into windows that keep the mixture of sources."""
+    """What is left, cut into windows that keep the mixture of sources; one row per piece."""
     table(spark, sf_dir, "documents")
     return packing.pack(docs)
 

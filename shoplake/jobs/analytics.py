@@ -176,18 +176,18 @@ def funnel_daily(events: DataFrame) -> DataFrame:
     return days.withColumn("overall_pct", pct(F.col("purchase"), F.col("page_view")))
 
 
-def daily_kpis(orders: DataFrame, digits: int | None = 2) -> DataFrame:
-    """Per date and channel, with growth over the channel's row before, rounded to ``digits``."""
+def daily_kpis(orders: DataFrame) -> DataFrame:
+    """Per date and channel, with growth over the channel's row before. Ratios are decimals until they are rounded to 2 digits, so halves go up exactly."""
     two = lambda c: F.round(c, 2)
     # Customers first: one pass instead of a distinct count, and hot channels are dealt out.
     per = orders.groupBy("order_date", "channel", "customer_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("total_amount", "discount_amount", "tax_amount", "net_revenue")])
     rows = per.groupBy("order_date", "channel").agg(F.sum("n").alias("orders"), *[two(F.sum(c)).alias(a) for c, a in (("total_amount", "gross"), ("discount_amount", "discount"), ("tax_amount", "tax"), ("net_revenue", "net"))], F.count("customer_id").alias("customers"))
-    prev = F.lag("net").over(Window.partitionBy("channel").orderBy("order_date"))
-    rows = rows.withColumn("prev", prev)
+    rows = rows.withColumn("prev", F.lag("net").over(Window.partitionBy("channel").orderBy("order_date")))
     d = lambda c: F.col(c).cast("double")
-    growth = F.try_divide((d("net") - d("prev")) * 100, F.nullif(d("prev"), F.lit(0.0)))
-    growth = growth if digits is None else F.round(growth, digits)
-    return rows.select("order_date", "channel", "orders", d("gross").alias("gross"), d("discount").alias("discount"), d("tax").alias("tax"), d("net").alias("net"), (d("net") / F.col("orders")).alias("aov"), "customers", d("prev").alias("prev_net"), growth.alias("growth_pct"))
+    net, prev = (F.col(c).cast("decimal(20,2)") for c in ("net", "prev"))
+    growth = two(F.try_divide((net - prev) * 100, F.nullif(prev, F.lit(0).cast("decimal(20,2)")))).cast("double")
+    aov = two(F.try_divide(net, F.col("orders").cast("decimal(18,0)"))).cast("double")
+    return rows.select("order_date", "channel", "orders", d("gross").alias("gross"), d("discount").alias("discount"), d("tax").alias("tax"), d("net").alias("net"), aov.alias("aov"), "customers", d("prev").alias("prev_net"), growth.alias("growth_pct"))
 
 
 def segment_counts(df: DataFrame, column: str) -> DataFrame:

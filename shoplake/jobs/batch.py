@@ -11,11 +11,11 @@ from shoplake.operators.basket import product_affinity
 from shoplake.sources.files import ingest_csv_to_parquet, read_parquet, write_dq_report, write_parquet
 
 
-def run_all(tables: dict[str, DataFrame], dst: str, as_of) -> dict[str, DataFrame]:
+def run_all(tables: dict[str, DataFrame], dst: str, as_of, rel_err: float = 0.05) -> dict[str, DataFrame]:
     """Write RFM, affinity, daily KPI and CLV marts; returns segment, pair and tier counts, read from what was written."""
     orders = tables["orders"].withColumn("order_date", F.col("order_date").cast("date"))
     spark = orders.sparkSession
-    write_parquet(analytics.rfm_quantile(orders, as_of), f"{dst}/rfm_scores")
+    write_parquet(analytics.rfm_quantile(orders, as_of, rel_err), f"{dst}/rfm_scores")
     write_parquet(product_affinity(tables["order_items"]), f"{dst}/product_affinity")
     write_parquet(analytics.daily_kpis(orders), f"{dst}/daily_kpis", partition_by="order_date")
     write_parquet(analytics.clv_batch(orders), f"{dst}/clv_scores")

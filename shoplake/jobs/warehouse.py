@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplake.functions.cluster import broadcast_if_small
 from shoplake.functions.expr import age_group_by_year, as_date, date_key, full_name, gross_margin_pct, pct
 from shoplake.operators.quality import dedupe_keep_first
 from shoplake.operators.scd import scd2_merge, surrogate_keys
@@ -39,7 +40,7 @@ def scd2_customer(current: DataFrame, stage: DataFrame, as_of, loaded_at: str |
 
 def scd2_product(current: DataFrame, stage: DataFrame, categories: DataFrame, as_of, loaded_at: str | None = None) -> DataFrame:
     """Versions change with unit price or activity; ``categories``: (category_name, category_sk)."""
-    src = _recent(stage, loaded_at).join(F.broadcast(categories), "category_name", "left")
+    src = _recent(stage, loaded_at).join(broadcast_if_small(categories, 1_000_000), "category_name", "left")
     src = src.select("product_id", "product_name", "category_sk", "brand", "unit_price", "cost_price", gross_margin_pct(F.col("unit_price"), F.col("cost_price")).alias("margin_pct"), "is_active")
     return scd2_merge(current, src, "product_id", ["unit_price", "is_active"], as_of)
 

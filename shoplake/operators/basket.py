@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pair_counts(items: DataFrame, order: str, item: str, min_count: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+def pair_counts(items: DataFrame, order: str, item: str, min_count: int = 1, wide: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs a < b with n, item counts, one row with n_orders); orders are counted once per item and pair.
 
     An item in fewer than ``min_count`` orders can't be in a pair that reaches
     it, so it is dropped before pairs are made. Pairs are made inside each
-    order's sorted array: one shuffle, no self-join.
+    order's sorted array: one shuffle, no self-join. An order of more than
+    ``wide`` items would make too many in one row; its items meet its array one
+    by one, each in a row of its own.
     """
     rows = items.select(F.col(order).alias("o"), F.col(item).alias("i")).filter("o is not null and i is not null").distinct()
     singles = rows.groupBy("i").agg(F.count("*").alias("n"))
     orders = rows.agg(F.countDistinct("o").alias("n_orders"))
     kept = rows.join(singles.filter(F.col("n") >= min_count).select("i"), "i", "left_semi") if min_count > 1 else rows
     baskets = kept.groupBy("o").agg(F.array_sort(F.collect_set("i")).alias("b")).filter(F.size("b") > 1)
-    inside = F.flatten(F.transform("b", lambda x, k: F.transform(F.slice("b", k + 2, F.size("b")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = baskets.select(F.explode(inside).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n_pair"))
+    after = lambda x, k: F.transform(F.slice("b", k + 2, F.size("b")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    inside = F.flatten(F.transform("b", after)).alias("p")
+    one_by_one = baskets.filter(F.size("b") > wide).select("b", F.posexplode("b").alias("k", "x")).repartition("x").select(F.explode(after(F.col("x"), F.col("k"))).alias("p"))
+    made = baskets.filter(F.size("b") <= wide).select(F.explode(inside)).toDF("p").unionByName(one_by_one)
+    pairs = made.groupBy("p.a", "p.b").agg(F.count("*").alias("n_pair"))
     return pairs, singles, orders
 
 

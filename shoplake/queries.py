@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoplake.functions.cluster import ship_package
@@ -40,8 +40,17 @@ def query(name: str, uses: tuple[str, ...] = (), sql: str | None = None):
     return add
 
 
-SEGMENT = """CASE WHEN r_score > 3 AND f_score > 3 AND m_score > 3 THEN 'Champions' WHEN r_score > 2 AND f_score > 2 THEN 'Loyal Customers' WHEN r_score > 3 AND f_score < 3 THEN 'Promising'
- WHEN r_score < 3 AND f_score > 2 AND m_score > 2 THEN 'At Risk' WHEN r_score < 3 AND f_score < 3 AND m_score < 3 THEN 'Lost' WHEN r_score > 2 AND m_score > 3 THEN 'Big Spenders' {extra} ELSE 'Needs Attention' END"""
+def segment_sql(table: tuple) -> str:
+    """The library's own table of score ranges as one CASE."""
+    fits = lambda column, r: f"{column} BETWEEN {r[0]} AND {r[1]}"
+    return "CASE " + " ".join(f"WHEN {fits('r_score', r)} AND {fits('f_score', f)} AND {fits('m_score', m)} THEN '{name}'" for name, r, f, m in table) + f" ELSE '{A.OTHER_SEGMENT}' END"
+
+
+def half_up_sql(n: str, d: str, digits: int) -> str:
+    """The ratio of two whole numbers, rounded half away from zero exactly, as decimals are; null over zero."""
+    return f"CAST(CASE WHEN ({d}) <> 0 THEN sign({n}) * sign({d}) * ((2 * abs(CAST({n} AS HUGEINT)) * {10**digits} + abs({d})) // (2 * abs(CAST({d} AS HUGEINT)))) END AS DOUBLE) / {10**digits}.0::DOUBLE"
+
+
 RFM_BASE = """b AS (SELECT customer_id, count(*) frequency, sum(net_revenue) monetary, min(order_date) first_order, max(order_date) last_order,
  date_diff('day', max(order_date), DATE '2001-12-31') recency FROM m_orders WHERE {where} GROUP BY customer_id)"""
 RFM_QUANTILE = f"""WITH {RFM_BASE.format(where="status IN ('COMPLETED', 'SHIPPED')")},
@@ -49,7 +58,7 @@ c AS (SELECT quantile_disc(CAST(recency AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) r, qua
 s AS (SELECT b.*, CASE WHEN recency <= r[1] THEN 5 WHEN recency <= r[2] THEN 4 WHEN recency <= r[3] THEN 3 WHEN recency <= r[4] THEN 2 ELSE 1 END r_score,
  CASE WHEN frequency >= f[4] THEN 5 WHEN frequency >= f[3] THEN 4 WHEN frequency >= f[2] THEN 3 WHEN frequency >= f[1] THEN 2 ELSE 1 END f_score,
  CASE WHEN CAST(monetary AS DOUBLE) >= m[4] THEN 5 WHEN CAST(monetary AS DOUBLE) >= m[3] THEN 4 WHEN CAST(monetary AS DOUBLE) >= m[2] THEN 3 WHEN CAST(monetary AS DOUBLE) >= m[1] THEN 2 ELSE 1 END m_score FROM b, c),
-g AS (SELECT *, {SEGMENT.format(extra="")} AS segment FROM s) """
+g AS (SELECT *, {segment_sql(A.SEGMENTS)} AS segment FROM s) """
 
 
 @query("a1_rfm_quantile", ("m_orders",), RFM_QUANTILE + "SELECT customer_id, recency, frequency, CAST(monetary AS DOUBLE) monetary, first_order, last_order, r_score, f_score, m_score, r_score || '' || f_score || '' || m_score AS rfm_code, segment FROM g")
@@ -66,7 +75,7 @@ def _ntile_sql(r: str, fm: str) -> str:
     return f"""WITH {RFM_BASE.format(where="status NOT IN ('CANCELLED', 'REFUNDED')")},
 s AS (SELECT *, CAST(ntile(5) OVER (ORDER BY recency {r}, customer_id) AS INTEGER) r_score, CAST(ntile(5) OVER (ORDER BY frequency {fm}, customer_id) AS INTEGER) f_score, CAST(ntile(5) OVER (ORDER BY monetary {fm}, customer_id) AS INTEGER) m_score FROM b)
 SELECT customer_id, recency, frequency, CAST(monetary AS DOUBLE) monetary, r_score, f_score, m_score, r_score || '' || f_score || '' || m_score AS rfm_code,
- {SEGMENT.format(extra="WHEN r_score = 1 THEN 'Cant Lose Them'")} AS segment FROM s"""
+ {segment_sql(A.SEGMENTS_8)} AS segment FROM s"""
 
 
 @query("a2_rfm_ntile", ("m_orders",), _ntile_sql("DESC", "ASC"))
@@ -169,12 +178,12 @@ def _(items, products):
     return basket.association_rules(items.join(products, "product_id"), item="brand", min_support=0.0005)
 
 
-@query("a11_daily_kpis", ("m_orders",), """WITH k AS (SELECT order_date, channel, count(*) orders, round(sum(total_amount), 2) gross, round(sum(discount_amount), 2) discount, round(sum(tax_amount), 2) tax, round(sum(net_revenue), 2) net, count(DISTINCT customer_id) customers FROM m_orders GROUP BY 1, 2),
-l AS (SELECT *, lag(net) OVER (PARTITION BY channel ORDER BY order_date) prev FROM k)
-SELECT order_date, channel, orders, CAST(gross AS DOUBLE) AS gross, CAST(discount AS DOUBLE) AS discount, CAST(tax AS DOUBLE) AS tax, CAST(net AS DOUBLE) AS net, CAST(net AS DOUBLE) / orders AS aov, customers, CAST(prev AS DOUBLE) AS prev_net,
- (CAST(net AS DOUBLE) - CAST(prev AS DOUBLE)) * 100 / nullif(CAST(prev AS DOUBLE), 0) AS growth_pct FROM l""")
+@query("a11_daily_kpis", ("m_orders",), f"""WITH k AS (SELECT order_date, channel, count(*) orders, round(sum(total_amount), 2) gross, round(sum(discount_amount), 2) discount, round(sum(tax_amount), 2) tax, round(sum(net_revenue), 2) net, count(DISTINCT customer_id) customers FROM m_orders GROUP BY 1, 2),
+l AS (SELECT *, lag(net) OVER (PARTITION BY channel ORDER BY order_date) prev FROM k), c AS (SELECT *, CAST(net * 100 AS HUGEINT) nc, CAST(prev * 100 AS HUGEINT) pc FROM l)
+SELECT order_date, channel, orders, CAST(gross AS DOUBLE) AS gross, CAST(discount AS DOUBLE) AS discount, CAST(tax AS DOUBLE) AS tax, CAST(net AS DOUBLE) AS net, {half_up_sql("nc", "orders * 100", 2)} AS aov, customers, CAST(prev AS DOUBLE) AS prev_net,
+ {half_up_sql("(nc - pc) * 100", "pc", 2)} AS growth_pct FROM c""")
 def _(orders):
-    return A.daily_kpis(orders, digits=None)
+    return A.daily_kpis(orders)
 
 
 # ---- cleaning and quality -------------------------------------------------
@@ -228,33 +237,69 @@ def _(customers):
     return quality.dq_totals(report.unionByName(report)).select(F.col("rows_in").cast("long").alias("rows_in"), F.col("rows_out").cast("long").alias("rows_out"), "pass_rate")
 
 
-@query("clean_products", ("m_products",), """WITH r AS (SELECT product_id, category_name, CAST(unit_price AS DOUBLE) * (CASE WHEN product_id % 19 = 0 THEN -1 ELSE 1 END) p, CAST(cost_price AS DOUBLE) * (CASE WHEN product_id % 7 = 0 THEN -1 ELSE 1 END) c FROM m_products),
-g AS (SELECT *, CASE WHEN c < 0 THEN p * 0.5::DOUBLE ELSE c END c2 FROM r WHERE p > 0)
-SELECT product_id, p AS unit_price, c2 AS cost_price, (p - c2) / p AS margin, product_id % 4 IN (0, 1) AS is_active FROM g""")
-def _(products):
+def dirty_products(products: DataFrame) -> DataFrame:
     i = F.col("product_id")
     active = F.element_at(F.array(F.lit("TRUE"), F.lit("yes"), F.lit("no"), F.lit(None).cast("string")), (i % 4 + 1).cast("int"))
-    raw = products.select(i, "product_name", "category_name", "brand", (F.col("unit_price").cast("double") * F.when(i % 19 == 0, -1).otherwise(1)).cast("string").alias("unit_price"), (F.col("cost_price").cast("double") * F.when(i % 7 == 0, -1).otherwise(1)).cast("string").alias("cost_price"), active.alias("is_active"))
-    good, _ = clean.clean_products(raw)
-    return good.select("product_id", "unit_price", "cost_price", ((F.col("unit_price") - F.col("cost_price")) / F.col("unit_price")).alias("margin"), "is_active")
+    return products.select(i, F.concat(F.lit("  "), "product_name", F.lit("\t")).alias("product_name"), "category_name", F.upper("brand").alias("brand"), (F.col("unit_price").cast("double") * F.when(i % 19 == 0, -1).otherwise(1)).cast("string").alias("unit_price"), (F.col("cost_price").cast("double") * F.when(i % 7 == 0, -1).when(i % 23 == 0, 2).otherwise(1)).cast("string").alias("cost_price"), active.alias("is_active"))
 
 
-@query("clean_orders", ("m_orders",), """SELECT CAST(order_id AS VARCHAR) AS order_id, CASE WHEN order_id % 5 = 0 THEN 'PENDING' ELSE status END AS status, CASE WHEN order_id % 3 = 0 THEN 'web' ELSE channel END AS channel, 'USD' AS currency, round(t - CAST(discount_amount AS DOUBLE), 2) AS net_revenue
-FROM (SELECT *, CASE WHEN order_id % 23 = 0 THEN 0 WHEN order_id % 29 = 0 THEN -CAST(total_amount AS DOUBLE) ELSE CAST(total_amount AS DOUBLE) END t FROM m_orders) WHERE t >= 0""")
-def _(orders):
+DIRTY_PRODUCTS = """dp AS (SELECT product_id, product_name, category_name, brand, CAST(unit_price AS DOUBLE) * (CASE WHEN product_id % 19 = 0 THEN -1 ELSE 1 END) p, CAST(cost_price AS DOUBLE) * (CASE WHEN product_id % 7 = 0 THEN -1 WHEN product_id % 23 = 0 THEN 2 ELSE 1 END) c FROM m_products),
+gp AS (SELECT *, CASE WHEN c < 0 THEN p * 0.5::DOUBLE ELSE c END c2 FROM dp WHERE p > 0)
+"""
+
+
+@query("clean_products", ("m_products",), "WITH " + DIRTY_PRODUCTS + "SELECT product_id, product_name, category_name, p AS unit_price, c2 AS cost_price, round((p - c2) * 100 / p, 2) AS gross_margin_pct, product_id % 4 IN (0, 1) AS is_active FROM gp")
+def _(products):
+    good, _ = clean.clean_products(dirty_products(products))
+    return good.select("product_id", "product_name", "category_name", "unit_price", "cost_price", "gross_margin_pct", "is_active")
+
+
+def dirty_orders(orders: DataFrame) -> DataFrame:
     i = F.col("order_id")
     total = F.when(i % 23 == 0, F.lit("broken")).when(i % 29 == 0, (-F.col("total_amount")).cast("string")).otherwise(F.col("total_amount").cast("string"))
-    raw = orders.select(i.cast("string").alias("order_id"), F.col("customer_id").cast("string").alias("customer_id"), F.col("order_date").cast("string").alias("order_date"), F.when(i % 5 == 0, F.lit("odd")).otherwise(F.col("status")).alias("status"), F.lit("0").alias("shipping_cost"), F.col("discount_amount").cast("string").alias("discount_amount"), F.col("tax_amount").cast("string").alias("tax_amount"), total.alias("total_amount"), F.lit("usd").alias("currency"), F.when(i % 3 != 0, F.col("channel")).alias("channel"))
-    items = orders.limit(0).select(F.lit(1).alias("quantity"), F.lit(1).alias("unit_price"), F.lit(1).alias("discount_pct"), F.lit(1).alias("line_total"))
-    good, _, _ = clean.clean_orders(raw, items)
+    return orders.select(i.cast("string").alias("order_id"), F.col("customer_id").cast("string").alias("customer_id"), F.col("order_date").cast("string").alias("order_date"), F.when(i % 5 == 0, F.lit("odd")).otherwise(F.col("status")).alias("status"), F.lit("0").alias("shipping_cost"), F.col("discount_amount").cast("string").alias("discount_amount"), F.col("tax_amount").cast("string").alias("tax_amount"), total.alias("total_amount"), F.lit("usd").alias("currency"), F.when(i % 3 != 0, F.col("channel")).alias("channel"))
+
+
+def dirty_items(items: DataFrame) -> DataFrame:
+    """Whole prices and percents, so that no product of them has half a cent; every ninth quantity and every eleventh total is broken."""
+    i, price = F.col("product_id"), F.floor("gross").cast("long")
+    pct = (F.col("discount") * 100).cast("int")
+    total = F.round(F.col("quantity") * price * (100 - pct) / 100, 2)
+    return items.select(F.col("order_id").cast("string").alias("order_id"), i.cast("string").alias("product_id"), F.when(i % 9 == 0, F.lit("many")).otherwise(F.col("quantity").cast("string")).alias("quantity"), price.cast("string").alias("unit_price"), pct.cast("string").alias("discount_pct"), F.when(i % 11 == 0, F.lit(None)).otherwise(total.cast("string")).alias("line_total"))
+
+
+DIRTY_ITEMS = """di AS (SELECT order_id, product_id, CASE WHEN product_id % 9 = 0 THEN 1 ELSE quantity END q, CAST(floor(gross) AS BIGINT) price, CAST(discount * 100 AS INTEGER) pct, CASE WHEN product_id % 11 = 0 THEN 0.0::DOUBLE ELSE round(CAST(quantity * CAST(floor(gross) AS BIGINT) * (100 - CAST(discount * 100 AS INTEGER)) AS DOUBLE) / 100, 2) END line FROM m_items),
+li AS (SELECT *, round(CAST(q * price * (100 - pct) AS DOUBLE) / 100, 2) chk FROM di)
+"""
+
+
+@query("clean_orders", ("m_orders", "m_items"), """SELECT CAST(order_id AS VARCHAR) AS order_id, CASE WHEN order_id % 5 = 0 THEN 'PENDING' ELSE status END AS status, CASE WHEN order_id % 3 = 0 THEN 'web' ELSE channel END AS channel, 'USD' AS currency, round(t - CAST(discount_amount AS DOUBLE), 2) AS net_revenue
+FROM (SELECT *, CASE WHEN order_id % 23 = 0 THEN 0 WHEN order_id % 29 = 0 THEN -CAST(total_amount AS DOUBLE) ELSE CAST(total_amount AS DOUBLE) END t FROM m_orders) WHERE t >= 0""")
+def _(orders, items):
+    good, _, _ = clean.clean_orders(dirty_orders(orders), dirty_items(items))
     return good.select("order_id", "status", "channel", "currency", "net_revenue")
 
 
-@query("clean_clickstream", ("m_events",), """SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 6 = 0 THEN 'other' ELSE event_type END AS event_type, CASE WHEN event_id % 4 <> 0 THEN CAST(customer_id AS VARCHAR) END AS customer_id FROM m_events WHERE event_id % 10 <> 0""")
-def _(events):
+@query("q22_clean_order_items", ("m_orders", "m_items"), "WITH " + DIRTY_ITEMS + "SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(product_id AS VARCHAR) AS product_id, CAST(q AS INTEGER) AS quantity, CAST(price AS DOUBLE) AS unit_price, CAST(pct AS DOUBLE) AS discount_pct, line AS line_total, chk AS line_total_check FROM li")
+def _(orders, items):
+    _, lines, _ = clean.clean_orders(dirty_orders(orders), dirty_items(items))
+    return lines
+
+
+@query("q22_line_total_mismatch", ("m_orders", "m_items"), "WITH " + DIRTY_ITEMS + "SELECT count(*) AS line_total_mismatch FROM li WHERE abs(line - chk) > 0.01")
+def _(orders, items):
+    return clean.line_total_mismatch(clean.clean_orders(dirty_orders(orders), dirty_items(items))[1])
+
+
+def dirty_events(events: DataFrame) -> DataFrame:
     i = F.col("event_id")
     raw = events.select(i.cast("string").alias("event_id"), F.when(i % 6 == 0, F.lit("hover")).otherwise(F.concat(F.lit(" "), F.upper("event_type"))).alias("event_type"), F.when(i % 4 == 0, F.lit("")).otherwise(F.col("customer_id").cast("string")).alias("customer_id"), F.when(i % 10 == 0, F.lit("bad time")).otherwise(F.col("event_timestamp").cast("string")).alias("event_timestamp"), F.lit(" Mobile ").alias("device_type"))
-    good, _ = clean.clean_clickstream(raw.unionByName(raw))
+    return raw.unionByName(raw)
+
+
+@query("clean_clickstream", ("m_events",), """SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 6 = 0 THEN 'other' ELSE event_type END AS event_type, CASE WHEN event_id % 4 <> 0 THEN CAST(customer_id AS VARCHAR) END AS customer_id FROM m_events WHERE event_id % 10 <> 0""")
+def _(events):
+    good, _ = clean.clean_clickstream(dirty_events(events))
     return good.select("event_id", "event_type", "customer_id")
 
 
@@ -418,10 +463,11 @@ def _(products):
 @query("r9_content_recs", (*RECS, "m_products"), INTER + ", " + TFIDF + """, h AS (SELECT customer_id, product_id FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY last_date DESC, product_id DESC) n FROM i) WHERE n <= 10),
 mv AS (SELECT customer_id, token, sum(weight) / (SELECT count(*) FROM h h2 WHERE h2.customer_id = h.customer_id) m FROM h JOIN x USING (product_id) GROUP BY customer_id, token),
 sc AS (SELECT customer_id, product_id, round(sum(m * weight), 9) score FROM mv JOIN x USING (token) GROUP BY 1, 2)
-SELECT count(*) AS rows, count(DISTINCT customer_id) AS customers, round(sum(score), 3) AS total FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, product_id) n FROM sc WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.customer_id = sc.customer_id AND i.product_id = sc.product_id)) WHERE n <= 50""")
+SELECT customer_id, product_id, CAST(n AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, product_id) n FROM sc WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM i WHERE i.customer_id = sc.customer_id AND i.product_id = sc.product_id)) WHERE n <= 50""")
 def _(items, orders, reviews, products):
     recs = hybrid.content_recs(hybrid.interactions(items, orders, reviews), hybrid.tfidf(hybrid.product_tokens(products), products))
-    return recs.agg(F.count("*").alias("rows"), F.countDistinct("customer_id").alias("customers"), F.round(F.sum("score"), 3).alias("total"))
+    place = F.row_number().over(Window.partitionBy("customer_id").orderBy(F.desc("score"), "product_id"))
+    return recs.select("customer_id", "product_id", place.alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query("r11_rule_recs", (*RECS,), INTER + """, d AS (SELECT DISTINCT order_id, product_id i FROM m_items), sg AS (SELECT i, count(*) n FROM d GROUP BY 1), tt AS (SELECT count(DISTINCT order_id) n FROM d),

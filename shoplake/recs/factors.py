@@ -34,34 +34,55 @@ def train_cf(inter: DataFrame, rank: int = 15, iterations: int = 10, reg: float
     return Factors(als.fit(rows), users, items)
 
 
+def rmse(rows: DataFrame) -> DataFrame:
+    """Of (score, prediction)."""
+    return rows.agg(F.sqrt(F.avg((F.col("prediction") - F.col("score")) ** 2)).alias("rmse"))
+
+
 def cf_rmse(f: Factors, inter: DataFrame, cap: float = 5.0) -> DataFrame:
     rows = inter.join(f.users, "customer_id").join(f.items, "product_id").select("u", "i", F.least("score", F.lit(cap)).alias("score"))
-    return f.model.transform(rows).agg(F.sqrt(F.avg((F.col("prediction") - F.col("score")) ** 2)).alias("rmse"))
+    return rmse(f.model.transform(rows))
 
 
 def cf_top_n(f: Factors, inter: DataFrame, n: int = 50, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """Unbought products by factor product, exact: every customer against all item factors, a block of ``block_items`` at a time."""
-    bought = inter.join(f.users, "customer_id").join(f.items, "product_id").groupBy("u").agg(F.collect_list("product_id").alias("have"))
-    factors = written(f.model.itemFactors.join(f.items.withColumnRenamed("i", "id"), "id").select("product_id", "features"), "item-factors")
-    users = f.model.userFactors.join(bought.withColumnRenamed("u", "id"), "id").join(f.users.withColumnRenamed("u", "id"), "id").select("customer_id", "features", "have")
+    """Unbought products by factor product; customers and products without factors have none."""
+    items = f.model.itemFactors.join(f.items.withColumnRenamed("i", "id"), "id").select("product_id", "features")
+    users = f.model.userFactors.join(f.users.withColumnRenamed("u", "id"), "id").select("customer_id", "features")
+    return top_by_factors(users, items, inter, n, block_items)
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` greatest of each row, ties to the lower column; none that is minus infinity."""
+    k = min(k, scores.shape[1])
+    cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    above, level = scores > cut, (scores == cut) & np.isfinite(scores)
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))
+
+
+def top_by_factors(users: DataFrame, items: DataFrame, inter: DataFrame, n: int = 50, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The ``n`` products of greatest factor product that a customer hasn't bought, ties to the smaller id.
+
+    ``users`` (customer_id, features), ``items`` (product_id, features). Exact:
+    every customer against all item factors, a block of ``block_items`` at a time.
+    """
+    bought = inter.groupBy("customer_id").agg(F.collect_list("product_id").alias("have"))
+    users = written(users.join(bought, "customer_id"), "users")
 
     def rank(batches: Iterator[pd.DataFrame], block: tuple[np.ndarray, np.ndarray]) -> Iterator[pd.DataFrame]:
         ids, matrix = block
         if not len(ids):
             return
         place = {x: k for k, x in enumerate(ids.tolist())}
-        k = min(n, len(ids))
         for whole in batches:
             for lo in range(0, len(whole), 256):
                 part = whole.iloc[lo : lo + 256]
                 scores = np.array(part["features"].tolist(), dtype=np.float32) @ matrix.T
                 for r, have in enumerate(part["have"]):
                     scores[r, [place[x] for x in have if x in place]] = -np.inf
-                best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(part)), k)
-                out = pd.DataFrame({"customer_id": part["customer_id"].to_numpy()[rows], "product_id": ids[best.ravel()], "score": scores[rows, best.ravel()].astype(float)})
-                yield out[np.isfinite(out["score"])]
+                rows, best = _best(scores, n)
+                yield pd.DataFrame({"customer_id": part["customer_id"].to_numpy()[rows], "product_id": ids[best], "score": scores[rows, best].astype(float)})
 
-    blocks = ((rows["product_id"].to_numpy(), np.array(rows["features"].tolist(), dtype=np.float32)) for rows in in_blocks(factors, "product_id", block_items))
+    blocks = ((rows["product_id"].to_numpy(), np.array(rows["features"].tolist(), dtype=np.float32)) for rows in in_blocks(written(items, "item-factors"), "product_id", block_items))
     kind = lambda c: inter.schema[c].dataType.simpleString()
-    return best_of_blocks(written(users, "users"), "customer_id", blocks, rank, f"customer_id {kind('customer_id')}, product_id {kind('product_id')}, score double", "score", "product_id", n)
+    return best_of_blocks(users, "customer_id", blocks, rank, f"customer_id {kind('customer_id')}, product_id {kind('product_id')}, score double", "score", "product_id", n)

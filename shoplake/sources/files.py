@@ -21,12 +21,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def read_stage_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Header, double quotes doubled inside, every spelling of null to null; an alien file fails instead of being read by position."""
-    df = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("enforceSchema", False).option("multiLine", True).csv(path)
+#: How dates and times are spelt in staged files.
+FORMATS = {"dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd HH:mm:ss"}
+
+
+def _nulls(df: DataFrame) -> DataFrame:
+    """Every spelling of null to null."""
     return df.withColumns({n: F.when(~F.col(n).isin(*NULLS), F.col(n)) for n, kind in df.dtypes if kind == "string"})
 
 
+def read_stage_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """Header, double quotes doubled inside, every spelling of null to null; an alien file fails instead of being read by position.
+
+    ``multi_line`` allows line feeds inside quotes; such a file can't be split, so it is read by one task.
+    """
+    return _nulls(spark.read.schema(schema).options(header=True, quote='"', escape='"', enforceSchema=False, multiLine=multi_line, **FORMATS).csv(path))
+
+
 def read_stage_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Elements of an outer array become rows."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -37,14 +48,14 @@ def with_load_metadata(df: DataFrame) -> DataFrame:
     return df.select("*", F.current_timestamp().alias("_load_timestamp"), F.col("_metadata.file_path").alias("_source_file"), F.monotonically_increasing_id().alias("_row_number"))
 
 
-def ingest_csv_to_parquet(spark: SparkSession, src: str, dst: str, tables: Sequence[str] = tuple(TABLES)) -> dict[str, int]:
+def ingest_csv_to_parquet(spark: SparkSession, src: str, dst: str, tables: Sequence[str] = tuple(TABLES), multi_line: bool = False) -> dict[str, int]:
     """Each table's CSV to Parquet; missing files are skipped. Row counts are read from the files written."""
     counts = {}
     for t in tables:
         if not _exists(spark, f"{src}/{t}.csv"):
             log.warning("%s.csv is missing", t)
             continue
-        write_parquet(read_stage_csv(spark, f"{src}/{t}.csv", TABLES[t]), f"{dst}/{t}")
+        write_parquet(read_stage_csv(spark, f"{src}/{t}.csv", TABLES[t], multi_line), f"{dst}/{t}")
         counts[t] = spark.read.parquet(f"{dst}/{t}").count()
     return counts
 
@@ -74,11 +85,11 @@ def write_dq_report(report: DataFrame, path: str) -> None:
 
 def load_new_files(spark: SparkSession, src: str, schema: str, dst: str, checkpoint: str) -> StreamingQuery:
     """Load files not loaded before, keep the sources, put rows that don't parse beside the table; waits for the end."""
-    rows = spark.readStream.schema(schema + ", _corrupt_record string").option("header", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(src)
+    rows = spark.readStream.schema(schema + ", _corrupt_record string").options(header=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", **FORMATS).csv(src)
 
     def save(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        batch.filter("_corrupt_record is null").drop("_corrupt_record").write.mode("overwrite").parquet(f"{dst}/rows/load={number}")
+        _nulls(batch.filter("_corrupt_record is null").drop("_corrupt_record")).write.mode("overwrite").parquet(f"{dst}/rows/load={number}")
         batch.filter("_corrupt_record is not null").select("_corrupt_record").write.mode("overwrite").parquet(f"{dst}/bad/load={number}")
         batch.unpersist()
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from shoplake.operators.basket import association_rules, product_affinity
+from shoplake.operators.basket import association_rules, pair_counts, product_affinity
 from shoplake.recs import factors, hybrid
 from shoplake.sources import files, schemas
 
@@ -54,6 +54,22 @@ def test_baskets(spark):
     assert product_affinity(items.limit(0)).count() == 0
 
 
+def test_wide_baskets_give_the_same_pairs(spark):
+    rows = [(o, (o * 7 + k * k) % 23) for o in range(60) for k in range(o % 9)] + [(None, 1), (3, None)]
+    items = spark.createDataFrame(rows, "order_id int, product_id int")
+    pairs = [{(r.a, r.b): r.n_pair for r in pair_counts(items, "order_id", "product_id", 2, wide)[0].collect()} for wide in (500, 3, 1)]
+    assert pairs[0] == pairs[1] == pairs[2] and len(pairs[0]) > 50
+
+
+def test_staged_text_with_line_feeds(spark, tmp_path):
+    path = str(tmp_path / "p.csv")
+    with open(path, "w") as f:
+        f.write('a,b,c\n1,"two\nlines",2024-02-03 04:05:06\n2,null,NULL\n')
+    schema = "a int, b string, c timestamp"
+    assert [(r.a, r.b) for r in files.read_stage_csv(spark, path, schema, multi_line=True).orderBy("a").collect()] == [(1, "two\nlines"), (2, None)]
+    assert files.read_stage_csv(spark, path, schema, multi_line=True).filter("c = '2024-02-03 04:05:06'").count() == 1
+
+
 @pytest.fixture(scope="module")
 def shop(spark):
     inter = spark.range(600).select((F.col("id") * 31 % 23).alias("customer_id"), (F.col("id") * 17 % 29 + F.col("id") % 3).alias("product_id"), (1 + F.col("id") % 5).alias("quantity"), F.lit(3.0).alias("rating"), (F.col("id") % 7 + 0.5).alias("score"), F.lit("2024-01-01").cast("date").alias("last_date"))

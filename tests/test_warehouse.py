@@ -77,12 +77,36 @@ def test_cohorts_and_growth_gaps(spark):
     assert {r.month: r.mom_pct for r in A.revenue_growth(orders, calendar=True).collect()} == {1: None, 3: None}
 
 
-def test_plans(spark):
+#: Shuffles that a query's plan may hold (what it has written before is not in the plan), and columns that its scans may read of the widest table.
+PLANS = {
+    "a1_rfm_quantile": (4, {"l_orderkey", "l_extendedprice", "l_discount"}),
+    "a5_cohort_retention": (5, set()),
+    "a8_funnel_by_channel": (2, set()),
+    "a10_product_affinity": (9, {"l_orderkey", "l_partkey"}),
+    "w4_load_fact_orders": (14, {"l_orderkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_partkey"}),
+    "x5_velocity_anomaly": (1, set()),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PLANS))
+def test_plans(spark, name):
     from shoplake.queries import QUERIES
 
-    for name in ("a2_rfm_ntile", "a5_cohort_retention", "a10_product_affinity", "w4_load_fact_orders"):
-        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan
+    shuffles, columns = PLANS[name]
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") + plan.count("Exchange rangepartitioning") <= shuffles
+    read = {c.split(":")[0] for part in plan.split("ReadSchema: struct<")[1:] for c in part.split(">")[0].split(",") if c.startswith("l_")}
+    assert read <= columns
+
+
+def test_filters_reach_the_scan(spark):
+    from shoplake.queries import QUERIES
+
+    plan = QUERIES["x2_trending_products"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull" in plan or "PushedFilters: [Is" in plan
+    plan = QUERIES["a3_clv_sql"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_comment" not in plan and "o_comment" not in plan
 
 
 @pytest.mark.parametrize("days,last", [(1825, dt.date(2024, 12, 29))])
