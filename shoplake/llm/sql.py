@@ -1,6 +1,29 @@
 """DuckDB twins of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from shoplake.llm.quality import RULES, STOP_WORDS, Rule
+
+
+def _fails(r: Rule) -> str:
+    """A row of the threshold table as SQL."""
+    outside = [f"{r.metric} < {r.low}::DOUBLE"] * (r.low is not None) + [f"{r.metric} > {r.high}::DOUBLE"] * (r.high is not None)
+    return f"CASE WHEN n_words >= {r.least_words} AND ({' OR '.join(outside)}) THEN '{r.name}' END"
+
+
 ORACLE_SQL = {
+    "op4_quality_rules": f"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x09-\\x0D\\x20]')) ls FROM d),
+g0 AS (SELECT rid, ws, unnest(range(1, len(ws) - 3)) i FROM w WHERE len(ws) >= 5), g AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') five FROM g0),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, five) c FROM g) WHERE c > 1), p AS (SELECT rid, unnest(range(i, i + 5)) pos FROM twice), r AS (SELECT rid, count(DISTINCT pos) n FROM p GROUP BY rid),
+m AS (SELECT doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) n_symbols, len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(r.n, 0) n_repeat_words, len(ls) n_lines,
+  length(regexp_replace(t, '[^!]+', '', 'g')) n_exclamations, len(list_filter(ws, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in STOP_WORDS)}))) n_stop_words, len(list_filter(ls, lambda x: regexp_matches(x, '[.!?:;]["'')]*[\\x09-\\x0D\\x20]*$'))) n_ended_lines FROM w LEFT JOIN r USING (rid)),
+q AS (SELECT *, word_chars / greatest(n_words, 1)::DOUBLE mean_word_chars, n_symbols / greatest(n_words, 1)::DOUBLE symbol_ratio, n_exclamations / greatest(n_words, 1)::DOUBLE exclamation_ratio, n_stop_words / greatest(n_words, 1)::DOUBLE stop_word_ratio, n_repeat_words / greatest(n_words, 1)::DOUBLE repeat_word_ratio,
+  n_dup_lines / greatest(n_lines, 1)::DOUBLE dup_line_ratio, n_ended_lines / greatest(n_lines, 1)::DOUBLE ended_line_ratio, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed FROM m),
+f AS (SELECT *, concat_ws(',', {", ".join(map(_fails, RULES))}) failed_rules FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f
+""",
     "op2_tool_links": """
 WITH RECURSIVE t AS (SELECT conv_id, CAST(turn AS BIGINT) turn, role, coalesce(text, '') txt FROM conversations),
 c AS (SELECT conv_id, 'call-' || turn call_id, turn, list_value('search', 'lookup', 'paint')[length(txt) % 3 + 1] AS name, length(txt) % 50 lim, nullif(regexp_extract(txt, '^\\p{L}+'), '') q FROM t WHERE role = 'assistant'),
