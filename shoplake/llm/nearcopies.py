@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplake.llm.components import components
@@ -28,9 +28,44 @@ from shoplake.llm.simhash import links, majority
 from shoplake.llm.store import written
 
 
-#: Longs of a document's parity bits. Bit b is set if an odd number of its shingles has the hash b, so the bits in which
-#: two documents differ are no more than the shingles in which they do: a bound that spares most comparisons of whole sets.
-WORDS = 8
+#: Least number of a document's parity bits. Bit b is set if an odd number of its shingles has the hash b modulo the
+#: number of bits, so the bits in which two documents differ are no more than the shingles in which they do: a bound
+#: that spares most comparisons of whole sets. A document has at least a bit for each shingle, so the bound is as sharp
+#: for long ones; the halves of a document's bits, one over the other, are its bits at half the number.
+BITS = 512
+
+
+def parity(found: np.ndarray) -> bytes:
+    """Parity bits of distinct hashes, the least power of two of bits that are as many as they."""
+    bits = max(BITS, 1 << (len(found) - 1).bit_length()) if len(found) else BITS
+    return np.packbits((np.bincount(found & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two documents differ, at the lesser number of bits."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v, u_n, u_bits, v_n, v_bits) to the pairs that the parity bits don't rule out."""
+    for batch in batches:
+        a, b = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+        differ = np.zeros(len(a), dtype=np.int64)
+        short = np.array([len(x) == len(y) == BITS // 8 for x, y in zip(a, b)], dtype=bool)
+        if short.any():
+            x, y = (np.frombuffer(b"".join(c[i] for i in np.flatnonzero(short).tolist()), np.uint64).reshape(-1, BITS // 64) for c in (a, b))
+            differ[short] = np.bitwise_count(x ^ y).sum(axis=1)
+        for i in np.flatnonzero(~short).tolist():
+            differ[i] = differing(a[i], b[i])
+        sizes = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+        kept = np.flatnonzero(differ * (1 + similarity) <= sizes * (1 - similarity) + 1e-6)
+        if len(kept):
+            yield batch.select(["u", "v"]).take(pa.array(kept))
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -69,10 +104,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
                 prints.append(majority(found))
                 sizes.append(len(found))
                 last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), dtype=bool)
-                odd = np.bincount(found & (64 * WORDS - 1), minlength=64 * WORDS).astype(np.uint8) & 1
-                bits.append(np.packbits(odd).view(np.int64))
+                bits.append(parity(found))
                 heads.append(np.r_[found[~last], found[last]][: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(prints, pa.int64())], names=["node", "digest", "n", "head", "bits", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(prints, pa.int64())], names=["node", "digest", "n", "head", "bits", "fp"])
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -144,24 +178,21 @@ def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, budget:
     joins and changes no result.
     """
     common = _common(texts, shingle)
-    prints = written(texts.mapInArrow(lambda it: _prefixes(it, shingle, similarity, common), "node long, digest binary, n long, head array<long>, bits array<long>, fp long"), "near-prefixes")
+    prints = written(texts.mapInArrow(lambda it: _prefixes(it, shingle, similarity, common), "node long, digest binary, n long, head array<long>, bits binary, fp long"), "near-prefixes")
     least = written(prints.groupBy("digest").agg(F.min("node").alias("node")).select("node"), "near-distinct")
 
     def side(table: DataFrame, end: str) -> DataFrame:
         return table.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in table.columns if c != "node"])
 
-    def alike(differing: Column, sizes: Column) -> Column:
-        return differing * (1 + similarity) <= sizes * (1 - similarity) + 1e-6
-
     def verified(found: DataFrame) -> DataFrame:
         """The pairs (u, v) that reach the similarity."""
         sketch = prints.select("node", "n", "bits")
-        differing = sum((F.bit_count(F.col("u_bits")[i].bitwiseXOR(F.col("v_bits")[i])) for i in range(WORDS)), F.lit(0))
-        pairs = written(found.join(side(sketch, "u"), "u").join(side(sketch, "v"), "v").filter(alike(differing, F.col("u_n") + F.col("v_n"))).select("u", "v"), "near-candidates")
+        met = found.join(side(sketch, "u"), "u").join(side(sketch, "v"), "v").select("u", "v", "u_n", "u_bits", "v_n", "v_bits")
+        pairs = written(met.mapInArrow(lambda it: _near(it, similarity), "u long, v long"), "near-candidates")
         asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
         sets = written(texts.join(asked, "node", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "node long, shingles array<long>"), "near-sets")
-        sizes = F.size("u_shingles") + F.size("v_shingles")
-        both = pairs.join(side(sets, "u"), "u").join(side(sets, "v"), "v").filter(alike(sizes - 2 * F.size(F.array_intersect("u_shingles", "v_shingles")), sizes))
+        sizes, common = F.size("u_shingles") + F.size("v_shingles"), F.size(F.array_intersect("u_shingles", "v_shingles"))
+        both = pairs.join(side(sets, "u"), "u").join(side(sets, "v"), "v").filter(common * (1 + similarity) + 1e-6 >= sizes * similarity)
         return written(both.select("u", "v"), "near-links")
 
     distinct = prints.join(least, "node", "left_semi")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def edited():
     shared = [f"license{i}" for i in range(40)]
     texts = []
     for g in range(12):
-        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 30, 90, 250]))] + shared * (g % 2)
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 30, 90, 250, 900]))] + shared * (g % 2)
         for edits in (0, 0, 1, 1, 2, 3, 5, 9):
             words = list(base)
             for _ in range(edits):
@@ -51,6 +52,18 @@ def test_edited_copies_by_brute_force(spark, common, tmp_path, monkeypatch):
     assert got == {i for i, c in enumerate(least) if c != i}
 
 
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 511, 512, 513, 3000, 20_000):
+        a = np.unique(rng.integers(-(2**63), 2**63, n))
+        for share, m in ((0.9, n), (0.5, 2 * n), (0.0, n // 3 + 1)):
+            b = np.unique(np.r_[a[: int(share * len(a))], rng.integers(-(2**63), 2**63, m - int(share * len(a)) if m > int(share * len(a)) else 0)])
+            apart = len(np.setxor1d(a, b))
+            got = nearcopies.differing(nearcopies.parity(a), nearcopies.parity(b))
+            assert got <= apart and got == nearcopies.differing(nearcopies.parity(b), nearcopies.parity(a))
+            assert share > 0 or n < 600 or m < n or got > 0.3 * n  # as sharp for long documents
+
+
 def test_stage_drops_edited_copies(spark, tmp_path):
     texts = edited()
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "docs"))
