@@ -161,12 +161,17 @@ def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, stars: boo
             step += 1
 
 
-def _common(texts: DataFrame, shingle: int, sample: int = 5_000, most: int = 50_000) -> np.ndarray:
-    """Shingles that are frequent in a sample of rows: only where they stand in the order depends on it, no result."""
-    every = max(1, texts.count() // sample)
-    some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)
+def _common(texts: DataFrame, shingle: int, sample: int = 5_000, share: float = 0.005, most: int = 500_000) -> np.ndarray:
+    """Shingles that are frequent in a sample of rows: only where they stand in the order depends on it, no result.
+
+    The sample grows with the table, so that a passage of a thousand documents
+    or so is in it five times at any size.
+    """
+    rows = max(1, texts.count())
+    part = min(1.0, max(share, sample / rows))
+    some = texts.filter(F.xxhash64("node").cast("double") < F.lit((part - 0.5) * 2.0**64))
     counted = some.mapInArrow(lambda it: _sets(it, shingle), "node long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count()
-    return np.sort(np.array([r.s for r in counted.filter("count >= 5").orderBy(F.desc("count"), "s").limit(most).collect()], dtype=np.int64))
+    return np.sort(counted.filter("count >= 5").orderBy(F.desc("count"), "s").limit(most).select("s").toPandas()["s"].to_numpy(dtype=np.int64))
 
 
 def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, budget: int = 3) -> DataFrame:

@@ -18,8 +18,8 @@ def found(spark, calls, needs):
     """Levels of one conversation, beside another that uses the same identifiers without any needs."""
     both = spark.createDataFrame([(c, i) for c in (1, 2) for i in calls], "conv_id long, call_id string")
     edges = spark.createDataFrame([(1, *n) for n in needs], "conv_id long, call_id string, needed string")
-    # In one task, by rounds, and the conversation without needs in one task beside the other by rounds.
-    ways = [chat.levels(both, edges, most).collect() for most in (500_000, 0, len(calls))]
+    # In one task, and the conversation without needs in one task beside the other by rounds.
+    ways = [chat.levels(both, edges, most).collect() for most in (500_000, len(calls))]
     for out in ways:
         assert {r.level for r in out if r.conv_id == 2} == {0} and len(out) == 2 * len(calls)
     first, *others = [{r.call_id: r.level for r in out if r.conv_id == 1} for out in ways]
