@@ -24,7 +24,7 @@ class Encoder:
     characters, among which the frequent ones are.
     """
 
-    def __init__(self, path: str, pattern: str, max_units: int = 800_000, max_unit: int = 40):
+    def __init__(self, path: str, pattern: str, max_units: int = 400_000, max_unit: int = 40):
         import tiktoken
 
         with open(path, "rb") as lines:

@@ -53,19 +53,21 @@ def differing(a: bytes, b: bytes) -> int:
 
 def _near(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows (u, v, u_n, u_bits, v_n, v_bits) to the pairs that the parity bits don't rule out."""
-    for batch in batches:
-        a, b = batch.column(3).to_pylist(), batch.column(5).to_pylist()
-        differ = np.zeros(len(a), dtype=np.int64)
-        short = np.array([len(x) == len(y) == BITS // 8 for x, y in zip(a, b)], dtype=bool)
-        if short.any():
-            x, y = (np.frombuffer(b"".join(c[i] for i in np.flatnonzero(short).tolist()), np.uint64).reshape(-1, BITS // 64) for c in (a, b))
-            differ[short] = np.bitwise_count(x ^ y).sum(axis=1)
-        for i in np.flatnonzero(~short).tolist():
-            differ[i] = differing(a[i], b[i])
-        sizes = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-        kept = np.flatnonzero(differ * (1 + similarity) <= sizes * (1 - similarity) + 1e-6)
-        if len(kept):
-            yield batch.select(["u", "v"]).take(pa.array(kept))
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 2000):
+            batch = whole.slice(lo, 2000)
+            a, b = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            differ = np.zeros(len(a), dtype=np.int64)
+            short = np.array([len(x) == len(y) == BITS // 8 for x, y in zip(a, b)], dtype=bool)
+            if short.any():
+                x, y = (np.frombuffer(b"".join(c[i] for i in np.flatnonzero(short).tolist()), np.uint64).reshape(-1, BITS // 64) for c in (a, b))
+                differ[short] = np.bitwise_count(x ^ y).sum(axis=1)
+            for i in np.flatnonzero(~short).tolist():
+                differ[i] = differing(a[i], b[i])
+            sizes = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            kept = np.flatnonzero(differ * (1 + similarity) <= sizes * (1 - similarity) + 1e-6)
+            if len(kept):
+                yield batch.select(["u", "v"]).take(pa.array(kept))
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
