@@ -88,7 +88,7 @@ def _bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
 
 def _hits(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, masks: tuple[str, ...], bits: int) -> Iterator[pa.RecordBatch]:
     """Rows (rid, doc_id, text) to documents with windows that may be in the benchmark."""
-    for batch in batches:
+    for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
         rows = []
         for rid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
             words, keys, at = hashed(text), [], []
