@@ -163,11 +163,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, stars: boo
             step += 1
 
 
-def _common(texts: DataFrame, shingle: int, sample: int = 5_000, share: float = 0.005, most: int = 500_000) -> np.ndarray:
+def _common(texts: DataFrame, shingle: int, sample: int = 5_000, share: float = 0.1, most: int = 500_000) -> np.ndarray:
     """Shingles that are frequent in a sample of rows: only where they stand in the order depends on it, no result.
 
-    The sample grows with the table, so that a passage of a thousand documents
-    or so is in it five times at any size.
+    The sample grows with the table, so that a passage of fifty documents or so
+    is in it five times at any size, and what stays in front is shared by few.
     """
     rows = max(1, texts.count())
     part = min(1.0, max(share, sample / rows))
