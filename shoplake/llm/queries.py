@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplake.functions.cluster import ship_package
-from shoplake.llm import chat, decontam, lm, packing, quality, repeats, sharding, simhash, toxicity, urllists, warc
+from shoplake.llm import chat, decontam, lm, merkle, packing, quality, ranked, repeats, sharding, simhash, toxicity, urllists, warc
 from shoplake.llm.sql import ORACLE_SQL
 
 
@@ -125,8 +125,17 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(captures)
 
 
+def op11_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows have their text lower-cased behind the manifest's back."""
+    return merkle.audit(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_tool_links, op3_attention_scores, op4_quality_rules, op5_toxic_segments, op6_temporal_lists, op7_hash_tree_sharding, op8_simhash_near_dedup, op9_spaced_seeds, op10_revisits, op13_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_tool_links, op3_attention_scores, op4_quality_rules, op5_toxic_segments, op6_temporal_lists, op7_hash_tree_sharding, op8_simhash_near_dedup, op9_spaced_seeds, op10_revisits, op11_tput_search, op12_merkle_manifest, op13_suffix_array_dedup)}

@@ -11,7 +11,58 @@ def _fails(r: Rule) -> str:
     return f"CASE WHEN n_words >= {r.least_words} AND ({' OR '.join(outside)}) THEN '{r.name}' END"
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 in SQL: a step for each bit of each byte, from the polynomial."""
+    bits = f"flatten([[CAST(ascii({text}[i]) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] for i in range(1, length({text}) + 1)])"
+    return f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)"
+
+
+def _merkle(levels: int = 7, fanout: int = 8) -> str:
+    """Trees by groups ``g`` of at most fanout^levels leaves: level l holds nodes of groups that are one node already as they are."""
+
+    def tree(name: str, source: str, depth: int) -> list[str]:
+        out = [f"{name}0 AS ({source})"]
+        for k in range(depth):
+            many = f"n > {fanout**k}"
+            out.append(f"{name}r{k} AS (SELECT g, n, idx // {fanout} AS p, list(h ORDER BY idx) hs FROM {name}{k} WHERE {many} GROUP BY ALL)")
+            out.append(f"{name}{k + 1} AS (SELECT g, n, p AS idx, sha256(array_to_string(hs, '')) h FROM {name}r{k} UNION ALL SELECT g, n, idx, h FROM {name}{k} WHERE NOT {many})")
+        return out
+
+    def climb(name: str, runs: str, source: str, depth: int) -> list[str]:
+        """Rows (rid, g, idx, f, proof), a level at a time."""
+        out = [f"{name}0 AS ({source})"]
+        for k in range(depth):
+            left, right = f"array_to_string(hs[1:idx % {fanout}], '')", f"array_to_string(hs[idx % {fanout} + 2:], '')"
+            out.append(f"{name}{k + 1} AS (SELECT rid, a.g, CASE WHEN hs IS NULL THEN idx ELSE idx // {fanout} END idx, CASE WHEN hs IS NULL THEN f ELSE sha256({left} || f || {right}) END f, CASE WHEN hs IS NULL THEN proof ELSE proof || {left} || {right} END proof FROM {name}{k} a LEFT JOIN {runs}r{k} r ON r.g = a.g AND r.p = a.idx // {fanout})")
+        return out
+
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    whole = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    parts = [
+        f"d AS (SELECT row_number() OVER () rid, doc_id, coalesce('1' || lang, '0') g, {whole('text')} leaf, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {whole("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {whole('text')} END other FROM documents)",
+        "l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 idx, count(*) OVER (PARTITION BY g) n FROM d)",
+        *tree("t", "SELECT g, n, idx, leaf AS h FROM l", levels),
+        f"s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 idx, count(*) OVER () n FROM t{levels})",
+        *tree("u", "SELECT '' AS g, n, idx, subroot AS h FROM s", 3),
+        *climb("c", "t", "SELECT rid, g, idx, other AS f, '' AS proof FROM l", levels),
+        *climb("e", "u", f"SELECT rid, '' AS g, s.idx, f, proof FROM c{levels} c JOIN s ON s.g = c.g", 3),
+    ]
+    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, leaf, subroot, u3.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = u3.h AS verified FROM e3 JOIN l USING (rid) JOIN s ON s.g = l.g, u3"
+
+
 ORACLE_SQL = {
+    "op11_tput_search": f"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, {_TERMS} ts FROM documents), g AS (SELECT count(*) FILTER (WHERE len(ts) > 0) n, sum(len(ts))::BIGINT l FROM d),
+p AS (SELECT rid, t, count(*) tf FROM (SELECT rid, unnest(ts) t FROM d) GROUP BY ALL), q AS (SELECT DISTINCT item_id, text FROM benchmark), i AS (SELECT item_id, text, unnest(list_distinct({_TERMS})) t FROM q),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) w FROM p, g WHERE t IN (SELECT t FROM i) GROUP BY t),
+m AS (SELECT rid, doc_id, 50 + (50 * len(ts) * n) // l m FROM d, g WHERE len(ts) > 0),
+s AS (SELECT item_id, text, rid, any_value(doc_id) doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT score FROM i JOIN w USING (t) JOIN p USING (t) JOIN m USING (rid) GROUP BY item_id, text, rid)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST) rank FROM s WHERE score > 0) WHERE rank <= 50
+""",
+    "op12_merkle_manifest": _merkle(),
     "op4_quality_rules": f"""
 WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x09-\\x0D\\x20]')) ls FROM d),
