@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplake.llm.store import written
+from shoplake.llm.store import numbered, written
 
 #: Fixed masks: 1 compares a word, 0 ignores it.
 MASKS = ("11101011", "1101100111", "110010110101")
@@ -177,11 +177,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10, penalty
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 10, penalty: int = 2, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` (text) that overlap with no benchmark item, with all their columns.
 
-    Rows are told apart by their place, so ``docs`` has to be a stored table,
-    whose row order is stable. Null and empty texts stay, and so does every row
+    Rows are told apart by numbers that are written with them once, so ``docs``
+    is read once and may be any table. Null and empty texts stay, and so does every row
     if the benchmark is empty; repeated rows go or stay together.
     """
-    place = F.monotonically_increasing_id().alias("rid")
-    rows = docs.select(place, F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = written(_found(rows, benchmark, least, penalty, bits).select("rid").distinct(), "leaks")
-    return docs.select(place, F.struct("*").alias("whole_row")).join(gone, "rid", "left_anti").select("whole_row.*")
+    held = numbered(docs, "leaks-rows")
+    rows = held.select(F.col("node").alias("rid"), F.lit(None).cast("long").alias("doc_id"), F.col("whole.text").cast("string").alias("text"))
+    gone = written(_found(rows, benchmark, least, penalty, bits).select(F.col("rid").alias("node")).distinct(), "leaks")
+    return held.join(gone, "node", "left_anti").select("whole.*")

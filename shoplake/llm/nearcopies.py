@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shoplake.llm.components import components
 from shoplake.llm.simhash import links, majority
-from shoplake.llm.store import written
+from shoplake.llm.store import numbered, written
 
 
 #: Least number of a document's parity bits. Bit b is set if an odd number of its shingles has the hash b modulo the
@@ -222,12 +222,11 @@ def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, budget:
 def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """One row of each group of near copies of ``docs`` (text), with all its columns: the first in the order of the files read.
 
-    Rows are told apart by their place, not by doc_id, so null and repeated ids
-    are no special case; ``docs`` has to be a stored table, whose row order is
-    stable. Null and word-less texts are one group, very long texts are compared
+    Rows are told apart by numbers that are written with them once, not by doc_id,
+    so null and repeated ids are no special case, and ``docs`` is read once and may be any table.
+    Null and word-less texts are one group, very long texts are compared
     whole, an empty table gives no rows, columns of any name are kept.
     """
-    place = F.monotonically_increasing_id().alias("node")
-    texts = docs.select(place, F.col("text").cast("string").alias("text"))
-    gone = written(copies(texts, similarity, shingle), "near-copies")
-    return docs.select(place, F.struct("*").alias("whole")).join(gone, "node", "left_anti").select("whole.*")
+    held = numbered(docs, "near-rows")
+    gone = written(copies(held.select("node", F.col("whole.text").cast("string").alias("text")), similarity, shingle), "near-copies")
+    return held.join(gone, "node", "left_anti").select("whole.*")

@@ -77,3 +77,27 @@ def test_edge_rows(spark):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(docs["text"])], "node long, text string")
     assert {r.node for r in nearcopies.copies(frame).collect()} == {i for i, c in enumerate(least) if c != i}
     assert nearcopies.one_of_each(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("cores", [3, 7])
+def test_rows_stay_themselves_when_cores_change(spark, tmp_path, cores):
+    """Files are split by the number of cores, which may change between the call and the action."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").withColumns({"node": F.lit(1), "whole": F.lit("clash")})
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    from shoplake.llm.decontam import clean, contaminated
+
+    rows = spark.read.parquet(str(tmp_path / "docs"))
+    leaks = {r.doc_id for r in contaminated(rows, bench).collect()}
+    least = brute_least([t for _, t in sorted((r.doc_id, r.text) for r in rows.select("doc_id", "text").collect())])
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(cores))
+        left, each = clean(rows, bench), nearcopies.one_of_each(rows)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(20 - cores))
+        assert left.columns == each.columns == rows.columns
+        assert {r.doc_id for r in left.collect()} == {r.doc_id for r in rows.collect()} - leaks
+        assert each.count() == len(set(least))
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -46,3 +46,13 @@ def test_awkward_and_empty(spark, name, stage, tmp_path):
             assert set(COLUMNS) <= set(got.columns)
         if make is empty:
             assert rows == []
+
+
+def test_session_is_left_as_it_was(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    path = str(tmp_path / "docs")
+    awkward(spark).write.parquet(path)
+    for _, stage in cp.STAGES:
+        stage(spark, spark.read.parquet(path), SF)
+        assert spark.conf.get(name) == before
