@@ -137,7 +137,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, stars: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n, pos, grp), sorted by key, to pairs (u, v) of different groups that may reach the similarity: all, or with the least node only."""
+    """Rows (key, node, n, pos, grp), sorted by key, to pairs (u, v) of different groups that may reach the similarity, with how many keys show it: all, or with the least node only."""
     for key, node, n, pos, grp in _whole_keys(batches):
         order = np.lexsort((node, key) if stars else (n, key))
         key, node, n, pos, grp = (x[order] for x in (key, node, n, pos, grp))
@@ -147,8 +147,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, stars: boo
             near = (grp[i] != grp[j]) & (overlap * (1 + similarity) + 1e-6 >= similarity * (n[i] + n[j]))
             if near.any():
                 a, b = node[i[near]], node[j[near]]
-                pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+                pairs, keys = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(keys)], names=["u", "v", "keys"])
 
         if stars:
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -179,7 +179,8 @@ def _common(texts: DataFrame, shingle: int, sample: int = 5_000, share: float =
 def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, budget: int = 3) -> DataFrame:
     """The nodes of ``texts`` (node, text) that aren't the least of their group; documents of the similarity or more are linked, groups are connected.
 
-    ``texts`` is read several times and has to give the same nodes each time; nodes are not null and distinct.
+    ``texts`` is read several times and has to give the same nodes each time, so they come from a written table (``store.numbered``), not from a
+    number made while reading; nodes are not null and distinct.
     Null and word-less texts are copies of each other. ``budget`` bits of a
     fingerprint may differ in the trie join; it shifts work between the two
     joins and changes no result.
@@ -209,12 +210,16 @@ def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, budget:
     found = verified(links(leaves.select("fp", "node"), budget).unionByName(same).distinct())
     rows = distinct.select("node", "n", F.posexplode("head").alias("pos", "key")).select("key", "node", F.col("n").cast("int").alias("n"), "pos")
     met = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, n int, pos int"), "near-met")
-    # The exact join: each with the least that shares a shingle, so that large groups are one by now, then all pairs of what are two groups still.
-    for stars in (True, False):
+    # The exact join: each with the one it has most keys in common with among the least of its keys, then with all of those, so that
+    # large groups are one by now and nothing of them is joined any more, then all pairs of what are two groups still.
+    for step in ("best", "stars", "all"):
         groups = components(found).withColumnRenamed("u", "node")
         grouped = met.join(groups, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("grp"))
         dealt = grouped.repartition("key").sortWithinPartitions("key")
-        found = found.unionByName(verified(dealt.mapInArrow(lambda it, s=stars: _candidates(it, similarity, s), "u long, v long").distinct()))
+        seen = dealt.mapInArrow(lambda it, s=step != "all": _candidates(it, similarity, s), "u long, v long, keys long").groupBy("u", "v").agg(F.sum("keys").alias("keys"))
+        if step == "best":
+            seen = seen.groupBy("u").agg(F.max(F.struct("keys", F.negative("v").alias("v"))).alias("most")).select("u", F.negative("most.v").alias("v"))
+        found = found.unionByName(verified(seen.select("u", "v")))
     found = components(found)
     return prints.select("node").join(least, "node", "left_anti").unionByName(found.select(F.col("u").alias("node")))
 
