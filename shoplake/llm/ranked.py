@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -250,8 +251,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     asks = plan.groupBy("term").agg(F.collect_list(F.struct("query", "least", "bound")).alias("asked"))
     come = blocks.join(asks, "term").select("batch", "docs", "tfs", "ns", "w", "asked").mapInArrow(lambda it: _over(it, n_docs, n_words), "query long, batch long, bound long, docs binary, s binary")
     most = plan.groupBy("query").agg(F.sum("bound").alias("most"), F.first("tau").alias("tau"))
+    shares = max(16, ceil(about.count() / 64))  # of a query's batches, so that a task has about 64 of them however many there are
     dealt = come.join(broadcast_if_small(most, 100_000), "query").select("query", "batch", "bound", "docs", "s", "most", "tau")
-    dealt = dealt.repartition(F.col("query"), F.floor(F.col("batch") / BATCH) % 16).sortWithinPartitions("query", "batch")
+    dealt = dealt.repartition(F.col("query"), F.floor(F.col("batch") / BATCH) % shares).sortWithinPartitions("query", "batch")
     sums = written(dealt.mapInArrow(lambda it: _sums(it, k), "query long, batch long, doc long, low long, high long"), "search-sums")
     better = _kth(sums, "low", k)
     candidates = sums.join(better, "query", "left").filter(F.col("high") >= F.coalesce("tau", F.lit(1))).select("query", "batch", "doc")
