@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoplake.functions import expr as E
 from shoplake.operators.quality import Rule, apply_rules, dedupe_keep_first
+from shoplake.streaming.jobs import first_events
 
 
 def _order(df: DataFrame) -> list[Column]:
@@ -76,7 +77,17 @@ def clean_reviews(raw: DataFrame, strict_report: bool = False) -> tuple[DataFram
 def clean_clickstream(raw: DataFrame, strict_report: bool = False) -> tuple[DataFrame, DataFrame]:
     df = raw.withColumn("event_timestamp", E.to_ts_or_null(F.col("event_timestamp")))
     good, report = apply_rules(df, "clickstream", [Rule("null_timestamp", F.col("event_timestamp").isNull())], ("duplicate_event_id", ["event_id"], _order(raw)), strict_report)
-    return good.withColumns({"event_type": E.in_domain_or(E.strip_lower(F.col("event_type")), E.EVENT_TYPES, "other"), "device_type": E.strip_lower(F.col("device_type")), "customer_id": E.empty_to_null(F.col("customer_id"))}), report
+    return _clicks(good), report
+
+
+def _clicks(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"event_type": E.in_domain_or(E.strip_lower(F.col("event_type")), E.EVENT_TYPES, "other"), "device_type": E.strip_lower(F.col("device_type")), "customer_id": E.empty_to_null(F.col("customer_id"))})
+
+
+def clean_click_stream(raw: DataFrame, delay: str | None = None) -> DataFrame:
+    """``clean_clickstream`` of a stream: an event_id counts once over all batches and restarts (``delay``: as long as the watermark goes back)."""
+    df = raw.withColumn("event_timestamp", E.to_ts_or_null(F.col("event_timestamp"))).filter("event_timestamp is not null")
+    return _clicks(first_events(df, ("event_id",), delay))
 
 
 def run_etl(raw: dict[str, DataFrame], as_of) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -98,4 +109,4 @@ def run_etl(raw: dict[str, DataFrame], as_of) -> tuple[dict[str, DataFrame], Dat
     return out, report
 
 
-__all__ = ["clean_clickstream", "clean_customers", "clean_orders", "clean_payments", "clean_products", "clean_reviews", "dedupe_keep_first", "line_total_mismatch", "run_etl"]
+__all__ = ["clean_click_stream", "clean_clickstream", "clean_customers", "clean_orders", "clean_payments", "clean_products", "clean_reviews", "dedupe_keep_first", "line_total_mismatch", "run_etl"]
