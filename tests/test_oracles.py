@@ -1,6 +1,6 @@
 import pytest
 
-from shoplake import queries_jobs  # noqa: F401 - registers more of them
+from shoplake import queries_jobs, queries_more  # noqa: F401 - register more of them
 from shoplake.queries import ORACLE_SQL, QUERIES
 from tests.oracle import compare
 
