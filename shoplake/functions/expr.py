@@ -1,13 +1,11 @@
-"""Column expressions for cleaning and derived measures. All are built-in functions but the title case."""
+"""Column expressions for cleaning and derived measures. All are built-in functions."""
 
 from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Domains of the cleaned tables.
 ORDER_STATUS = ("COMPLETED", "PENDING", "SHIPPED", "PROCESSING", "CANCELLED", "REFUNDED")
@@ -33,14 +31,10 @@ def strip_upper(c: Column) -> Column:
     return F.upper(strip(c))
 
 
-@F.pandas_udf(StringType())
-def _title(s: pd.Series) -> pd.Series:
-    return s.str.title()
-
-
 def strip_title(c: Column) -> Column:
     """Title case that starts anew after every non-letter (O'Brien), which initcap doesn't."""
-    return _title(strip(c))
+    runs = F.regexp_extract_all(strip(c), F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), 1)
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def valid_email(c: Column) -> Column:

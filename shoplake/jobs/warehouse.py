@@ -46,22 +46,46 @@ def scd2_product(current: DataFrame, stage: DataFrame, categories: DataFrame, as
 
 
 def build_dim(stage: DataFrame, columns: list[str], sk: str, existing: DataFrame | None = None) -> DataFrame:
-    """Distinct values of stage columns (category, channel, geography, payment method) under dense keys; the first column is the natural key of one-column dims."""
-    rows = stage.select(*columns).filter(F.col(columns[0]).isNotNull()).distinct()
-    if len(columns) == 1:
-        return surrogate_keys(rows, columns[0], existing, sk)
-    keyed = rows.withColumn("_natural", F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns]))
-    return surrogate_keys(keyed, "_natural", None, sk).drop("_natural")
+    """Distinct values of stage columns (category, channel, geography, payment method) under dense keys; rows whose first column is null have none.
+
+    Members of ``existing`` (columns, sk) stay, with their keys, whether or not
+    they come again; new ones get keys above. Values of several columns are one
+    natural key, in which a null is a value of its own.
+    """
+    natural = F.col(columns[0]) if len(columns) == 1 else F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns])
+    rows = stage.select(*columns).filter(F.col(columns[0]).isNotNull())
+    known = existing.select(natural.alias("_natural"), sk) if existing is not None else None
+    rows = rows.unionByName(existing.select(*columns)) if existing is not None else rows
+    return surrogate_keys(rows.distinct().withColumn("_natural", natural), "_natural", known, sk).drop("_natural")
+
+
+def unseen(batch: DataFrame, existing: DataFrame, key: str, slice_by: str | None = None, small: int = 5_000_000) -> DataFrame:
+    """Rows of ``batch`` whose ``key`` is not null and not in ``existing``, a history that may be far larger.
+
+    Keys of a batch of at most ``small`` rows go to the history, so that the
+    history isn't shuffled, and what they find comes back. With ``slice_by``, a column of both by which
+    the history is stored, a day for instance, only slices that the batch has are read; a key then counts as
+    seen if it is in one of those.
+    """
+    rows = batch.filter(F.col(key).isNotNull())
+    if slice_by:
+        found = [r[0] for r in rows.select(slice_by).distinct().limit(10_001).collect()]  # with more slices than that, all are read and the join tells
+        if len(found) <= 10_000:
+            existing = existing.filter(F.col(slice_by).isin([x for x in found if x is not None]))
+    seen = existing.select(key).join(broadcast_if_small(rows.select(key).distinct(), small), key, "left_semi")
+    return rows.join(seen, key, "left_anti")
 
 
 def load_fact_orders(orders: DataFrame, items: DataFrame, customers: DataFrame, channels: DataFrame, geography: DataFrame, existing: DataFrame) -> DataFrame:
-    """New orders only. ``customers``: dimension with customer_sk, city, country and is_current; ``channels``: (channel, channel_sk); ``geography``: (country, city, geo_sk).
+    """New orders only; ``existing`` (order_id) may have order_date_key or order_month (yyyymm), and is then read for the days or months of ``orders`` alone. ``customers``: dimension with customer_sk, city, country and is_current; ``channels``: (channel, channel_sk); ``geography``: (country, city, geo_sk).
 
     Orders are unique before items are counted, one geography row stands for a
     city, and items are aggregated before the join.
     """
     fresh = dedupe_keep_first(orders.filter("order_id is not null"), ["order_id"], [F.col(c).cast("string") for c in orders.columns])
-    fresh = fresh.join(existing.select("order_id"), "order_id", "left_anti")
+    slices = {"order_date_key": date_key(F.col("order_date")), "order_month": F.floor(date_key(F.col("order_date")) / 100).cast("int")}
+    slice_by = next((c for c in slices if c in existing.columns), None)
+    fresh = unseen(fresh.withColumn(slice_by, slices[slice_by]) if slice_by else fresh, existing, "order_id", slice_by)
     counts = items.groupBy("order_id").agg(F.count("*").alias("item_count"))
     who = customers.filter("is_current").select("customer_id", "customer_sk", "country", "city")
     geo = geography.groupBy("country", "city").agg(F.min("geo_sk").alias("geo_sk"))
@@ -77,23 +101,34 @@ def load_fact_items(items: DataFrame, orders: DataFrame, products: DataFrame) ->
 
 
 def load_fact(stage: DataFrame, date_column: str, key_name: str, dims: list[tuple[DataFrame, str]], existing: DataFrame | None = None, key: str | None = None) -> DataFrame:
-    """Payments, clickstream and reviews: a date key and left joins to dimension keys; ``existing`` rows by ``key`` are skipped."""
-    rows = stage if existing is None else stage.filter(F.col(key).isNotNull()).join(existing.select(key), key, "left_anti")
-    rows = rows.withColumn(key_name, date_key(F.col(date_column)))
+    """Payments, clickstream and reviews: a date key and left joins to dimension keys; ``existing`` rows by ``key`` are skipped, read for the days of ``stage`` alone if they have ``key_name``."""
+    rows = stage.withColumn(key_name, date_key(F.col(date_column)))
+    if existing is not None:
+        rows = unseen(rows, existing, key, key_name if key_name in existing.columns else None)
     for dim, on in dims:
         rows = rows.join(dim, on, "left")
     return rows
 
 
-def agg_daily_revenue(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """By date, channel and country, with customers registered that day and before; conversion_rate is not measured."""
+def agg_daily_revenue(orders: DataFrame, customers: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """By date, channel and country, with customers registered that day and before.
+
+    ``conversion_rate`` is orders per 100 sessions of the day, channel and country, from ``events`` (event_date,
+    channel, customer_id, session_id); null without them or where there is no session.
+    """
     rows = orders.join(customers.select("customer_id", "country", "registration_date"), "customer_id")
     new, old = F.col("registration_date") == F.col("order_date"), F.col("registration_date") < F.col("order_date")
     keys = ["order_date", "channel", "country"]
     per = rows.groupBy(*keys, "customer_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("total_amount", "discount_amount", "tax_amount", "net_revenue")], F.max(new.cast("int")).alias("new"), F.max(old.cast("int")).alias("old"))
     d = lambda c: F.sum(c).cast("double")
     out = per.groupBy(*keys).agg(F.sum("n").alias("orders"), d("total_amount").alias("gross"), d("discount_amount").alias("discount"), d("tax_amount").alias("tax"), d("net_revenue").alias("net"), F.sum(F.coalesce("new", F.lit(0))).alias("new_customers"), F.sum(F.coalesce("old", F.lit(0))).alias("returning_customers"))
-    return out.withColumns({"aov": F.col("net") / F.col("orders"), "conversion_rate": F.lit(None).cast("double")})
+    out = out.withColumn("aov", F.col("net") / F.col("orders"))
+    if events is None:
+        return out.withColumn("conversion_rate", F.lit(None).cast("double"))
+    # Sessions first, then their number, so that a busy day is dealt out.
+    visits = events.filter("session_id is not null").select(F.col("event_date").alias("order_date"), "channel", "customer_id", "session_id").join(customers.select("customer_id", "country"), "customer_id")
+    sessions = visits.select(*keys, "session_id").distinct().groupBy(*keys).agg(F.count("*").alias("_sessions"))
+    return out.join(sessions, keys, "left").withColumn("conversion_rate", pct(F.col("orders").cast("double"), F.col("_sessions"))).drop("_sessions")
 
 
 def agg_product_monthly(items: DataFrame, orders: DataFrame, products: DataFrame, reviews: DataFrame, events: DataFrame) -> DataFrame:
@@ -118,4 +153,4 @@ def agg_clv(clv: DataFrame) -> DataFrame:
     return clv.select("customer_id", "frequency", "revenue", "aov", "lifespan_days", "clv_90d", "clv_365d", "tier")
 
 
-__all__ = ["agg_clv", "agg_customer_rfm", "agg_daily_revenue", "agg_product_monthly", "build_dim", "date_dim", "load_fact", "load_fact_items", "load_fact_orders", "pct", "scd2_customer", "scd2_product"]
+__all__ = ["agg_clv", "agg_customer_rfm", "agg_daily_revenue", "agg_product_monthly", "build_dim", "date_dim", "load_fact", "load_fact_items", "load_fact_orders", "pct", "scd2_customer", "scd2_product", "unseen"]

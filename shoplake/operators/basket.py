@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pair_counts(items: DataFrame, order: str, item: str, min_count: int = 1, wide: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+def pair_counts(items: DataFrame, order: str, item: str, min_count: int = 1, wide: int = 500, min_support: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs a < b with n, item counts, one row with n_orders); orders are counted once per item and pair.
 
-    An item in fewer than ``min_count`` orders can't be in a pair that reaches
+    An item in fewer than ``min_count`` orders, or a lesser share of all orders than ``min_support``, can't be in a pair that reaches
     it, so it is dropped before pairs are made. Pairs are made inside each
     order's sorted array: one shuffle, no self-join. An order of more than
     ``wide`` items would make too many in one row; its items meet its array one
@@ -18,7 +18,10 @@ def pair_counts(items: DataFrame, order: str, item: str, min_count: int = 1, wid
     rows = items.select(F.col(order).alias("o"), F.col(item).alias("i")).filter("o is not null and i is not null").distinct()
     singles = rows.groupBy("i").agg(F.count("*").alias("n"))
     orders = rows.agg(F.countDistinct("o").alias("n_orders"))
-    kept = rows.join(singles.filter(F.col("n") >= min_count).select("i"), "i", "left_semi") if min_count > 1 else rows
+    often = singles.filter(F.col("n") >= min_count)
+    if min_support > 0:
+        often = often.crossJoin(F.broadcast(orders)).filter(F.col("n").cast("double") / F.col("n_orders").cast("double") >= min_support)  # one row of orders
+    kept = rows.join(often.select("i"), "i", "left_semi") if min_count > 1 or min_support > 0 else rows
     baskets = kept.groupBy("o").agg(F.array_sort(F.collect_set("i")).alias("b")).filter(F.size("b") > 1)
     after = lambda x, k: F.transform(F.slice("b", k + 2, F.size("b")), lambda y: F.struct(x.alias("a"), y.alias("b")))
     inside = F.flatten(F.transform("b", after)).alias("p")
@@ -43,7 +46,7 @@ def product_affinity(items: DataFrame, order: str = "order_id", item: str = "pro
 
 def association_rules(items: DataFrame, order: str = "order_id", item: str = "product_id", min_support: float = 0.001, min_confidence: float = 0.1, min_lift: float = 1.0) -> DataFrame:
     """Rules in both directions, by baskets, without rounding."""
-    rows = _measured(*pair_counts(items, order, item))
+    rows = _measured(*pair_counts(items, order, item, min_support=min_support))
     n, na, nb, ab = (F.col(c).cast("double") for c in ("n_orders", "n_a", "n_b", "n_pair"))
     both = rows.select(F.explode(F.array(*[F.struct(F.col(x).alias("antecedent"), F.col(y).alias("consequent"), (ab / n).alias("support"), (ab / base).alias("confidence"), (ab * n / (na * nb)).alias("lift")) for x, y, base in (("a", "b", na), ("b", "a", nb))])).alias("r")).select("r.*")
     return both.filter((F.col("support") >= min_support) & (F.col("lift") >= min_lift) & (F.col("confidence") >= min_confidence))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 REPORT = "table string, total_rows long, valid_rows long, pass_rate double, issues array<struct<rule:string,count:long,details:string>>"
@@ -54,11 +54,12 @@ class Rule(NamedTuple):
     quiet: bool = False
 
 
-def apply_rules(df: DataFrame, table: str, rules: Sequence[Rule], unique: tuple[str, Sequence[str], Sequence[Column]] | None = None, report_duplicates: bool = True) -> tuple[DataFrame, DataFrame]:
+def apply_rules(df: DataFrame, table: str, rules: Sequence[Rule], unique: tuple[str, Sequence[str], Sequence[Column]] | None = None, report_duplicates: bool = True, seen: Observation | None = None) -> tuple[DataFrame, DataFrame | Callable[[], DataFrame]]:
     """(rows that pass, one-row report). Rules are sequential: each counts rows that the ones before let through.
 
     ``unique`` (rule name, keys, order) comes first. All counts come from one
-    aggregate over flags.
+    aggregate over flags. With ``seen`` they are taken from the very pass that
+    uses the rows: the second value is then a function that gives the report once that pass, a write of the rows, is over.
     """
     flagged, counted = df, []
     alive = F.lit(True)
@@ -75,10 +76,13 @@ def apply_rules(df: DataFrame, table: str, rules: Sequence[Rule], unique: tuple[
             alive = alive & ~fails
     flagged = flagged.withColumn("_alive", alive)
     sums = [F.coalesce(F.sum(flag.cast("long")), F.lit(0)).alias(f"_c{i}") for i, (_, flag, _, _) in enumerate(counted)]
-    one = flagged.agg(F.count("*").alias("total_rows"), F.coalesce(F.sum(F.col("_alive").cast("long")), F.lit(0)).alias("valid_rows"), *sums)
+    totals = [F.count("*").alias("total_rows"), F.coalesce(F.sum(F.col("_alive").cast("long")), F.lit(0)).alias("valid_rows")]
+    if seen is not None:
+        flagged = flagged.observe(seen, *totals, *sums)
     issues = F.array_compact(F.array(*[F.when(F.lit(not quiet) | (F.col(f"_c{i}") > 0), F.struct(F.lit(name).alias("rule"), F.col(f"_c{i}").alias("count"), F.lit(details).alias("details"))) for i, (name, _, details, quiet) in enumerate(counted)])) if counted else F.array().cast("array<struct<rule:string,count:long,details:string>>")
     rate = F.round(F.col("valid_rows") * 100.0 / F.greatest("total_rows", F.lit(1)), 2)
-    report = one.select(F.lit(table).alias("table"), "total_rows", "valid_rows", rate.alias("pass_rate"), issues.alias("issues"))
+    shown = lambda one: one.select(F.lit(table).alias("table"), "total_rows", "valid_rows", rate.alias("pass_rate"), issues.alias("issues"))
+    report = shown(flagged.agg(*totals, *sums)) if seen is None else lambda: shown(df.sparkSession.createDataFrame([seen.get]))
     return flagged.filter("_alive").drop("_alive", "_first"), report
 
 

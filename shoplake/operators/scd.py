@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoplake.functions.expr import as_date
@@ -60,8 +60,64 @@ def as_of(dim: DataFrame, day) -> DataFrame:
     return dim.filter((F.col("start_date") <= d) & (F.col("end_date").isNull() | (d < F.col("end_date"))))
 
 
-def as_of_join(fact: DataFrame, dim: DataFrame, key: str, ts: str, how: str = "left") -> DataFrame:
-    """Each fact row with the version of its key that held at ``ts``: an equi-join with a range condition."""
+SLICES = ("is_current", "closed_on")
+
+
+def _slices(spark: SparkSession, path: str) -> DataFrame:
+    """Values in folder names have no type of their own."""
+    return spark.read.parquet(path).withColumns({"is_current": F.col("is_current").cast("boolean"), "closed_on": F.col("closed_on").cast("string")})
+
+
+def read_slices(spark: SparkSession, path: str) -> DataFrame:
+    return _slices(spark, path).drop("closed_on")
+
+
+def scd2_merge_into(spark: SparkSession, path: str, source: DataFrame, key: str, tracked: Sequence[str], as_of, latest: Column | None = None) -> None:
+    """``scd2_merge`` into a stored dimension whose closed history is neither read nor written.
+
+    The table is stored by is_current and closed_on. A run reads the current slice,
+    adds the versions it closes to the slice of its own day, and replaces the
+    current slice last; a run that broke off is repeated and adds nothing twice.
+    """
+    from shoplake.functions.store import written
+
+    day = str(as_of)
+    current = _slices(spark, path).filter("is_current")
+    merged = written(scd2_merge(current.drop("closed_on"), source, key, tracked, as_of, latest), "merged-slice")
+    sliced = merged.withColumn("closed_on", F.coalesce(F.col("end_date").cast("string"), F.lit("open")))
+    there = _slices(spark, path).filter((~F.col("is_current")) & (F.col("closed_on") == day)).select(F.col(key).alias("_k"), F.col("start_date").alias("_s"))
+    closed = sliced.filter("not is_current")
+    fresh = written(closed.join(there, closed[key].eqNullSafe(F.col("_k")) & (F.col("start_date") == F.col("_s")), "left_anti"), "closed-slice")
+    if not fresh.isEmpty():
+        fresh.write.mode("append").partitionBy(*SLICES).parquet(path)
+    sliced.filter("is_current").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SLICES).parquet(path)
+
+
+def store_slices(dim: DataFrame, path: str) -> None:
+    """A dimension as ``scd2_merge_into`` keeps it."""
+    dim.withColumn("closed_on", F.coalesce(F.col("end_date").cast("string"), F.lit("open"))).repartition("is_current", "closed_on").write.partitionBy(*SLICES).parquet(path)
+
+
+def as_of_join(fact: DataFrame, dim: DataFrame, key: str, ts: str, how: str = "left", bucket_days: int | None = None) -> DataFrame:
+    """Each fact row with the version of its key that held at ``ts``: an equi-join with a range condition.
+
+    With ``bucket_days``, facts and versions meet by key and stretch of so many
+    days, a version in each that it reaches into between the first and last fact, so that a key that has most of
+    the facts is dealt out by time and a version meets only the facts of its stretches.
+    """
+    if bucket_days:
+        first, last = fact.agg(F.min(F.col(ts).cast("date")), F.max(F.col(ts).cast("date"))).first()
+        if first is None:
+            return as_of_join(fact, dim, key, ts, how)
+        number = lambda day: F.floor(F.unix_date(day) / bucket_days)
+        lo = F.greatest(F.col("start_date").cast("date"), F.lit(first))
+        hi = F.least(F.coalesce(F.col("end_date").cast("date"), F.lit(last)), F.lit(last))
+        reach = dim.filter((F.col("start_date").cast("date") <= F.lit(last)) & (F.col("end_date").isNull() | (F.col("end_date").cast("date") >= F.lit(first))) & (F.col("end_date").isNull() | (F.col("start_date") < F.col("end_date"))))
+        dealt = reach.withColumn("_bucket", F.explode(F.sequence(number(lo), number(hi))))
+        rows = fact.withColumn("_bucket", number(F.col(ts).cast("date")))
+        versions = dealt.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), F.struct([c for c in dim.columns if c not in (key, "start_date", "end_date", "is_current")]).alias("_v"), "start_date", "end_date")
+        on = (F.col(key) == F.col("_k")) & (F.col("_bucket") == F.col("_b")) & (F.col("start_date") <= F.col(ts)) & (F.col("end_date").isNull() | (F.col(ts) < F.col("end_date")))
+        return rows.join(versions, on, how).select(*fact.columns, "_v.*", "start_date")
     versions = dim.select(F.col(key).alias("_k"), F.struct([c for c in dim.columns if c not in (key, "start_date", "end_date", "is_current")]).alias("_v"), "start_date", "end_date")
     on = (F.col(key) == F.col("_k")) & (F.col("start_date") <= F.col(ts)) & (F.col("end_date").isNull() | (F.col(ts) < F.col("end_date")))
     return fact.join(versions, on, how).select(*fact.columns, "_v.*", "start_date")

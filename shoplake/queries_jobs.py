@@ -114,8 +114,8 @@ ISSUES = """, i AS (SELECT 'customers' tbl, 'duplicate_customer_id' AS rule, cou
 WHERE i.n > 0 OR rule NOT IN ('null_email', 'future_registration_date', 'dob_too_young', 'duplicate_customer_id')""")
 def _(*raw):
     """Of customers only the address format is reported at 0; other tables don't report duplicates."""
-    _, report = clean.run_etl(raw_tables(*raw), AS_OF)
-    at = report.sparkSession
+    at = raw[0].sparkSession
+    _, report = clean.run_etl(raw_tables(*raw), AS_OF, new_path(at, "clean"))
     files.write_dq_report(report, path := new_path(at, "dq-report"))
     back = at.read.schema(quality.REPORT).json(path)
     return back.select("table", "total_rows", "valid_rows", "pass_rate", F.explode("issues").alias("i")).select("table", "total_rows", "valid_rows", "pass_rate", F.col("i.rule").alias("rule"), F.col("i.count").alias("n"))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shoplake.functions.expr import date_key
 from shoplake.functions.store import new_path
+from shoplake.jobs import warehouse
 from shoplake.jobs.clean import clean_click_stream
-from shoplake.queries import FUNNEL, query
+from shoplake.operators import scd
+from shoplake.queries import AS_OF, FUNNEL, ORACLE_SQL, query
 from shoplake.queries_jobs import ALL, _event_files
 from shoplake.sources import events as event_sources
+from shoplake.sources import ledger
 from shoplake.streaming import carts, sinks
 from shoplake.streaming import jobs as stream
 
@@ -72,3 +76,86 @@ def _(events):
     spark.read.text(more).write.mode("append").text(src)
     run()
     return spark.read.parquet(f"{base}/rows").select("event_id", "session_id", "event_type", "event_timestamp")
+
+
+def _again(name: str) -> str:
+    """The SQL of another query, which defines its model tables itself."""
+    return f"SELECT * FROM ({ORACLE_SQL[name]})"
+
+
+# ---- loads and merges over several runs ---------------------------------------
+
+
+@query("s4_load_ledger", ("m_orders",), """WITH o AS (SELECT order_id, order_id % 4 AS part, order_id % 31 = 0 OR order_id % 4 = 3 AS bad FROM m_orders), c AS (SELECT part, count(*) FILTER (NOT bad) AS rows, count(*) FILTER (bad) AS errors FROM o GROUP BY part),
+l AS (SELECT part, CASE WHEN part < 2 THEN 0 ELSE 1 END AS load FROM c UNION ALL SELECT part, 2 FROM c)
+SELECT CAST(part AS BIGINT) AS part, CAST(load AS BIGINT) AS load, rows, errors, CASE WHEN errors = 0 THEN 'LOADED' WHEN rows = 0 THEN 'LOAD_FAILED' ELSE 'PARTIALLY_LOADED' END AS status, load = 2 AS counts FROM l JOIN c USING (part)""")
+def _(orders):
+    """Two loads of two files each, one that finds nothing, and one that is forced and replaces all: a ledger row for each file and load."""
+    spark = orders.sparkSession
+    src, dst = new_path(spark, "incoming"), new_path(spark, "ledgered")
+    i = F.col("order_id")
+    rows = orders.select((i % 4).alias("part"), F.when((i % 31 == 0) | (i % 4 == 3), F.lit("broken")).otherwise(i.cast("string")).alias("order_id"), "customer_id")
+    for pair in ((0, 1), (2, 3)):
+        for part in pair:
+            rows.filter(F.col("part") == part).drop("part").coalesce(1).write.option("header", True).csv(f"{src}/part{part}")
+        ledger.load_files(spark, f"{src}/part*", "order_id long, customer_id long", dst)
+    ledger.load_files(spark, f"{src}/part*", "order_id long, customer_id long", dst)
+    ledger.load_files(spark, f"{src}/part*", "order_id long, customer_id long", dst, force=True)
+    counted = ledger.loaded_rows(spark, dst).select("load").distinct().withColumn("counts", F.lit(True))
+    part = F.regexp_extract("file", "part([0-9])/", 1).cast("long")
+    return ledger.read_ledger(spark, dst).join(counted, "load", "left").select(part.alias("part"), "load", "rows", "errors", "status", F.coalesce("counts", F.lit(False)).alias("counts"))
+
+
+@query("w12_keys_over_two_loads", ("m_customers",), """WITH a AS (SELECT DISTINCT country, city FROM m_customers WHERE customer_id % 3 = 0 AND city > 'F'), k AS (SELECT country, city, row_number() OVER (ORDER BY country || chr(31) || city) AS sk FROM a),
+n AS (SELECT DISTINCT country, city FROM m_customers WHERE city < 'M' EXCEPT SELECT country, city FROM a)
+SELECT country, city, sk AS geo_sk FROM k UNION ALL SELECT country, city, row_number() OVER (ORDER BY country || chr(31) || city) + (SELECT max(sk) FROM k) FROM n""")
+def _(customers):
+    """Cities of one load and then of another that lacks some of them: the first keep their keys, new ones come above."""
+    first = warehouse.build_dim(customers.filter("customer_id % 3 = 0 and city > 'F'"), ["country", "city"], "geo_sk")
+    both = warehouse.build_dim(customers.filter("city < 'M'"), ["country", "city"], "geo_sk", first)
+    return both.select("country", "city", F.col("geo_sk").cast("long").alias("geo_sk"))
+
+
+CHANNELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query("w5_conversion_rate", ("m_orders", "m_customers", "m_events"), f"""WITH v AS (SELECT DISTINCT CAST(event_date - INTERVAL 26 YEAR AS DATE) AS order_date, [{", ".join(f"'{c}'" for c in CHANNELS)}][m_events.customer_id % 5 + 1] AS channel, country, session_id FROM m_events JOIN m_customers USING (customer_id)),
+s AS (SELECT order_date, channel, country, count(*) AS sessions FROM v GROUP BY ALL), o AS (SELECT order_date, channel, country, count(*) AS orders FROM m_orders JOIN m_customers USING (customer_id) GROUP BY ALL)
+SELECT order_date, channel, country, orders, round(orders::DOUBLE * 100 / sessions, 2) AS conversion_rate FROM o LEFT JOIN s USING (order_date, channel, country)""")
+def _(orders, customers, events):
+    """Orders per 100 sessions; events are moved 26 years back, to days that have orders, and their customers to the orders' channels."""
+    channel = F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), (F.col("customer_id") % 5 + 1).cast("int"))
+    visits = events.select(F.add_months("event_date", -26 * 12).alias("event_date"), channel.alias("channel"), "customer_id", "session_id")
+    return warehouse.agg_daily_revenue(orders, customers, visits).select("order_date", "channel", "country", "orders", "conversion_rate")
+
+
+@query("w2_merge_into_slices", ("m_customers",), _again("w2_scd2_customer"))
+def _(customers):
+    """The merge of a stored dimension, run twice on one day; slices of closed versions are only added to."""
+    spark, i = customers.sparkSession, F.col("customer_id")
+    old = customers.filter(i % 10 != 0).select(i, "city", "segment", F.lit("2000-01-01").cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit(True).alias("is_current"))
+    new = customers.filter(i % 7 != 0).select(i, F.when(i % 4 == 0, "moved").otherwise(F.col("city")).alias("city"), F.when(i % 6 != 0, F.col("segment")).alias("segment"))
+    scd.store_slices(old, path := new_path(spark, "dim-customer"))
+    for _ in range(2):
+        scd.scd2_merge_into(spark, path, new, "customer_id", ["city", "segment"], AS_OF)
+    return scd.read_slices(spark, path).select("customer_id", "city", "segment", "start_date", "end_date", "is_current")
+
+
+@query("w4_load_against_history", ("m_orders", "m_items", "m_customers"), """WITH c AS (SELECT order_id, count(*) n FROM m_items GROUP BY 1)
+SELECT order_id, CAST(strftime(order_date, '%Y%m%d') AS INTEGER) AS order_date_key, customer_id, status, coalesce(n, 0) AS item_count FROM m_orders JOIN m_customers USING (customer_id) LEFT JOIN c USING (order_id) WHERE order_date >= DATE '2001-01-01' AND order_id % 3 <> 0""")
+def _(orders, items, customers):
+    """A batch of the last months, a third of which is stored already, against a history in slices by month: only the batch's months are read."""
+    spark = orders.sparkSession
+    done = orders.filter("order_date < '2001-01-01' or order_id % 3 = 0").select("order_id", F.floor(date_key(F.col("order_date")) / 100).cast("int").alias("order_month"))
+    done.repartition("order_month").write.partitionBy("order_month").parquet(path := new_path(spark, "fact-orders"))
+    dim = customers.select("customer_id", F.col("customer_id").alias("customer_sk"), "country", "city", F.lit(True).alias("is_current"))
+    channels, geo = warehouse.build_dim(orders, ["channel"], "channel_sk"), customers.select("country", "city", F.col("customer_id").alias("geo_sk"))
+    fact = warehouse.load_fact_orders(orders.filter("order_date >= '2001-01-01'"), items, dim, channels, geo, spark.read.parquet(path))
+    return fact.select("order_id", "order_date_key", "customer_id", "status", "item_count")
+
+
+@query("w13_as_of_join_in_stretches", ("m_orders", "m_customers"), _again("w13_as_of_join"))
+def _(orders, customers):
+    early = customers.select("customer_id", F.lit("early").alias("country"), F.lit("1900-01-01").cast("date").alias("start_date"), F.lit("1998-01-01").cast("date").alias("end_date"))
+    late = customers.select("customer_id", "country", F.lit("1998-01-01").cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"))
+    return scd.as_of_join(orders.select("order_id", "customer_id", "order_date"), early.unionByName(late), "customer_id", "order_date", "inner", bucket_days=90).select("order_id", "country")
