@@ -136,23 +136,37 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in rows], names=["key", "node", "n", "pos"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, stars: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n, pos, grp), sorted by key, to pairs (u, v) of different groups that may reach the similarity, with how many keys show it: all, or with the least node only."""
+def _centres(key: np.ndarray, node: np.ndarray, n: np.ndarray, grp: np.ndarray, salt: int) -> np.ndarray:
+    """For each row, sorted by key, the row that all rows of its key are compared with: one of the group that has most of them, or the one of middle size if none has two."""
+    mixed = (node.astype(np.uint64) + np.uint64(salt + 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+    order = np.lexsort((mixed, grp, key))
+    runs = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]) | (grp[order][1:] != grp[order][:-1])])
+    sizes, keys = np.diff(np.r_[runs, len(key)]), key[order][runs]
+    best = np.lexsort((-sizes, keys))
+    best = best[np.r_[True, keys[best][1:] != keys[best][:-1]]]  # a key's largest group
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    many = np.diff(np.r_[starts, len(key)])
+    middle = np.lexsort((node, n, key))[starts + many // 2]
+    return np.repeat(np.where(sizes[best] > 1, order[runs[best]], middle), many)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, salt: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, n, pos, grp), sorted by key, to pairs (u, v) of different groups that may reach the similarity, with how many keys show it: all, or with the centre of each key only."""
     for key, node, n, pos, grp in _whole_keys(batches):
-        order = np.lexsort((node, key) if stars else (n, key))
-        key, node, n, pos, grp = (x[order] for x in (key, node, n, pos, grp))
+        if salt is None:
+            order = np.lexsort((n, key))
+            key, node, n, pos, grp = (x[order] for x in (key, node, n, pos, grp))
 
         def kept(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
             overlap = np.minimum(n[i] - pos[i], n[j] - pos[j])  # at most, if this is the first shingle they share
             near = (grp[i] != grp[j]) & (overlap * (1 + similarity) + 1e-6 >= similarity * (n[i] + n[j]))
             if near.any():
                 a, b = node[i[near]], node[j[near]]
-                pairs, keys = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1, return_counts=True)
+                pairs, keys = np.unique(np.stack([a, b] if salt is not None else [np.maximum(a, b), np.minimum(a, b)]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(keys)], names=["u", "v", "keys"])
 
-        if stars:
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            yield from kept(np.arange(len(key)), np.repeat(first, np.diff(np.r_[first, len(key)])))
+        if salt is not None:
+            yield from kept(np.arange(len(key)), _centres(key, node, n, grp, salt))
             continue
         i, step = np.arange(len(key)), 1
         while len(i):
@@ -210,14 +224,14 @@ def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, budget:
     found = verified(links(leaves.select("fp", "node"), budget).unionByName(same).distinct())
     rows = distinct.select("node", "n", F.posexplode("head").alias("pos", "key")).select("key", "node", F.col("n").cast("int").alias("n"), "pos")
     met = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, n int, pos int"), "near-met")
-    # The exact join: each with the one it has most keys in common with among the least of its keys, then with all of those, so that
-    # large groups are one by now and nothing of them is joined any more, then all pairs of what are two groups still.
-    for step in ("best", "stars", "all"):
+    # The exact join. First each document with one other, three times: of the centres of its keys, members of the largest groups there,
+    # the one it has most keys in common with. Large groups are one by then and nothing of them is joined any more; then all pairs of what are two groups still.
+    for salt in (0, 1, 2, None):
         groups = components(found).withColumnRenamed("u", "node")
         grouped = met.join(groups, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("grp"))
         dealt = grouped.repartition("key").sortWithinPartitions("key")
-        seen = dealt.mapInArrow(lambda it, s=step != "all": _candidates(it, similarity, s), "u long, v long, keys long").groupBy("u", "v").agg(F.sum("keys").alias("keys"))
-        if step == "best":
+        seen = dealt.mapInArrow(lambda it, s=salt: _candidates(it, similarity, s), "u long, v long, keys long").groupBy("u", "v").agg(F.sum("keys").alias("keys"))
+        if salt is not None:
             seen = seen.groupBy("u").agg(F.max(F.struct("keys", F.negative("v").alias("v"))).alias("most")).select("u", F.negative("most.v").alias("v"))
         found = found.unionByName(verified(seen.select("u", "v")))
     found = components(found)

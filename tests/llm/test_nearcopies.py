@@ -101,3 +101,10 @@ def test_rows_stay_themselves_when_cores_change(spark, tmp_path, cores):
     finally:
         spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_columns_that_clash(spark):
+    texts = edited()[:40]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).withColumns({c: F.lit("clash") for c in ("node", "whole", "u", "v", "digest", "n", "head", "bits", "fp")})
+    got = nearcopies.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(brute_least(texts)))
