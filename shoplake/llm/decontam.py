@@ -2,9 +2,9 @@
 
 A mask selects some word positions of a window and ignores the others, so its
 hash survives substitutions at ignored positions. Hashes of all test windows are
-joined with those of training windows; every hit names a diagonal between a
-document and an item, along which the words are compared and the best stretch,
-mismatches counted against it, is kept if it is long enough.
+joined with those of training windows, each once for a text; for a document and an
+item that meet, places with equal hashes name diagonals, along which the words are
+compared and the best stretch, mismatches counted against it, is kept if it is long enough.
 
 Most training windows share their hash with no test window. A bitmap of fixed size
 over the test hashes, which goes to every task, drops nearly all of these before
@@ -106,26 +106,74 @@ def _hits(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, masks: tuple[st
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["rid", "doc_id", "words", "seeds", "ats"])
 
 
-def stretch(test: np.ndarray, mine: np.ndarray, penalty: int) -> tuple[int, int, int, int]:
-    """(gain, start, length, matched) of the best run of two equally long word arrays, compared place by place; the first of the best."""
-    same = test == mine
-    run = np.r_[0, np.cumsum(np.where(same, 1, -penalty))]
-    gain = run - np.minimum.accumulate(run)
-    end = int(gain.argmax())
-    start = int(run[: end + 1].argmin()) if end else 0
-    return int(gain[end]), start, end - start, int(same[start:end].sum())
+def seed_hits(mine: np.ndarray, mine_at: np.ndarray, test: np.ndarray, test_at: np.ndarray, before: int, size: int, most: int = 2_000_000) -> np.ndarray:
+    """Equal seeds of each diagonal, of ``size`` that begin ``before`` places left of the document.
 
-
-def _verified(batches: Iterator[pa.RecordBatch], least: int, penalty: int) -> Iterator[pa.RecordBatch]:
-    """Rows (rid, doc_id, item, item_id, hits, item_words, from_item, from_doc, test, mine) to stretches that count."""
-    for batch in batches:
-        rows = []
-        for rid, doc_id, item, item_id, hits, size, from_item, from_doc, test, mine in zip(*(c.to_pylist() for c in batch.columns)):
-            gain, start, length, matched = stretch(np.frombuffer(test, np.uint64), np.frombuffer(mine, np.uint64), penalty)
-            if gain >= min(least, max(1, int(0.8 * size))):
-                rows.append((rid, doc_id, item, item_id, gain, from_doc + start, from_item + start, length, matched, size, hits))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=FOUND)
+    Places of one seed that follow each other in the test are one run, and a run
+    adds to neighbouring diagonals, so that a repeated word costs a step for each place in
+    the document and not for each pair; at most ``most`` steps are held at a time.
+    """
+    order = np.lexsort((test_at, test))
+    seed, at = test[order], test_at[order]
+    first = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (at[1:] != at[:-1] + 1)])
+    last = np.r_[first[1:], len(seed)] - 1
+    lo, hi = np.searchsorted(seed[first], mine, side="left"), np.searchsorted(seed[first], mine, side="right")
+    met = np.flatnonzero(hi > lo)
+    mine_at, lo, many = mine_at[met], lo[met], (hi - lo)[met]
+    edges = np.zeros(size + 1, dtype=np.int64)
+    ends, begin = np.cumsum(many), 0
+    while begin < len(many):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, side="right")))
+        part = np.repeat(np.arange(begin, end), many[begin:end])
+        run = lo[part] + np.arange(len(part)) - np.repeat(ends[begin:end] - many[begin:end] - (ends[begin - 1] if begin else 0), many[begin:end])
+        edges += np.bincount(mine_at[part] - at[last[run]] + before, minlength=size + 1)
+        edges -= np.bincount(mine_at[part] - at[first[run]] + before + 1, minlength=size + 1)
+        begin = end
+    return np.cumsum(edges)[:size]
+
+
+def best_stretch(words: np.ndarray, test: np.ndarray, hits: np.ndarray, least: int, penalty: int, cells: int = 2_000_000) -> tuple[int, ...] | None:
+    """(gain, doc_start, item_start, length, matched, item_words, seed_hits) of the greatest of the best stretches along diagonals with hits, if it reaches ``least``.
+
+    Diagonals are compared some at a time, ``cells`` words at most, those with most hits as well as those with one.
+    """
+    m, best = len(test), None
+    limit = min(least, max(1, int(0.8 * m)))
+    diagonals = np.flatnonzero(hits)
+    for lo in range(0, len(diagonals), max(1, cells // m)):
+        shift = diagonals[lo : lo + max(1, cells // m)] - m
+        at = shift[:, None] + np.arange(m)
+        inside = (at >= 0) & (at < len(words))
+        same = inside & (words[np.clip(at, 0, len(words) - 1)] == test)
+        # Places outside the document are like other words: a stretch neither begins nor ends there.
+        run = np.zeros((len(shift), m + 1), dtype=np.int64)
+        np.cumsum(np.where(same, 1, -penalty), axis=1, out=run[:, 1:])
+        gain = run - np.minimum.accumulate(run, axis=1)
+        end = gain.argmax(axis=1)
+        top = gain[np.arange(len(shift)), end]
+        high = int(top.max())
+        if high < limit or (best and high < best[0]):
+            continue
+        for k in np.flatnonzero(top == high).tolist():
+            start = int(run[k, : end[k] + 1].argmin()) if end[k] else 0
+            got = (high, int(shift[k]) + start, start, int(end[k]) - start, int(same[k, start : end[k]].sum()), m, int(hits[diagonals[lo + k]]))
+            best = max(best, got) if best else got
+    return best
+
+
+def _verified(mine: pa.Table, tests: pa.Table, least: int, penalty: int) -> pa.Table:
+    """A document and the items that have a seed in common with it, to FOUND."""
+    rows = []
+    numbers = lambda column, kind: np.asarray(column.as_py() if not isinstance(column, pa.ListScalar) else column.values, dtype=kind)
+    for i in range(mine.num_rows):
+        words = np.frombuffer(mine["words"][i].as_py(), np.uint64)
+        seeds_, ats = numbers(mine["seeds"][i], np.int64), numbers(mine["ats"][i], np.int64)
+        for k in range(tests.num_rows):
+            test = np.frombuffer(tests["words"][k].as_py(), np.uint64)
+            hits = seed_hits(seeds_, ats, numbers(tests["seeds"][k], np.int64), numbers(tests["ats"][k], np.int64), len(test), len(words) + len(test))
+            if best := best_stretch(words, test, hits, least, penalty):
+                rows.append((mine["rid"][i].as_py(), mine["doc_id"][i].as_py(), tests["item"][k].as_py(), tests["item_id"][k].as_py(), *best))
+    return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(FOUND))], names=FOUND)
 
 
 FOUND = ["rid", "doc_id", "item", "item_id", "gain", "doc_start", "item_start", "length", "matched", "item_words", "seed_hits"]
@@ -145,16 +193,11 @@ def _found(rows: DataFrame, benchmark: DataFrame, least: int, penalty: int, bits
     masks = (*MASKS, *("1" * r.n for r in sizes if r.n))
     handle = spark.sparkContext.broadcast(bitmap)
     hits = written(rows.mapInArrow(lambda it: _hits(it, handle.value, masks, bits), "rid long, doc_id long, words binary, seeds array<long>, ats array<long>"), "leaks-hits")
-    windows = lambda df, key: df.select(key, F.explode(F.arrays_zip("seeds", "ats")).alias("w")).select(key, F.col("w.seeds").alias("seed"), F.col("w.ats").alias(f"{key}_at"))
-    lines = windows(hits, "rid").join(windows(tests, "item"), "seed").groupBy("rid", "item", (F.col("rid_at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("hits"))
-    words = lambda c: (F.octet_length(c) / 8).cast("long")
-    both = lines.join(hits.select("rid", "doc_id", F.col("words").alias("mine")), "rid").join(tests.select("item", "item_id", F.col("words").alias("test")), "item")
-    a, b = F.greatest(F.lit(0), -F.col("shift")), F.least(words("test"), words("mine") - F.col("shift"))
-    cut = lambda c, start: F.substring(F.col(c), (start * 8 + 1).cast("int"), ((b - a) * 8).cast("int"))
-    pairs = both.select("rid", "doc_id", "item", "item_id", "hits", words("test").alias("item_words"), a.alias("from_item"), (a + F.col("shift")).alias("from_doc"), cut("test", a).alias("test"), cut("mine", a + F.col("shift")).alias("mine"))
-    found = pairs.mapInArrow(lambda it: _verified(it, least, penalty), ", ".join(f"{c} long" for c in FOUND))
-    order = ["gain", "doc_start", "item_start", "length", "matched", "item_words", "seed_hits"]
-    return found.groupBy("rid", "doc_id", "item", "item_id").agg(F.max(F.struct(*order)).alias("best")).select("rid", "doc_id", "item", "item_id", "best.*")
+    # Each seed once on either side: what repeats within a text is no pair. Which places meet is found below, for a document and an item at a time.
+    once = lambda df, key: df.select(key, F.explode(F.array_distinct("seeds")).alias("seed"))
+    pairs = once(hits, "rid").join(once(tests, "item"), "seed").select("rid", "item").distinct()
+    asked = pairs.join(tests, "item").withColumnRenamed("rid", "row")
+    return hits.groupBy("rid").cogroup(asked.groupBy("row")).applyInArrow(lambda a, b: _verified(a, b, least, penalty), ", ".join(f"{c} long" for c in FOUND))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 10, penalty: int = 2, bits: int = BITS) -> DataFrame:

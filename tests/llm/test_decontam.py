@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoplake.llm.decontam import MASKS, clean, contaminated
+from shoplake.llm.decontam import MASKS, best_stretch, clean, contaminated, seed_hits
 from tests.llm.common import awkward, empty
 
 
@@ -116,3 +116,24 @@ def test_edge_tables(spark, tmp_path):
     left = clean(spark.read.parquet(str(tmp_path / "docs")), bench)
     assert left.columns == docs.columns and sorted((r.doc_id for r in left.collect()), key=str) == sorted([0, 1, 2, 7, 8, 9, 77], key=str)
     assert clean(spark.read.parquet(str(tmp_path / "docs")), bench.limit(0)).count() == docs.count()
+
+
+def test_repeated_words(spark):
+    """Every window equals every other: counted along diagonals, not pair by pair."""
+    word = lambda n: " ".join(["again"] * n)
+    docs = [(1, word(300)), (2, "x " + word(37) + " y " + word(12)), (3, "a b " * 80), (4, word(9))]
+    items = [(1, word(25)), (2, "a b " * 9), (3, word(60) + " other"), (4, "again again again")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(r) for r in contaminated(d, b).collect()) == sorted(brute(docs, items))
+
+
+def test_a_very_long_text_of_one_word():
+    n, m = 400_000, 400
+    words, test = np.full(n, 7, dtype=np.uint64), np.full(m, 7, dtype=np.uint64)
+    seeds_ = [np.full(k - len(mask) + 1, i, dtype=np.int64) for k in (n, m) for i, mask in enumerate(MASKS)]
+    at = [np.arange(len(x)) for x in seeds_]
+    mine, mine_at, other, other_at = (np.concatenate(x) for x in (seeds_[:3], at[:3], seeds_[3:], at[3:]))
+    hits = seed_hits(mine, mine_at, other, other_at, m, n + m, most=1_000_000)
+    assert hits[m] == hits[n] == sum(m - len(mask) + 1 for mask in MASKS) and hits[0] == 0
+    got = best_stretch(words, test, hits, 10, 2)
+    assert got == (m, n - m, 0, m, m, m, hits[m])
