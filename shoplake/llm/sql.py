@@ -94,8 +94,8 @@ UNION ALL
 SELECT r.conv_id, r.call_id, r.turn, NULL, NULL, FALSE, 0, 'orphan_result', NULL, r.content FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
 """,
     "op6_temporal_lists": """
-WITH cap AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS DATE) fetched, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) h,
-  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1) p FROM pages),
+WITH cap AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS DATE) fetched, regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:\\[]*)', 1)), '\\.+$', '') h,
+  regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]+(/[^?#]*)', 1) p FROM pages),
 hosts AS (SELECT DISTINCT h FROM cap WHERE h <> ''),
 e0 AS (SELECT CASE length(h) % 5 WHEN 1 THEN h || '/en' WHEN 2 THEN CASE WHEN len(string_split(h, '.')) > 2 THEN substr(h, strpos(h, '.') + 1) ELSE h END ELSE h END entry, length(h) * 7 % 200 s FROM hosts WHERE length(h) % 3 <> 0),
 e AS (SELECT entry, min(s) s FROM e0 GROUP BY entry),

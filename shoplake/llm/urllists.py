@@ -8,23 +8,38 @@ from pyspark.sql import functions as F
 from shoplake.llm.store import written
 
 
+#: Scheme or none, user information or none, then the host, which may be an address in brackets.
+HEAD = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[]*)"
+
+
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
+    """The host in lower case without the dots at its end; user information and port aside. Empty where a URL has none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, HEAD, 1)), r"\.+$", "")
+
+
+def path(url: Column) -> Column:
+    """From the slash after the host to query or fragment; empty without one."""
+    return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]+(/[^?#]*)", 1)
+
+
+def key(name: Column, under: Column) -> Column:
+    return F.xxhash64(F.xxhash64(name), F.xxhash64(under))
 
 
-def keys(url: Column) -> Column:
-    """What entries may name: the host and every suffix of it of two labels or more, each alone and with every prefix of the path in whole parts.
+def keys(name: Column, under: Column, depth: int) -> Column:
+    """Hashes of what entries may name: a host and every suffix of it of two labels or more, each alone and with every prefix of the path of at most ``depth`` whole parts.
 
-    Neither query nor fragment counts. A host of one label is a key as it is.
+    A host of one label is a key as it is. A hash stands for each, so that a long URL makes many keys but no long ones.
     """
-    h = host(url)
-    path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
-    labels, parts = F.split(h, "\\."), F.split(path, "/")
-    # Part 1 is what stands before the first slash; parts 1 to n + 1 are the path's first n parts, and n = 0 the host alone.
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
-    paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    found = F.flatten(F.transform(suffixes, lambda s: F.transform(paths, lambda p: F.concat(s, p))))
-    return F.filter(F.array_distinct(F.when(h != "", found)), lambda k: ~k.endswith("/"))
+    labels = F.split(name, "\\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda n: F.xxhash64(F.call_function("substring_index", name, F.lit("."), n - F.size(labels) - 1)))
+    # The first part is what stands before the first slash: nothing, so that the host alone is a key.
+    parts = F.least(F.size(F.split(under, "/")), F.lit(depth + 1))
+    prefix = lambda n: F.call_function("substring_index", under, F.lit("/"), n)
+    ends = F.filter(F.sequence(F.lit(1), parts), lambda n: ~prefix(n).endswith("/"))
+    paths = F.transform(ends, lambda n: F.xxhash64(prefix(n)))
+    found = F.flatten(F.transform(suffixes, lambda s: F.transform(paths, lambda p: F.xxhash64(s, p))))
+    return F.when(name != "", F.array_distinct(found))
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -56,10 +71,17 @@ def judge(captures: DataFrame, events: DataFrame, bucket_days: int = 64) -> Data
     rows = written(captures.select(F.monotonically_increasing_id().alias("rid"), "page_id", "url", "fetched"), "captures")
     first, last = rows.agg(F.min("fetched"), F.max("fetched")).first()
     number = lambda day: F.floor(F.unix_date(day) / bucket_days).cast("int")
-    asked = rows.filter("fetched is not null").select("rid", "fetched", number(F.col("fetched")).alias("bucket"), F.explode(keys(F.col("url"))).alias("entry"))
+    e_host = F.substring_index("entry", "/", 1)
+    e_path = F.substring(F.col("entry"), F.length(e_host) + 1, F.length("entry"))
     span = F.sequence(number(F.greatest("since", F.lit(first).cast("date"))), number(F.least(F.coalesce(F.date_sub("until", 1), F.lit(last).cast("date")), F.lit(last).cast("date"))))
     dated = intervals(events).filter((F.col("since") <= F.lit(last).cast("date")) & (F.col("until").isNull() | (F.col("until") > F.lit(first).cast("date"))))
-    dealt = dated.select("entry", "since", "until", F.explode(span).alias("bucket"))
-    hits = asked.join(dealt, ["entry", "bucket"]).filter((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
+    dealt = dated.select("entry", "since", "until", key(e_host, e_path).alias("key"), F.explode(span).alias("bucket"))
+    deepest = dated.agg(F.coalesce(F.max(F.size(F.split("entry", "/")) - 1), F.lit(0))).first()[0]
+    parts = rows.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+    asked = parts.filter("fetched is not null").select("rid", "fetched", number(F.col("fetched")).alias("bucket"), F.explode(keys(F.col("host"), F.col("path"), deepest)).alias("key"))
+    met = asked.join(dealt, ["key", "bucket"]).filter((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))).select("rid", "entry", "since")
+    named = (F.col("host") == e_host) | F.col("host").endswith(F.concat(F.lit("."), e_host))
+    under = (e_path == "") | (F.col("path") == e_path) | F.col("path").startswith(F.concat(e_path, F.lit("/")))
+    hits = parts.select("rid", "host", "path").join(met, "rid").filter(named & under)
     best = hits.groupBy("rid").agg(F.min(F.struct("entry", "since")).alias("hit"))
     return rows.join(best, "rid", "left").select("page_id", "url", "fetched", F.col("hit").isNotNull().alias("blocked"), F.col("hit.entry").alias("entry"), F.col("hit.since").alias("since"))
