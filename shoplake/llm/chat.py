@@ -220,7 +220,8 @@ def link(calls: DataFrame, results: DataFrame, fields: list[Field], reference: s
 
     ``results``: (conv_id, call_id, turn, content); an identifier names a call
     of its own conversation only. Of several results the first by turn is linked
-    and all are counted. ``reference`` is the argument that names a call to wait
+    and all are counted; results without a turn come last, of one turn those with a
+    content first, and a result whose content is null is linked as such. ``reference`` is the argument that names a call to wait
     for, or an array of several. A call's place in its conversation is (level,
     turn, call_id). Malformed arguments have null canonical JSON and the error
     not_json, null conversations and identifiers link to nothing and have level
@@ -232,14 +233,14 @@ def link(calls: DataFrame, results: DataFrame, fields: list[Field], reference: s
     named = F.coalesce(F.try_variant_get("args", f"$.{reference}", "array<string>"), F.array(F.try_variant_get("args", f"$.{reference}", "string")))
     needs = parsed.select(*KEYS, F.explode(named).alias("needed")).dropna()
     known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    first = results.filter(known).groupBy(*KEYS).agg(F.min_by("content", F.struct("turn", "content")).alias("content"), F.count("*").alias("n_results"))
+    first = results.filter(known).groupBy(*KEYS).agg(F.min(F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"), F.col("content").isNull().alias("none"), F.col("content").alias("content"))).alias("first"), F.count("*").alias("n_results")).select(*KEYS, F.col("first.content").alias("content"), "n_results")
     joined = parsed.filter(known).join(first.hint("shuffle_hash"), KEYS, "left").join(levels(calls, needs).hint("shuffle_hash"), KEYS, "left")
     # Calls without an identifier would meet in one task.
     loose = parsed.filter(~known).withColumns({"content": F.lit(None).cast("string"), "n_results": F.lit(None).cast("long"), "level": F.lit(0).cast("long")})
     joined = joined.unionByName(loose)
     canonical = F.concat(F.lit('{"arguments":'), _canonical(F.when(F.col("args").isNotNull(), F.col("arguments"))), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit("}"))
     linked = joined.select(
-        *KEYS, "turn", "name", F.col("level").cast("long").alias("level"), F.col("content").isNotNull().alias("linked"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
+        *KEYS, "turn", "name", F.col("level").cast("long").alias("level"), F.col("n_results").isNotNull().alias("linked"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
         F.array_join(schema_errors(F.col("name"), F.col("args"), fields), ",").alias("errors"), canonical.alias("canonical"), F.col("content").alias("result"),
     )
     have = calls.select(*KEYS).dropna().distinct()

@@ -129,3 +129,10 @@ def test_canonical_urls(spark):
     urls = ["https://WWW.Shop.io/A.html?utm_source=1#y", "http://m.shop.io/A", "shop.io/A/?", "http://shop.io", "", None, "http://s.io/p?id=2&a=1&&ref=x", "http://s.io/p.html?a=1&id=2#z", "http://s.io?q=1/", "http://s.io/p?reference=1"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc.canonical(F.col("u"))).collect()]
     assert got == ["shop.io/A", "shop.io/A", "shop.io/A", "shop.io", "", None, "s.io/p?a=1&id=2", "s.io/p?a=1&id=2", "s.io?q=1/", "s.io/p?reference=1"]
+
+
+def test_results_without_content_or_turn(spark):
+    calls = spark.createDataFrame([(1, "a", 1, "search", "{}"), (1, "b", 2, "search", "{}"), (1, "c", 3, "search", "{}"), (1, "d", 4, "search", "{}")], CALLS)
+    results = [(1, "a", 5, None), (1, "b", None, "no turn"), (1, "b", 9, "late"), (1, "c", 4, None), (1, "c", 4, "of one turn")]
+    out = {r.call_id: (r.linked, r.n_results, r.result) for r in chat.link(calls, spark.createDataFrame(results, RESULTS), FIELDS).collect()}
+    assert out == {"a": (True, 1, None), "b": (True, 2, "late"), "c": (True, 2, "of one turn"), "d": (False, 0, None)}

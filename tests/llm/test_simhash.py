@@ -68,3 +68,12 @@ def test_trie_walk_is_exact_in_small_frontiers():
     got = sorted((min(a, b), max(a, b)) for i, j in trie_pairs(values, 2, 0, most=8) for a, b in zip(i.tolist(), j.tolist()))
     want = [(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if int(values[i] ^ values[j]).bit_count() <= 2]
     assert got == want
+
+
+def test_columns_that_clash(spark):
+    from pyspark.sql import functions as F
+
+    docs = awkward(spark)
+    more = docs.withColumns({c: F.lit("clash") for c in ("fp", "node", "u", "v", "component", "fingerprint", "component_id", "rid")})
+    shown = lambda d: sorted(map(str, near_duplicates(d).select("doc_id", "fingerprint", "component_id").collect()))
+    assert shown(more) == shown(docs)
