@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from shoplake.functions.expr import as_date, pct
 from shoplake.functions.store import written
-from shoplake.operators.ranking import global_row_number, global_running_sum, ntile_of
+from shoplake.operators.ranking import global_row_number, global_running_sum, keys_at, ntile_of, tile_ends
 
 PAID = ("COMPLETED", "SHIPPED")
 VOID = ("CANCELLED", "REFUNDED")
@@ -71,11 +72,21 @@ def rfm_ntile(orders: DataFrame, as_of, orientation: str = "best_high") -> DataF
     base = written(base, "rfm-base")
     n = base.count()
     best_high = orientation == "best_high"
-    for name, column, low_best in (("r_score", "recency", True), ("f_score", "frequency", False), ("m_score", "monetary", False)):
-        # best_high: the best customers come last and get tile 5; literal: they come first and get tile 1.
-        up = low_best != best_high
-        order = [F.col(column).asc() if up else F.col(column).desc(), F.col("customer_id").asc()]
-        base = global_row_number(base, order, "_pos").withColumn(name, ntile_of(F.col("_pos"), F.lit(n), 5)).drop("_pos")
+    # best_high: the best customers come last and get tile 5; literal: they come first and get tile 1.
+    up = {"r_score": not best_high, "f_score": best_high, "m_score": best_high}
+    columns = {"r_score": "recency", "f_score": "frequency", "m_score": "monetary"}
+    scale = getattr(base.schema["monetary"].dataType, "scale", None)
+    if scale is not None and isinstance(base.schema["customer_id"].dataType, IntegralType):
+        # The keys at which tiles end are all that ranks are needed for; one pass scores by them.
+        whole = {m: F.col(c).cast("long") if c != "monetary" else (F.col(c) * 10**scale).cast("long") for m, c in columns.items()}
+        value = {m: c if up[m] else -c for m, c in whole.items()}
+        ends = keys_at(base, {m: (c, tile_ends(n, 5)) for m, c in value.items()}, "customer_id")
+        after = lambda m, e: F.lit(1) if e is None else F.when((value[m] > e[0]) | ((value[m] == e[0]) & (F.col("customer_id") > e[1])), 1).otherwise(0)
+        base = base.withColumns({m: sum((after(m, e) for e in ends[m]), F.lit(1)).cast("int") for m in value})
+    else:  # values or ids that aren't whole numbers are ranked by ranges
+        for name, column in columns.items():
+            order = [F.col(column).asc() if up[name] else F.col(column).desc(), F.col("customer_id").asc()]
+            base = global_row_number(base, order, "_pos").withColumn(name, ntile_of(F.col("_pos"), F.lit(n), 5)).drop("_pos")
     r, f, m = (F.col(c) for c in ("r_score", "f_score", "m_score"))
     return base.select("customer_id", "recency", "frequency", F.col("monetary").cast("double").alias("monetary"), r, f, m, F.concat(r.cast("string"), f.cast("string"), m.cast("string")).alias("rfm_code"), _segment(r, f, m, SEGMENTS_8).alias("segment"))
 

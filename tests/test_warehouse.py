@@ -114,3 +114,34 @@ def test_filters_reach_the_scan(spark):
 def test_date_dim_range(spark, days, last):
     dim = warehouse.date_dim(spark, days=days)
     assert dim.count() == days and dim.agg(F.max("full_date")).first()[0] == last
+
+
+@pytest.mark.parametrize("few", [1, 7, 10_000])
+def test_keys_at_places_equal_a_sort(spark, few):
+    """Ties in whole, negative values, far bounds, places at both ends; few cells, so that the search goes on by value and by tie."""
+    import random
+
+    from shoplake.operators.ranking import keys_at, tile_ends
+
+    rng = random.Random(few)
+    rows = [(i * 37 % 1009, rng.randrange(-5, 5), rng.choice([-(10**12), 3, 3, 3, 10**12 + i])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, a long, b long").repartition(3)
+    for n in (500, 3, 1):
+        part, places = df.filter(F.col("id").isin([r[0] for r in rows[:n]])), [0, 1, *tile_ends(n, 5), n]
+        got = keys_at(part, {"a": (F.col("a"), places), "b": (-F.col("b"), places)}, "id", cells=16, few=few)
+        for name, key in (("a", lambda r: (r[1], r[0])), ("b", lambda r: (-r[2], r[0]))):
+            want = sorted(map(key, rows[:n]))
+            assert got[name] == [want[p - 1] if p else None for p in places]
+
+
+@pytest.mark.parametrize("orientation", ["best_high", "literal"])
+def test_tiles_by_boundaries_equal_tiles_by_ranks(spark, orientation):
+    from shoplake.sources.fixtures import model
+
+    orders = model(spark, "/root/testdata/sf0.001", "m_orders")
+    shown = lambda df: sorted(map(str, df.select("customer_id", "rfm_code", "segment").collect()))
+    by_ranks = A.rfm_ntile(orders.withColumn("customer_id", F.format_string("%09d", "customer_id")), "2001-12-31", orientation)
+    assert shown(A.rfm_ntile(orders, "2001-12-31", orientation)) == shown(by_ranks.withColumn("customer_id", F.col("customer_id").cast("long")))
+    assert A.rfm_ntile(orders.limit(0), "2001-12-31", orientation).count() == 0
+    plan = A.rfm_ntile(orders, "2001-12-31", orientation)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "Window" not in plan
