@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shoplake.functions.store import written
 from shoplake.operators.ranking import global_row_number
-from shoplake.recs.blocks import BLOCK_ITEMS, best_of_blocks, in_blocks
+from shoplake.recs.blocks import BLOCK_ITEMS, top
 
 
 class Factors(NamedTuple):
@@ -51,38 +51,76 @@ def cf_top_n(f: Factors, inter: DataFrame, n: int = 50, block_items: int = BLOCK
     return top_by_factors(users, items, inter, n, block_items)
 
 
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the ``k`` greatest of each row, ties to the lower column; none that is minus infinity."""
-    k = min(k, scores.shape[1])
-    cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
-    above, level = scores > cut, (scores == cut) & np.isfinite(scores)
-    room = k - above.sum(axis=1, keepdims=True)
-    return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))
+def scan(users: np.ndarray, have: list, ids: np.ndarray, matrix: np.ndarray, n: int, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The best ``n`` of the items (``ids``, ``matrix``, longest vector first) for each user: (user's row, id, score), ties to the smaller id; and how many pairs were scored.
+
+    No product is greater than that of both lengths, so a user is done when the
+    n-th score beats what the longest vector left could reach.
+    """
+    lengths, mine = np.linalg.norm(matrix.astype(np.float64), axis=1), np.linalg.norm(users.astype(np.float64), axis=1)
+    place = {x: k for k, x in enumerate(ids.tolist())}
+    gone = [(place[x], r) for r, xs in enumerate(have) for x in xs if x in place]
+    gone_at, gone_row = (np.array(x, dtype=np.int64) for x in zip(*sorted(gone))) if gone else (np.empty(0, dtype=np.int64),) * 2
+    by_id = np.empty(len(ids), dtype=np.int64)
+    by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    row, item, value = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32)
+    nth, scored = np.full(len(users), -np.inf), 0
+    for lo in range(0, len(ids), chunk):
+        part = matrix[lo : lo + chunk]
+        active = np.flatnonzero(nth <= mine * lengths[lo] * (1 + 1e-5) + 1e-9)
+        if not len(active):
+            break
+        scores = users[active] @ part.T
+        scored += scores.size
+        row_of = np.full(len(users), -1)
+        row_of[active] = np.arange(len(active))
+        a, b = np.searchsorted(gone_at, (lo, lo + len(part)))
+        held = row_of[gone_row[a:b]]
+        scores[held[held >= 0], gone_at[a:b][held >= 0] - lo] = -np.inf
+        r, c = np.nonzero((scores >= nth[active][:, None]) & np.isfinite(scores))
+        row, item, value = np.r_[row, active[r]], np.r_[item, lo + c], np.r_[value, scores[r, c]]
+        order = np.lexsort((by_id[item], -value, row))
+        row, item, value = row[order], item[order], value[order]
+        first = np.searchsorted(row, np.arange(len(users)))
+        kept = np.arange(len(row)) - first[row] < n
+        row, item, value = row[kept], item[kept], value[kept]
+        first, many = np.searchsorted(row, np.arange(len(users))), np.bincount(row, minlength=len(users))
+        full = many == n
+        nth[full] = value[first[full] + n - 1]
+    return row, ids[item], value, scored
 
 
 def top_by_factors(users: DataFrame, items: DataFrame, inter: DataFrame, n: int = 50, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The ``n`` products of greatest factor product that a customer hasn't bought, ties to the smaller id.
 
-    ``users`` (customer_id, features), ``items`` (product_id, features). Exact:
-    every customer against all item factors, a block of ``block_items`` at a time.
+    ``users`` (customer_id, features), ``items`` (product_id, features). Exact.
+    Items go by the length of their vectors, ``block_items`` broadcast at a time; a
+    customer takes part in a block only while its longest vector could still change the list.
     """
+    spark = users.sparkSession
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     bought = inter.groupBy("customer_id").agg(F.collect_list("product_id").alias("have"))
-    users = written(users.join(bought, "customer_id"), "users")
+    users = written(users.join(bought, "customer_id").withColumn("length", length(F.col("features"))), "users")
+    ranked = written(global_row_number(items.withColumn("length", length(F.col("features"))), [F.desc("length"), F.asc("product_id")], "place"), "item-factors")
+    kind = lambda c: inter.schema[c].dataType.simpleString()
+    schema = f"customer_id {kind('customer_id')}, product_id {kind('product_id')}, score double"
 
     def rank(batches: Iterator[pd.DataFrame], block: tuple[np.ndarray, np.ndarray]) -> Iterator[pd.DataFrame]:
-        ids, matrix = block
-        if not len(ids):
-            return
-        place = {x: k for k, x in enumerate(ids.tolist())}
         for whole in batches:
             for lo in range(0, len(whole), 256):
                 part = whole.iloc[lo : lo + 256]
-                scores = np.array(part["features"].tolist(), dtype=np.float32) @ matrix.T
-                for r, have in enumerate(part["have"]):
-                    scores[r, [place[x] for x in have if x in place]] = -np.inf
-                rows, best = _best(scores, n)
-                yield pd.DataFrame({"customer_id": part["customer_id"].to_numpy()[rows], "product_id": ids[best], "score": scores[rows, best].astype(float)})
-
-    blocks = ((rows["product_id"].to_numpy(), np.array(rows["features"].tolist(), dtype=np.float32)) for rows in in_blocks(written(items, "item-factors"), "product_id", block_items))
-    kind = lambda c: inter.schema[c].dataType.simpleString()
-    return best_of_blocks(users, "customer_id", blocks, rank, f"customer_id {kind('customer_id')}, product_id {kind('product_id')}, score double", "score", "product_id", n)
+                row, item, value, _ = scan(np.array(part["features"].tolist(), dtype=np.float32), part["have"].tolist(), *block, n)
+                yield pd.DataFrame({"customer_id": part["customer_id"].to_numpy()[row], "product_id": item, "score": value.astype(float)})
+
+    best, total = None, ranked.count()
+    for begin in range(0, total, block_items):
+        rows = ranked.filter(F.col("place").between(begin + 1, begin + block_items)).orderBy("place").toPandas()
+        handle = spark.sparkContext.broadcast((rows["product_id"].to_numpy(), np.array(rows["features"].tolist(), dtype=np.float32)))
+        asked = users
+        if best is not None:
+            done = best.groupBy("customer_id").agg(F.count("*").alias("listed"), F.min("score").alias("nth"))
+            asked = users.join(done, "customer_id", "left").filter(F.col("listed").isNull() | (F.col("listed") < n) | (F.col("nth") <= F.col("length") * float(rows["length"].iloc[0]) * (1 + 1e-5) + 1e-9)).select(users.columns)
+        part = asked.select("customer_id", "features", "have").mapInPandas(lambda it, h=handle: rank(it, h.value), schema)
+        best = written(part if best is None else top(best.unionByName(part), ["customer_id"], "score", "product_id", n), "best")
+        handle.unpersist()
+    return spark.createDataFrame([], schema) if best is None else best

@@ -158,3 +158,39 @@ def test_marts_are_written(spark, shop, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m/recommendations")).count() == 1
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "m/recommendations_csv")).first()["product_name"] == "n, x"
     assert spark.read.option("header", True).csv(str(tmp_path / "m/association_rules_csv")).first()["lift"] == "3.0"
+
+
+@pytest.mark.parametrize("chunk", [3, 64])
+def test_lists_by_length_bounds_are_exact_and_stop_early(chunk):
+    """Equal scores, bought items, users of length nought; the longest vectors come first and most others are never scored."""
+    import numpy as np
+
+    from shoplake.recs.factors import scan
+
+    rng = np.random.default_rng(chunk)
+    items = rng.integers(-3, 4, (400, 4)).astype(np.float32) * np.repeat(np.array([64, 16, 4, 1], dtype=np.float32), 100)[:, None]
+    users = np.r_[rng.integers(-3, 4, (50, 4)), np.zeros((2, 4))].astype(np.float32)
+    order = np.lexsort((np.arange(400), -np.linalg.norm(items, axis=1)))
+    have = [rng.choice(400, rng.integers(0, 30), replace=False).tolist() + [9999] for _ in users]
+    row, item, value, scored = scan(users, have, np.arange(400)[order], items[order], 5, chunk)
+    got = {u: [] for u in range(len(users))}
+    for r, i, v in zip(row.tolist(), item.tolist(), value.tolist()):
+        got[r].append((-v, i))
+    for u in range(len(users)):
+        want = sorted((-float(users[u] @ items[i]), i) for i in range(400) if i not in have[u])[:5]
+        assert got[u] == want
+    assert scored < (0.5 if chunk < 10 else 0.8) * len(users) * 400
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_blocks_of_factors_change_no_list(spark, text_ids):
+    from shoplake.recs.factors import top_by_factors
+
+    vector = lambda i, k: [float((i * a) % b - b // 2) for a, b in ((3, 7), (5, 11), (1, 3))] if i % k else [0.0, 0.0, 0.0]
+    kind = "string" if text_ids else "long"
+    name = lambda i: f"p{i:03}" if text_ids else i
+    users = spark.createDataFrame([(i, vector(i, 9)) for i in range(30)], "customer_id long, features array<float>")
+    items = spark.createDataFrame([(name(i), [x * (1 + i % 5) for x in vector(i, 13)]) for i in range(120)], f"product_id {kind}, features array<float>")
+    inter = spark.createDataFrame([(u, name((u * 7 + k) % 120)) for u in range(29) for k in range(u % 6 + 1)], f"customer_id long, product_id {kind}")
+    lists = [sorted(tuple(r) for r in top_by_factors(users, items, inter, 8, block).collect()) for block in (1_000, 50, 7)]
+    assert lists[0] == lists[1] == lists[2] and len(lists[0]) == 29 * 8
