@@ -84,7 +84,7 @@ def assign(docs: DataFrame, tree: list[Leaf], larger: list[Leaf] | None = None,
 
     Slots are gapless: rows are dealt to ``slot_buckets`` buckets of a shard,
     numbered inside each, and a table of bucket sizes (shards x ``slot_buckets``
-    rows, so its broadcast is bounded) shifts them; no task holds a whole shard.
+    rows, broadcast if that is a million or less) shifts them; no task holds a whole shard.
     Buckets follow the row's place, not its key, so rows of one doc_id are
     dealt as well; the rows, without texts, are pinned by a written table. Null
     text has size 1 and the checksum of an empty text, very long texts are
@@ -106,5 +106,6 @@ def assign(docs: DataFrame, tree: list[Leaf], larger: list[Leaf] | None = None,
     starts = sizes.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     numbered = rows.withColumn("rank", F.row_number().over(within))
-    placed = numbered.join(F.broadcast(starts), ["shard", "bucket"])
+    few = len(tree) * slot_buckets <= 1_000_000  # the rows of ``starts``; of very many shards they are joined by a shuffle
+    placed = numbered.join(F.broadcast(starts) if few else starts, ["shard", "bucket"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), "grown_shard", "region", "rack")
