@@ -151,7 +151,7 @@ def _centres(key: np.ndarray, node: np.ndarray, n: np.ndarray, grp: np.ndarray,
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, salt: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n, pos, grp), sorted by key, to pairs (u, v) of different groups that may reach the similarity, with how many keys show it: all, or with the centre of each key only."""
+    """Rows (key, node, n, pos, grp), sorted by key, to pairs (u, v) of different groups with their sizes and how many keys they share: all whose sizes allow the similarity, or those with the centre of each key only that may reach it."""
     for key, node, n, pos, grp in _whole_keys(batches):
         if salt is None:
             order = np.lexsort((n, key))
@@ -159,11 +159,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, salt: int
 
         def kept(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
             overlap = np.minimum(n[i] - pos[i], n[j] - pos[j])  # at most, if this is the first shingle they share
-            near = (grp[i] != grp[j]) & (overlap * (1 + similarity) + 1e-6 >= similarity * (n[i] + n[j]))
+            near = grp[i] != grp[j]
+            if salt is not None:
+                near &= overlap * (1 + similarity) + 1e-6 >= similarity * (n[i] + n[j])
             if near.any():
-                a, b = node[i[near]], node[j[near]]
-                pairs, keys = np.unique(np.stack([a, b] if salt is not None else [np.maximum(a, b), np.minimum(a, b)]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(keys)], names=["u", "v", "keys"])
+                i, j = i[near], j[near]
+                if salt is None:
+                    i, j = np.where(node[i] > node[j], i, j), np.where(node[i] > node[j], j, i)
+                pairs, keys = np.unique(np.stack([node[i], node[j], n[i].astype(np.int64), n[j].astype(np.int64)]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, pairs), pa.array(keys)], names=["u", "v", "un", "vn", "keys"])
 
         if salt is not None:
             yield from kept(np.arange(len(key)), _centres(key, node, n, grp, salt))
@@ -230,8 +234,13 @@ def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, budget:
         groups = components(found).withColumnRenamed("u", "node")
         grouped = met.join(groups, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("grp"))
         dealt = grouped.repartition("key").sortWithinPartitions("key")
-        seen = dealt.mapInArrow(lambda it, s=salt: _candidates(it, similarity, s), "u long, v long, keys long").groupBy("u", "v").agg(F.sum("keys").alias("keys"))
-        if salt is not None:
+        seen = dealt.mapInArrow(lambda it, s=salt: _candidates(it, similarity, s), "u long, v long, un long, vn long, keys long").groupBy("u", "v", "un", "vn").agg(F.sum("keys").alias("keys"))
+        if salt is None:
+            # Of the two heads one ends first in the common order. What that document shares with the other within its head is in both heads and
+            # counted; the rest of it is at most ceil(t n) - 1.
+            rest = F.greatest(*[F.ceil(similarity * F.col(c) - 1e-9) for c in ("un", "vn")]) - 1
+            seen = seen.filter((F.col("keys") + rest) * (1 + similarity) + 1e-6 >= similarity * (F.col("un") + F.col("vn")))
+        else:
             seen = seen.groupBy("u").agg(F.max(F.struct("keys", F.negative("v").alias("v"))).alias("most")).select("u", F.negative("most.v").alias("v"))
         found = found.unionByName(verified(seen.select("u", "v")))
     found = components(found)
