@@ -33,6 +33,8 @@ from shoplake.llm.store import numbered, written
 #: that spares most comparisons of whole sets. A document has at least a bit for each shingle, so the bound is as sharp
 #: for long ones; the halves of a document's bits, one over the other, are its bits at half the number.
 BITS = 512
+#: Columns of a document's bits folded to the least number of them.
+FOLDED = [f"p{i}" for i in range(BITS // 64)]
 
 
 def parity(found: np.ndarray) -> bytes:
@@ -41,14 +43,18 @@ def parity(found: np.ndarray) -> bytes:
     return np.packbits((np.bincount(found & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(bits: np.ndarray, size: int = BITS // 8) -> np.ndarray:
+    """Bytes of parity bits at a lesser number of bits, ``size`` bytes of them."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def differing(a: bytes, b: bytes) -> int:
     """Bits in which two documents differ, at the lesser number of bits."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) > len(y):
-        x, y = y, x
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def _near(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -99,7 +105,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
     for whole in batches:
         for lo in range(0, whole.num_rows, 500):
             batch = whole.slice(lo, 500)
-            digests, sizes, heads, bits, prints = [], [], [], [], []
+            digests, sizes, heads, bits, prints, short = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, shingle)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
@@ -107,8 +113,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float
                 sizes.append(len(found))
                 last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), dtype=bool)
                 bits.append(parity(found))
+                short.append(folded(np.frombuffer(bits[-1], np.uint8)).view(np.int64))
                 heads.append(np.r_[found[~last], found[last]][: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(prints, pa.int64())], names=["node", "digest", "n", "head", "bits", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(prints, pa.int64()), *[pa.array(x) for x in np.array(short, dtype=np.int64).reshape(-1, len(FOLDED)).T]], names=["node", "digest", "n", "head", "bits", "fp", *FOLDED])
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -151,17 +158,22 @@ def _centres(key: np.ndarray, node: np.ndarray, n: np.ndarray, grp: np.ndarray,
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, salt: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n, pos, grp), sorted by key, to pairs (u, v) of different groups that may reach the similarity, with how many keys show it: all, or with the centre of each key only."""
-    for key, node, n, pos, grp in _whole_keys(batches):
+    """Rows (key, node, n, pos, grp), sorted by key, to pairs (u, v) of different groups that may reach the similarity, with how many keys show it: all that folded parity bits, in more columns, don't rule out, or with the centre of each key only."""
+    for key, node, n, pos, grp, *bits in _whole_keys(batches):
         if salt is None:
             order = np.lexsort((n, key))
-            key, node, n, pos, grp = (x[order] for x in (key, node, n, pos, grp))
+            key, node, n, pos, grp, *bits = (x[order] for x in (key, node, n, pos, grp, *bits))
 
         def kept(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
             overlap = np.minimum(n[i] - pos[i], n[j] - pos[j])  # at most, if this is the first shingle they share
             near = (grp[i] != grp[j]) & (overlap * (1 + similarity) + 1e-6 >= similarity * (n[i] + n[j]))
-            if near.any():
-                a, b = node[i[near]], node[j[near]]
+            i, j = i[near], j[near]
+            if bits and len(i):
+                differ = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in bits)
+                near = differ * (1 + similarity) <= (n[i].astype(np.int64) + n[j]) * (1 - similarity) + 1e-6
+                i, j = i[near], j[near]
+            if len(i):
+                a, b = node[i], node[j]
                 pairs, keys = np.unique(np.stack([a, b] if salt is not None else [np.maximum(a, b), np.minimum(a, b)]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(keys)], names=["u", "v", "keys"])
 
@@ -200,7 +212,7 @@ def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, budget:
     joins and changes no result.
     """
     common = _common(texts, shingle)
-    prints = written(texts.mapInArrow(lambda it: _prefixes(it, shingle, similarity, common), "node long, digest binary, n long, head array<long>, bits binary, fp long"), "near-prefixes")
+    prints = written(texts.mapInArrow(lambda it: _prefixes(it, shingle, similarity, common), "node long, digest binary, n long, head array<long>, bits binary, fp long, " + ", ".join(f"{c} long" for c in FOLDED)), "near-prefixes")
     least = written(prints.groupBy("digest").agg(F.min("node").alias("node")).select("node"), "near-distinct")
 
     def side(table: DataFrame, end: str) -> DataFrame:
@@ -225,10 +237,13 @@ def copies(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, budget:
     rows = distinct.select("node", "n", F.posexplode("head").alias("pos", "key")).select("key", "node", F.col("n").cast("int").alias("n"), "pos")
     met = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, n int, pos int"), "near-met")
     # The exact join. First each document with one other, three times: of the centres of its keys, members of the largest groups there,
-    # the one it has most keys in common with. Large groups are one by then and nothing of them is joined any more; then all pairs of what are two groups still.
+    # the one it has most keys in common with. Large groups are one by then and nothing of them is joined any more; then all pairs of what are two groups still,
+    # but for those that parity bits, sent with the keys in this round, rule out where keys meet.
     for salt in (0, 1, 2, None):
         groups = components(found).withColumnRenamed("u", "node")
         grouped = met.join(groups, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("grp"))
+        if salt is None:
+            grouped = grouped.join(prints.select("node", *FOLDED), "node").select("key", "node", "n", "pos", "grp", *FOLDED)
         dealt = grouped.repartition("key").sortWithinPartitions("key")
         seen = dealt.mapInArrow(lambda it, s=salt: _candidates(it, similarity, s), "u long, v long, keys long").groupBy("u", "v").agg(F.sum("keys").alias("keys"))
         if salt is not None:

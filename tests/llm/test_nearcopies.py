@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,20 @@ def test_parity_bits_bound_the_difference():
             assert share > 0 or n < 600 or m < n or got > 0.3 * n  # as sharp for long documents
 
 
+def test_parity_bits_where_keys_meet_lose_no_pair():
+    texts = edited()
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["node", "text"])
+    rows = [r for b in nearcopies._prefixes(iter([docs]), 5, 0.8, np.empty(0, np.int64)) for r in b.to_pylist()]
+    assert any(r[c] < 0 for r in rows for c in nearcopies.FOLDED)
+    met = sorted((key, r["node"], r["n"], pos, r["node"], *[r[c] for c in nearcopies.FOLDED]) for r in rows for pos, key in enumerate(r["head"]))
+    names = ["key", "node", "n", "pos", "grp", *nearcopies.FOLDED]
+    table = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*met)], names=names)
+    pairs = lambda columns: {(r["u"], r["v"]) for b in nearcopies._candidates(iter([table.select(columns)]), 0.8, None) for r in b.to_pylist()}
+    got, sets = pairs(names), [shingles(t) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert near and near <= got < pairs(names[:5])
+
+
 def test_stage_drops_edited_copies(spark, tmp_path):
     texts = edited()
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "docs"))
@@ -105,6 +120,6 @@ def test_rows_stay_themselves_when_cores_change(spark, tmp_path, cores):
 
 def test_columns_that_clash(spark):
     texts = edited()[:40]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).withColumns({c: F.lit("clash") for c in ("node", "whole", "u", "v", "digest", "n", "head", "bits", "fp")})
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).withColumns({c: F.lit("clash") for c in ("node", "whole", "u", "v", "digest", "n", "head", "bits", "fp", "p0")})
     got = nearcopies.one_of_each(docs)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(brute_least(texts)))
