@@ -314,14 +314,14 @@ def _(events):
 ALL = 1_000_000
 
 
-def _event_files(events: DataFrame, parts: int = 4) -> tuple[str, str]:
-    """Clickstream files in the order of time, and a folder for what comes of them."""
+def _event_files(events: DataFrame, parts: int = 4, more_in: str | None = None) -> tuple[str, str]:
+    """Clickstream files in the order of time, in a folder of their own or beside those of ``more_in``, and a folder for what comes of them."""
     spark = events.sparkSession
     stamp = F.when(F.col("event_id") % 50 == 0, F.lit("broken")).otherwise(F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     text = lambda c: F.col(c).cast("string").alias(c)
     none = lambda c: F.lit(None).cast("string").alias(c)
     rows = events.select(text("event_id"), "session_id", text("customer_id"), "event_type", none("page_url"), "product_id", stamp.alias("event_timestamp"), "device_type", none("browser"), none("referrer"), none("raw_json"))
-    files.write_csv(rows.repartitionByRange(parts, "event_timestamp"), path := new_path(spark, "events"))
+    files.write_csv(rows.repartitionByRange(parts, "event_timestamp"), path := more_in or new_path(spark, "events"), "append")
     return path, new_path(spark, "streams")
 
 

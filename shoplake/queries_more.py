@@ -72,8 +72,7 @@ def _(events):
     src, base = _event_files(events.filter("event_id % 3 <> 0"))
     run = lambda: sinks.start_sink(clean_click_stream(event_sources.file_events(spark, src, ALL)), "clicks-once", "append", "parquet", f"{base}/checkpoint", f"{base}/rows", available_now=True).awaitTermination()
     run()
-    more, _ = _event_files(events.filter("event_id % 2 = 0").withColumn("event_type", F.lit(" Search")))
-    spark.read.text(more).write.mode("append").text(src)
+    _event_files(events.filter("event_id % 2 = 0").withColumn("event_type", F.lit(" Search")), more_in=src)
     run()
     return spark.read.parquet(f"{base}/rows").select("event_id", "session_id", "event_type", "event_timestamp")
 

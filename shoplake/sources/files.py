@@ -75,8 +75,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None, dyn
 refresh_table = write_parquet
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Files with a header each; ``append`` adds files to those that are there."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_dq_report(report: DataFrame, path: str) -> None:

@@ -177,3 +177,18 @@ def test_kafka_values_and_file_source(spark, tmp_path):
     q.awaitTermination(60)
     (r,) = spark.sql("select * from clicks").collect()
     assert r.raw_json == '{"a": "x, y"}'
+
+
+@pytest.mark.parametrize("name", ["q1_stream_deduplication"])
+def test_files_that_come_later_have_headers_of_their_own(spark, name):
+    """Though they are larger than a split."""
+    from shoplake import queries_jobs, queries_more  # noqa: F401 - register more of them
+    from shoplake.queries import ORACLE_SQL, QUERIES
+    from tests.oracle import compare
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert compare(spark, "/root/testdata/sf0.01", QUERIES[name], ORACLE_SQL[name]) > 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
