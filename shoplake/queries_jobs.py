@@ -354,8 +354,7 @@ def _(events):
     start()
     last = events.filter("event_id % 3 <> 0 and event_id % 50 <> 0").agg(F.max("event_timestamp").alias("last"))
     late = events.filter("event_id % 3 = 0").join(F.broadcast(last)).filter(F.col("event_timestamp") < F.col("last") - F.expr("interval 1 day")).drop("last")
-    more, _ = _event_files(late)
-    spark.read.text(more).write.mode("append").text(src)
+    _event_files(late, more_in=src)
     start()
     return spark.read.parquet(f"{base}/rows").select("device_type", "events", "sessions", "window_start")
 

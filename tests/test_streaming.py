@@ -179,7 +179,7 @@ def test_kafka_values_and_file_source(spark, tmp_path):
     assert r.raw_json == '{"a": "x, y"}'
 
 
-@pytest.mark.parametrize("name", ["q1_stream_deduplication"])
+@pytest.mark.parametrize("name", ["q1_stream_deduplication", "x6_late_rows_dropped"])
 def test_files_that_come_later_have_headers_of_their_own(spark, name):
     """Though they are larger than a split."""
     from shoplake import queries_jobs, queries_more  # noqa: F401 - register more of them
