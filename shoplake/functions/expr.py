@@ -72,6 +72,11 @@ def age_group_by_year(born: Column, as_of) -> Column:
     return F.when(years < 25, "18-24").when(years < 35, "25-34").when(years < 45, "35-44").when(years < 55, "45-54").otherwise("55+")
 
 
+def half_up(c: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do, by its multiple of 10 ** ``digits``; Spark's own rounds the shortest decimal that reads as the double, which differs near halves."""
+    return F.round(c * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def pct(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(part * 100, F.nullif(whole, F.lit(0))), digits)
 

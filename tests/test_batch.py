@@ -38,3 +38,13 @@ def test_dimensions(spark):
     assert got == {"p": (1, 60.0), "q": (None, None)}
     geo = warehouse.build_dim(stage, ["country", "city"], "geo_sk")
     assert sorted(r.geo_sk for r in geo.collect()) == [1, 2]
+
+
+def test_lifetime_value_rounds_doubles_as_its_sql(spark):
+    """Values near a half: 77915.555 is less than its decimal."""
+    from shoplake.jobs import analytics
+
+    rows = [(1, "SHIPPED", dt.date(1995, 8, 27), "2085.20"), (1, "SHIPPED", dt.date(2000, 11, 3), "153745.91")]
+    orders = spark.createDataFrame(rows, "customer_id long, status string, order_date date, net string").select("*", F.col("net").cast("decimal(13,2)").alias("net_revenue"))
+    (r,) = analytics.clv_batch(orders).collect()
+    assert (r.aov, r.monthly_frequency, r.clv_365d) == (77915.55, 0.0316, 19204.63)
