@@ -48,3 +48,14 @@ def test_lifetime_value_rounds_doubles_as_its_sql(spark):
     orders = spark.createDataFrame(rows, "customer_id long, status string, order_date date, net string").select("*", F.col("net").cast("decimal(13,2)").alias("net_revenue"))
     (r,) = analytics.clv_batch(orders).collect()
     assert (r.aov, r.monthly_frequency, r.clv_365d) == (77915.55, 0.0316, 19204.63)
+
+
+def test_predicted_value_of_segments_rounds_as_its_sql(spark):
+    """3 orders in 1,600 days are 0.05625 a month, a double just below it whose ten thousandfold is a half."""
+    from shoplake.jobs import analytics
+
+    rows = [(1, "COMPLETED", dt.date(1996, 10, 8), "201619.85"), (1, "COMPLETED", dt.date(1998, 2, 20), "266079.19"), (1, "COMPLETED", dt.date(2001, 2, 23), "224271.78")]
+    orders = spark.createDataFrame(rows, "customer_id long, status string, order_date date, net string").select("*", F.col("net").cast("decimal(13,2)").alias("net_revenue"))
+    customers = spark.createDataFrame([(1, "Ann", "Oslo", "NO", "s")], "customer_id long, full_name string, city string, country string, segment string")
+    (r,) = warehouse.agg_customer_rfm(analytics.rfm_quantile(orders, "2001-12-31", rel_err=0), analytics.clv_batch(orders), customers).collect()
+    assert r.predicted_clv == 101290.69
