@@ -194,3 +194,21 @@ def test_blocks_of_factors_change_no_list(spark, text_ids):
     inter = spark.createDataFrame([(u, name((u * 7 + k) % 120)) for u in range(29) for k in range(u % 6 + 1)], f"customer_id long, product_id {kind}")
     lists = [sorted(tuple(r) for r in top_by_factors(users, items, inter, 8, block).collect()) for block in (1_000, 50, 7)]
     assert lists[0] == lists[1] == lists[2] and len(lists[0]) == 29 * 8
+
+
+def test_lists_by_cells_leave_far_items_out():
+    """Vectors of one length in six directions: a user's items are in one of them, the others are not scored."""
+    import numpy as np
+
+    from shoplake.recs.factors import scan
+
+    rng = np.random.default_rng(5)
+    far = np.eye(8)[:6]
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    items, users = unit(far[np.arange(3000) % 6] + 0.05 * rng.normal(size=(3000, 8))), unit(far[np.arange(60) % 6] + 0.05 * rng.normal(size=(60, 8)))
+    have = [rng.choice(3000, 40, replace=False).tolist() for _ in users]
+    row, item, value, scored = scan(users, have, np.arange(3000), items, 20, 256)
+    for u in range(60):
+        want = sorted(set(range(3000)) - set(have[u]), key=lambda i: -float(users[u] @ items[i]))[:20]
+        assert set(item[row == u].tolist()) == set(want)
+    assert scored < 0.3 * 60 * 3000
