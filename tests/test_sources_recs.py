@@ -212,3 +212,20 @@ def test_lists_by_cells_leave_far_items_out():
         want = sorted(set(range(3000)) - set(have[u]), key=lambda i: -float(users[u] @ items[i]))[:20]
         assert set(item[row == u].tolist()) == set(want)
     assert scored < 0.3 * 60 * 3000
+
+
+def test_of_items_with_one_vector_only_those_that_can_be_listed_are_scored(spark, monkeypatch):
+    from shoplake.recs import factors
+
+    users = spark.createDataFrame([(c, [float(c - 2), 1.0]) for c in range(5)], "customer_id long, features array<float>")
+    items = spark.createDataFrame([(p, [float(p % 3 - 1), 1.0]) for p in range(600)], "product_id long, features array<float>")
+    inter = spark.createDataFrame([(c, p) for c in range(5) for p in range(c, 30, 3)], "customer_id long, product_id long")
+    seen = []
+    monkeypatch.setattr(factors, "cells", lambda ids, matrix, f=factors.cells: (seen.append(len(ids)), f(ids, matrix))[1])
+    got = {}
+    for r in factors.top_by_factors(users, items, inter, 4).collect():
+        got.setdefault(r.customer_id, set()).add((r.product_id, r.score))
+    for c in range(5):
+        all_ = sorted((-((c - 2) * (p % 3 - 1) + 1.0), p) for p in set(range(600)) - set(range(c, 30, 3)))
+        assert got[c] == {(p, -s) for s, p in all_[:4]}
+    assert seen == [3 * (4 + 10)]
