@@ -25,11 +25,12 @@ def top(df: DataFrame, keys: list[str], score: str, item: str, n: int) -> DataFr
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
-def in_blocks(items: DataFrame, item: str, block_items: int = BLOCK_ITEMS) -> Iterator[pd.DataFrame]:
-    """The rows of ``items`` in blocks of about ``block_items``, each sorted by ``item``; one is in memory at a time."""
-    blocks = max(1, -(-items.count() // block_items))
+def in_blocks(kinds: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[pd.DataFrame]:
+    """``kinds`` (kind, tokens, weights, members), a row for equal vectors, in blocks of about ``block_items`` rows and 8 times as many members; one is in memory at a time."""
+    rows, members = kinds.agg(F.count("*"), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
+    blocks = max(1, -(-rows // block_items), -(-members // (8 * block_items)))
     for b in range(blocks):
-        yield items.filter(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).orderBy(item).toPandas()
+        yield kinds.filter(F.pmod(F.xxhash64("kind"), F.lit(blocks)) == b).select("tokens", "weights", "members").toArrow().to_pandas()
 
 
 def best_of_blocks(queries: DataFrame, key: str, blocks: Iterator[tuple], rank: Callable, schema: str, score: str, item: str, n: int) -> DataFrame:
@@ -51,24 +52,29 @@ class Inverted:
     """A block of items with sparse vectors: equal vectors are one signature, found by token."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.ids = rows.iloc[:, 0].to_numpy()
-        kinds: dict[tuple, int] = {}
-        sig = np.empty(len(rows), dtype=np.int64)
+        self.size = len(rows)
+        many = np.array([len(m) for m in rows["members"]], dtype=np.int64)
+        ids = np.concatenate(rows["members"].tolist()) if len(rows) else np.empty(0, dtype=np.int64)
+        order = np.argsort(ids, kind="stable")
+        self.ids = ids[order]
+        sig = np.repeat(np.arange(self.size), many)[order]
         lists: dict[str, tuple[list[int], list[float]]] = {}
         for i, (tokens, weights) in enumerate(zip(rows["tokens"], rows["weights"])):
-            vector = tuple(sorted(zip(tokens, np.round(weights, 9).tolist())))
-            if vector not in kinds:
-                kinds[vector] = len(kinds)
-                for t, w in zip(tokens, weights):
-                    at = lists.setdefault(t, ([], []))
-                    at[0].append(kinds[vector])
-                    at[1].append(w)
-            sig[i] = kinds[vector]
-        self.size = len(kinds)
+            for t, w in zip(tokens, weights):
+                at = lists.setdefault(t, ([], []))
+                at[0].append(i)
+                at[1].append(w)
         self.lists = {t: (np.array(s, dtype=np.int64), np.array(w)) for t, (s, w) in lists.items()}
         self.members = np.argsort(sig, kind="stable")  # by signature, then by place, which is the order of ids
         self.starts = np.searchsorted(sig[self.members], np.arange(self.size + 1))
-        self.place = {x: i for i, x in enumerate(self.ids.tolist())}
+
+    def places(self, ids) -> set[int]:
+        """Places of those of ``ids`` that are here."""
+        if not len(ids) or not len(self.ids):
+            return set()
+        ids = np.asarray(ids)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return set(at[self.ids[at] == ids].tolist())
 
     def best(self, tokens, weights, have, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the ``n`` best items with a positive score that aren't in ``have``; ties by place."""
@@ -78,7 +84,7 @@ class Inverted:
                 at, other = self.lists[t]
                 scores[at] += w * other
         scores = np.round(scores, 9)
-        gone = {self.place[x] for x in have if x in self.place}
+        gone = self.places(have)
         live = np.flatnonzero(scores > 0)
         enough = n + len(gone)
         if len(live) > enough:  # as many signatures have enough members, whichever were bought; equal scores all stay
@@ -103,8 +109,12 @@ def nearest(queries: DataFrame, key: str, vectors: DataFrame, item: str, n: int,
 
     ``vectors``: (item, token, weight). Scores are rounded to nine digits, ties go to the smaller item.
     """
-    bags = vectors.groupBy(item).agg(F.collect_list(F.struct("token", "weight")).alias("v")).select(item, F.col("v.token").alias("tokens"), F.col("v.weight").alias("weights"))
-    bags = written(bags, "vectors")
+    bags = vectors.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("v")).withColumn("kind", F.transform("v", lambda x: F.struct(x["token"], F.round(x["weight"], 9))))
+    # Of equal vectors only the first n + bought can be in a list, so many at most are kept; each kind is in one block.
+    most = queries.agg(F.coalesce(F.max(F.size("have")), F.lit(0))).first()[0]
+    first = bags.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy(item))).filter(F.col("_n") <= n + most)
+    kinds = first.groupBy("kind").agg(F.min_by("v", item).alias("v"), F.collect_list(item).alias("members")).select("kind", F.col("v.token").alias("tokens"), F.col("v.weight").alias("weights"), "members")
+    kinds = written(kinds, "vectors")
     schema = f"{key} {queries.schema[key].dataType.simpleString()}, {item} {vectors.schema[item].dataType.simpleString()}, score double"
 
     def rank(batches: Iterator[pd.DataFrame], block: Inverted) -> Iterator[pd.DataFrame]:
@@ -117,4 +127,4 @@ def nearest(queries: DataFrame, key: str, vectors: DataFrame, item: str, n: int,
                 scores.append(values)
             yield pd.DataFrame({key: keys, item: np.concatenate(ids) if ids else [], "score": np.concatenate(scores) if scores else []})
 
-    return best_of_blocks(queries, key, map(Inverted, in_blocks(bags, item, block_items)), rank, schema, "score", item, n)
+    return best_of_blocks(queries, key, map(Inverted, in_blocks(kinds, block_items)), rank, schema, "score", item, n)

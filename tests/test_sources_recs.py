@@ -229,3 +229,18 @@ def test_of_items_with_one_vector_only_those_that_can_be_listed_are_scored(spark
         all_ = sorted((-((c - 2) * (p % 3 - 1) + 1.0), p) for p in set(range(600)) - set(range(c, 30, 3)))
         assert got[c] == {(p, -s) for s, p in all_[:4]}
     assert seen == [3 * (4 + 10)]
+
+
+def test_equal_vectors_are_scored_in_one_block(spark, monkeypatch):
+    """Each once for a query, however many items share them and however many blocks there are."""
+    from shoplake.recs import blocks
+
+    vectors = spark.createDataFrame([(p, f"t{p % 4}", 1.0) for p in range(400)], "product_id long, token string, weight double")
+    asked = spark.createDataFrame([(c, ["t0", "t1"], [0.9, 0.1 * c], [0, 4]) for c in range(1, 4)], "customer_id long, tokens array<string>, weights array<double>, have array<long>")
+    seen = []
+    monkeypatch.setattr(blocks, "in_blocks", lambda *a, f=blocks.in_blocks: ((seen.append(rows), rows)[1] for rows in f(*a)))
+    got = {}
+    for r in blocks.nearest(asked, "customer_id", vectors, "product_id", 6, block_items=2).collect():
+        got.setdefault(r.customer_id, set()).add(r.product_id)
+    assert got == {c: {8, 12, 16, 20, 24, 28} for c in range(1, 4)}
+    assert len(seen) > 1 and sum(map(len, seen)) == 4 and sum(rows["members"].map(len).sum() for rows in seen) == 4 * (6 + 2)
